@@ -56,7 +56,7 @@ class DatasetSpec:
     format: str
     path: str
     options: Mapping[str, Any] = field(default_factory=dict)
-    schema: StructType | None = None
+    schema: StructType | str | None = None
     write_mode: str | None = None
     partition_by: Sequence[str] = ()
 
