@@ -16,7 +16,7 @@ def keep_keys(df: DataFrame, key: str, keys: DataFrame | str | None, prefix: str
     Each key of a text gets ``prefix``. No text, or an empty one, keeps every row.
     """
     if isinstance(keys, DataFrame):
-        listed = keys.select(F.col(keys.columns[0]).alias("__key"))
+        listed = keys.select(F.col(keys.columns[0]).alias("__key")).distinct()
         return df.join(listed, df[key] == listed["__key"], "left_semi")
     if not keys:
         return df
@@ -31,7 +31,7 @@ def listed_keys(df: DataFrame, text: str, prefix: str = "", name: str = "key") -
 
 def drop_keys(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is absent from the other table."""
-    return df.join(other.select(*on), list(on), "left_anti")
+    return df.join(other.select(*on).distinct(), list(on), "left_anti")
 
 
 def minus(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -55,9 +55,11 @@ def all_keys(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def moved_rows(df: DataFrame, other: DataFrame, key: str, attribute: str) -> DataFrame:
     """Rows the other table lists under the same key with another attribute."""
-    there = other.select(F.col(key).alias("__key"), F.col(attribute).alias("__attribute")).distinct()
-    moved = (df[key] == there["__key"]) & ~df[attribute].eqNullSafe(there["__attribute"])
-    return df.join(there, moved, "left_semi")
+    value = F.struct(F.col(attribute).alias("value"))
+    there = other.groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    # Some value differs exactly if the least or the greatest does: one row per key will do.
+    same = df[attribute].eqNullSafe(F.col("__low.value")) & df[attribute].eqNullSafe(F.col("__high.value"))
+    return df.join(there, (df[key] == there["__key"]) & ~same, "left_semi")
 
 
 def pairs_with(df: DataFrame, name: str, values: Sequence) -> DataFrame:

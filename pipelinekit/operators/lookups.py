@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelinekit.operators.running import GROUP_ROWS, LIST_ROWS, numbered, ordered_lists
+from pipelinekit.operators.running import GROUP_ROWS, LIST_ROWS, largest_group, numbered, ordered_lists
 
 NTH_IN_WINDOW = 1000  # Spark prunes a row_number filter before the shuffle up to this rank
 MAX_BINS = 10_000  # most bins one range may be spread over
@@ -134,11 +134,21 @@ def lookup_rows(
         "__rows",
         list_rows,
         group_rows,
+        # Measured before the join: measuring behind it would tie the join to the key's
+        # partitioning, and Spark could not split a frequent key.
+        largest_group(usable, list(keys.values())),
     )
-    found = lists.select(*_keyed(lists, keys), F.col("chunk").alias("__chunk"), "__rows")
-    return _attach(
-        wanted, found, keys, F.coalesce("__chunk", F.lit(0)).alias("chunk"), F.col("__rows").alias(name)
+    matched = lists.select(*[F.col(right).alias(left) for left, right in keys.items()], "chunk", F.col("__rows").alias(name))
+    # Keys without a match are added, not joined: a join would gather a key's lists.
+    there = usable.select(*_keyed(usable, keys)).distinct()
+    met = F.lit(True)
+    for left, right in keys.items():
+        met = met & (wanted[left] == there[f"__key_{right}"])
+    kind = lists.schema["__rows"].dataType
+    unmatched = wanted.join(there, met, "left_anti").select(
+        *keys, F.lit(0).alias("chunk"), F.lit(None).cast(kind).alias(name)
     )
+    return matched.unionByName(unmatched)
 
 
 def range_lookup(

@@ -33,14 +33,17 @@ def running(
     how: str,
     name: str,
     group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add the running ``sum`` or ``min`` of a value within each group, in order.
 
     ``order_by`` has to order the rows of a group totally for a repeatable result.
+    ``largest`` is an upper bound of the group sizes, if the caller has measured one.
     """
     merge = {"sum": F.sum, "min": F.min}[how]
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    largest = largest_group(df, by)
+    if largest is None:
+        largest = largest_group(df, by)
     if largest <= 1:
         return df.withColumn(name, value)
     if largest <= group_rows:
@@ -78,9 +81,10 @@ def numbered(
     order_by: Sequence[str | Column],
     name: str = "position",
     group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 1 in order."""
-    return running(df, by, order_by, F.lit(1).cast("long"), "sum", name, group_rows)
+    return running(df, by, order_by, F.lit(1).cast("long"), "sum", name, group_rows, largest)
 
 
 def ordered_lists(
@@ -91,13 +95,14 @@ def ordered_lists(
     name: str = "items",
     list_rows: int = LIST_ROWS,
     group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Collect a value per group, in order, into lists of at most ``list_rows`` items.
 
     A group within that bound is one row with ``chunk`` 0. A larger one continues in
     chunks 1, 2, .. so nothing is dropped and no task ever holds a whole large group.
     """
-    rows = numbered(df, by, order_by, "__position", group_rows)
+    rows = numbered(df, by, order_by, "__position", group_rows, largest)
     rows = rows.withColumn("chunk", F.floor((F.col("__position") - 1) / list_rows).cast("int"))
     collected = F.sort_array(F.collect_list(F.struct(F.col("__position"), item.alias("item"))))
     return rows.groupBy(*by, "chunk").agg(F.transform(collected, lambda entry: entry.getField("item")).alias(name))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pipelinekit.operators.keys import all_equal, minus
 from pipelinekit.operators.lookups import lookup
-from pipelinekit.operators.running import GROUP_ROWS, running
+from pipelinekit.operators.running import GROUP_ROWS, largest_group, running
 
 KEY = ["id", "fabric_id"]
 
@@ -99,6 +99,15 @@ def snapshot_diff(
         F.col("valid").alias("d_valid"),
     )
     s = recorded.filter(of_type).select("id", "fabric_id", "external_job_id", "is_paused")
+    if redeploy:
+        # Whether any row of an id lies elsewhere is told by its least and greatest place,
+        # so that the rows themselves are joined only once.
+        place = F.struct("fabric_id")
+        places = s.groupBy(F.col("id").alias("p_id")).agg(F.min(place).alias("low"), F.max(place).alias("high"))
+        elsewhere = ~F.col("low.fabric_id").eqNullSafe(F.col("d_place")) | ~F.col("high.fabric_id").eqNullSafe(F.col("d_place"))
+        d = d.join(places, d["d_id"] == places["p_id"], "left").select(
+            *d.columns, (F.col("p_id").isNotNull() & elsewhere).alias("d_elsewhere")
+        )
     both = s.join(d, s["id"] == d["d_id"], "left")
 
     here = F.col("d_valid") & F.col("fabric_id").eqNullSafe(F.col("d_place"))
@@ -115,17 +124,12 @@ def snapshot_diff(
             "MOVED": moved,
             "REMOVE": gone & in_known,
             "RENAME": here & F.col("d_enabled") & other_name,
-            "PAUSE": here & ~F.col("d_enabled") & running_now,
+            "PAUSE": here & ~F.col("d_enabled") & running_now & ~F.col("d_elsewhere"),
         }
         added = wanted.filter(F.col("reached") & F.col("valid") & F.col("enabled"))
 
     labels = F.array_compact(F.array(*[F.when(rule, F.lit(label)) for label, rule in rules.items()]))
     classified = both.select("id", "fabric_id", "external_job_id", F.explode(labels).alias("class"))
-    if redeploy:
-        moving = both.filter(moved).select(F.col("id").alias("__id")).distinct()
-        stopped = (classified["id"] == moving["__id"]) & (classified["class"] == "PAUSE")
-        classified = classified.join(moving, stopped, "left_anti")
-
     skipped = wanted.filter(~F.col("reached") | ~F.col("valid"))
     listed = ["id", "fabric_id", "external_job_id"]
     return classified.unionByName(added.select(*listed, F.lit("ADD").alias("class"))).unionByName(
@@ -168,11 +172,14 @@ def apply_changes(state: DataFrame, changes: DataFrame, group_rows: int = GROUP_
         return rows.select(*columns, F.struct(F.lit(kind).alias("kind"), F.col("seq").alias("seq")).alias("place"))
 
     current = listed(minus(state, replaced, KEY), 0).unionByName(listed(refreshed, 1))
-    tagged = _with_release_tags(current, created, columns, group_rows)
-    return minus(current, created, KEY).select(*columns).unionByName(tagged)
+    kept = minus(current, created, KEY)
+    tagged = _with_release_tags(current, kept, created, columns, group_rows)
+    return kept.select(*columns).unionByName(tagged)
 
 
-def _with_release_tags(current: DataFrame, created: DataFrame, columns: Sequence[str], group_rows: int) -> DataFrame:
+def _with_release_tags(
+    current: DataFrame, kept: DataFrame, created: DataFrame, columns: Sequence[str], group_rows: int
+) -> DataFrame:
     """Give created rows the tag of the first row of their id at that time.
 
     A row is still there for a creation unless an earlier one replaced its key, so the
@@ -181,38 +188,38 @@ def _with_release_tags(current: DataFrame, created: DataFrame, columns: Sequence
     running minimum. Rows nothing replaces are reduced to one per id beforehand, so
     the groups are no larger than the batch of changes.
     """
+    entry = F.struct("place", "release_tag").alias("entry")
+    row_mark = F.lit(0).alias("step")
+    times = created.select(*[F.col(k).alias(f"__{k}") for k in KEY], F.col("first_seq").alias("time"))
+    passing = current.join(times, all_equal(current, times, KEY)).select("id", "time", row_mark, entry)
     ids = created.select(F.col("id").alias("__id")).distinct()
-    times = created.select(*[F.col(k).alias(f"__{k}") for k in KEY], F.col("first_seq").alias("until"))
-    rows = current.join(ids, all_equal(current, ids, ["id"]), "left_semi")
-    rows = rows.join(times, all_equal(rows, times, KEY), "left")
-    rows = rows.select("id", "until", F.struct("place", "release_tag").alias("entry"))
-    lasting = rows.filter(F.col("until").isNull()).groupBy("id").agg(F.min("entry").alias("entry"))
-    passing = rows.filter(F.col("until").isNotNull())
-
-    creation = F.struct(*columns)
+    lasting = kept.groupBy("id").agg(F.min(entry).alias("entry"))
+    lasting = lasting.join(ids, all_equal(lasting, ids, ["id"]), "left_semi")
+    makes = created.select(
+        "id", F.col("seq").alias("time"), F.lit(1).alias("step"), F.struct("first_seq", *columns).alias("creation")
+    )
     marks = (
-        passing.select("id", F.col("until").alias("time"), F.lit(0).alias("step"), "entry")
-        .unionByName(lasting.select("id", F.lit(None).cast("long").alias("time"), F.lit(0).alias("step"), "entry"))
-        .unionByName(
-            created.select("id", F.col("seq").alias("time"), F.lit(1).alias("step"), creation.alias("creation")),
-            allowMissingColumns=True,
-        )
+        passing.unionByName(lasting.select("id", F.lit(None).cast("long").alias("time"), row_mark, "entry"))
+        .unionByName(makes, allowMissingColumns=True)
     )
-    latest_first = [F.col("time").desc_nulls_first(), F.col("step")]
-    found = running(marks, ["id"], latest_first, F.col("entry"), "min", "first_row", group_rows)
-    found = found.filter(F.col("step") == 1).select("creation", "first_row", "id")
-
     # Once all earlier rows are replaced, the first creation of the id heads the list:
     # it took the tag of the first row there was at the very start, or kept its own.
-    start = rows.groupBy("id").agg(F.min("entry").alias("start_row"))
-    own = created.groupBy("id").agg(F.min(F.struct("first_seq", "release_tag")).alias("own_row"))
-    own = own.select(F.col("id").alias("__id"), "own_row")
-    start = start.select(F.col("id").alias("__id"), "start_row")
-    joined = found.join(own, all_equal(found, own, ["id"])).drop("__id")
-    joined = joined.join(start, all_equal(joined, start, ["id"]), "left")
-    tag = (
-        F.when(F.col("first_row").isNotNull(), F.col("first_row.release_tag"))
-        .when(F.col("start_row").isNotNull(), F.col("start_row.release_tag"))
-        .otherwise(F.col("own_row.release_tag"))
+    own = F.min(F.when(F.col("step") == 1, F.struct("creation.first_seq", "creation.release_tag")))
+    heads = marks.groupBy("id").agg(F.min("entry").alias("start"), own.alias("own"))
+    head_tag = F.when(F.col("start").isNotNull(), F.col("start.release_tag")).otherwise(F.col("own.release_tag"))
+    behind_all = F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("seq"))
+    heads = heads.select(
+        "id",
+        F.lit(None).cast("long").alias("time"),
+        row_mark,
+        F.struct(behind_all.alias("place"), head_tag.alias("release_tag")).alias("entry"),
+    )
+    marks = marks.unionByName(heads, allowMissingColumns=True)
+
+    latest_first = [F.col("time").desc_nulls_first(), F.col("step")]
+    largest = 2 * largest_group(created, ["id"]) + 2
+    found = running(marks, ["id"], latest_first, F.col("entry"), "min", "first_row", group_rows, largest)
+    tag = F.col("first_row.release_tag")
+    return found.filter(F.col("step") == 1).select(
+        *[tag.alias(c) if c == "release_tag" else F.col(f"creation.{c}") for c in columns]
     )
-    return joined.select(*[tag.alias(c) if c == "release_tag" else F.col(f"creation.{c}") for c in columns])
