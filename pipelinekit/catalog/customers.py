@@ -66,13 +66,10 @@ def segment_report(spark, sf_dir):
     """Nations as places, rich suppliers as markets, order priorities as brackets."""
     supplier = table(spark, sf_dir, "supplier").filter("s_acctbal > 7000")
     nation_of = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    orders = table(spark, sf_dir, "orders").select(
-        "o_custkey", F.substring("o_orderpriority", 1, 1).alias("agi_stub")
-    )
-    per_customer = orders.groupBy("o_custkey", "agi_stub").agg(F.count(F.lit(1)).alias("n"))
-    returns = per_customer.join(nation_of, per_customer["o_custkey"] == nation_of["c_custkey"])
-    returns = returns.select(
-        F.col("c_nationkey").cast("string").alias("zipcode"), "agi_stub", F.col("n").cast("string").alias("N1")
+    orders = table(spark, sf_dir, "orders").join(nation_of, F.col("o_custkey") == F.col("c_custkey"))
+    stub = F.substring("o_orderpriority", 1, 1).alias("agi_stub")
+    returns = orders.groupBy(F.col("c_nationkey").cast("string").alias("zipcode"), stub).agg(
+        F.count(F.lit(1)).cast("string").alias("N1")
     )
     markets = supplier.select(F.col("s_nationkey").cast("string").alias("zip"))
     return market_report(markets, returns, top_bracket=5, threshold=0.2)

@@ -62,7 +62,7 @@ def lookup_range(spark, sf_dir):
     bands = table(spark, sf_dir, "nation").select(
         (F.col("n_nationkey") * 20).cast("double").alias("lo"), (F.col("n_nationkey") * 20 + 15).cast("double").alias("hi"), "n_name"
     )
-    return ops.range_lookup(events, bands, "value", "lo", "hi", ["n_name"])
+    return ops.range_lookup(events, bands, "value", "lo", "hi", ["n_name"], bin_width=20.0)
 
 
 QUERIES = {

@@ -166,20 +166,23 @@ def range_lookup(
     each gives a row. Ranges and values meet on numbered bins of ``bin_width``, so the
     join is an equi-join that Spark may broadcast by its measured size or shuffle.
     Without a width the widest range sets it, and no range then touches more than
-    two bins. Give a smaller width where a few ranges are much wider than the others.
+    two bins. Give a smaller width where a few ranges are much wider than the others;
+    a range over more than ``MAX_BINS`` bins fails the job.
     """
     ranges = ref.filter(F.col(lo) < F.col(hi)).select(
         F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)]
     )
-    widest = ranges.agg(F.max((F.col("__hi") - F.col("__lo")).cast("double"))).first()[0]
-    width = bin_width or widest or 1.0
-    if widest and widest / width > MAX_BINS:
-        raise ValueError(f"the widest range spans over {MAX_BINS} bins of {width}: use a larger bin_width")
+    if bin_width is None:
+        bin_width = ranges.agg(F.max((F.col("__hi") - F.col("__lo")).cast("double"))).first()[0] or 1.0
 
     def bin_of(column: str) -> Column:
-        return F.floor(F.col(column) / F.lit(float(width)))
+        return F.floor(F.col(column) / F.lit(float(bin_width)))
 
-    binned = ranges.withColumn("__bin", F.explode(F.sequence(bin_of("__lo"), bin_of("__hi"))))
+    too_many = F.raise_error(F.lit(f"a range spans over {MAX_BINS} bins of {bin_width}: use a larger bin_width"))
+    bins = F.when(bin_of("__hi") - bin_of("__lo") > MAX_BINS, too_many).otherwise(
+        F.sequence(bin_of("__lo"), bin_of("__hi"))
+    )
+    binned = ranges.withColumn("__bin", F.explode(bins))
     inside = (
         (bin_of(value) == F.col("__bin")) & (F.col(value) >= F.col("__lo")) & (F.col(value) < F.col("__hi"))
     )

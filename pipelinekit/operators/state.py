@@ -156,70 +156,71 @@ def apply_changes(state: DataFrame, changes: DataFrame, group_rows: int = GROUP_
     """
     columns = [c for c in state.columns if c != "seq"]
     done = changes.filter(~F.coalesce("failed", F.lit(False)))
+    row = F.struct("seq", *columns)
+
+    def of(operation: str, value: Column) -> Column:
+        return F.when(F.col("operation") == operation, value)
+
+    # One row per changed key. Changes are few against the state, so they are reduced
+    # first; the state meets them in joins that need not shuffle it if they are small.
+    per_key = done.filter(F.col("operation").isin("DELETED", "REFRESH", "CREATED")).groupBy(*KEY)
+    per_key = per_key.agg(
+        F.max(of("REFRESH", row)).alias("refresh"),
+        F.max(of("CREATED", row)).alias("create"),
+        F.min(of("CREATED", F.col("seq"))).alias("first_create"),
+        F.bool_or(F.col("operation").isin("DELETED", "REFRESH")).alias("replaced"),
+    )
 
-    def last_of(operation: str) -> DataFrame:
-        rows = done.filter(F.col("operation") == operation)
-        return (
-            rows.groupBy(*[F.col(c).alias(c) for c in KEY])
-            .agg(F.max(F.struct("seq", *[c for c in columns if c not in KEY])).alias("row"), F.min("seq").alias("first_seq"))
-            .select(*KEY, "first_seq", "row.*")
-        )
+    # The state before creations, each row with the time a creation replaces it, if ever.
+    # Refreshed rows stand behind the untouched ones.
+    touched = per_key.select(*[F.col(k).alias(f"__{k}") for k in KEY], "replaced", F.col("first_create").alias("until"))
+    untouched = state.join(touched, all_equal(state, touched, KEY), "left")
+    untouched = untouched.filter(~F.coalesce("replaced", F.lit(False)))
+    refreshed = per_key.filter(F.col("refresh").isNotNull()).select("refresh.*", F.col("first_create").alias("until"))
 
-    refreshed, created = last_of("REFRESH"), last_of("CREATED")
-    replaced = done.filter(F.col("operation").isin("DELETED", "REFRESH"))
-    # The state before creations. Refreshed rows stand behind the untouched ones.
     def listed(rows: DataFrame, kind: int) -> DataFrame:
-        return rows.select(*columns, F.struct(F.lit(kind).alias("kind"), F.col("seq").alias("seq")).alias("place"))
+        return rows.select(*columns, "until", F.struct(F.lit(kind).alias("kind"), F.col("seq").alias("seq")).alias("place"))
 
-    current = listed(minus(state, replaced, KEY), 0).unionByName(listed(refreshed, 1))
-    kept = minus(current, created, KEY)
-    tagged = _with_release_tags(current, kept, created, columns, group_rows)
-    return kept.select(*columns).unionByName(tagged)
+    current = listed(untouched, 0).unionByName(listed(refreshed, 1))
+    created = per_key.filter(F.col("create").isNotNull()).select("id", "create", "first_create")
+    creations = done.filter(F.col("operation") == "CREATED")
+    ids = creations.select(F.col("id").alias("__id")).distinct()
+    tagged = _with_release_tags(current, ids, created, columns, largest_group(creations, ["id"]), group_rows)
+    return current.filter(F.col("until").isNull()).select(*columns).unionByName(tagged)
 
 
 def _with_release_tags(
-    current: DataFrame, kept: DataFrame, created: DataFrame, columns: Sequence[str], group_rows: int
+    current: DataFrame, ids: DataFrame, created: DataFrame, columns: Sequence[str], most: int, group_rows: int
 ) -> DataFrame:
     """Give created rows the tag of the first row of their id at that time.
 
     A row is still there for a creation unless an earlier one replaced its key, so the
     first row there is the least in list order among those replaced at that time or
     later. With rows and creations of an id in order of time, latest first, that is a
-    running minimum. Rows nothing replaces are reduced to one per id beforehand, so
-    the groups are no larger than the batch of changes.
-    """
-    entry = F.struct("place", "release_tag").alias("entry")
-    row_mark = F.lit(0).alias("step")
-    times = created.select(*[F.col(k).alias(f"__{k}") for k in KEY], F.col("first_seq").alias("time"))
-    passing = current.join(times, all_equal(current, times, KEY)).select("id", "time", row_mark, entry)
-    ids = created.select(F.col("id").alias("__id")).distinct()
-    lasting = kept.groupBy("id").agg(F.min(entry).alias("entry"))
-    lasting = lasting.join(ids, all_equal(lasting, ids, ["id"]), "left_semi")
-    makes = created.select(
-        "id", F.col("seq").alias("time"), F.lit(1).alias("step"), F.struct("first_seq", *columns).alias("creation")
-    )
-    marks = (
-        passing.unionByName(lasting.select("id", F.lit(None).cast("long").alias("time"), row_mark, "entry"))
-        .unionByName(makes, allowMissingColumns=True)
-    )
-    # Once all earlier rows are replaced, the first creation of the id heads the list:
-    # it took the tag of the first row there was at the very start, or kept its own.
-    own = F.min(F.when(F.col("step") == 1, F.struct("creation.first_seq", "creation.release_tag")))
-    heads = marks.groupBy("id").agg(F.min("entry").alias("start"), own.alias("own"))
-    head_tag = F.when(F.col("start").isNotNull(), F.col("start.release_tag")).otherwise(F.col("own.release_tag"))
-    behind_all = F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("seq"))
-    heads = heads.select(
-        "id",
-        F.lit(None).cast("long").alias("time"),
-        row_mark,
-        F.struct(behind_all.alias("place"), head_tag.alias("release_tag")).alias("entry"),
-    )
-    marks = marks.unionByName(heads, allowMissingColumns=True)
+    running minimum. Rows nothing replaces are reduced to one per id beforehand, so the
+    groups grow with the ``most`` creations an id has, not with its recorded rows.
 
+    Once all earlier rows are replaced, the first creation of the id heads the list: it
+    took the tag of the first row there was at the very start, or kept its own. Both are
+    listed as entries from the beginning, behind all that are really there.
+    """
+    rows = current.join(ids, all_equal(current, ids, ["id"]), "left_semi")
+    rows = rows.groupBy("id", "until").agg(F.min(F.struct("place", "release_tag")).alias("entry"))
+    # Step 0 is a row that can come first, step 1 a creation that asks which one does.
+    of_rows = rows.selectExpr("id", "entry", """inline(array(
+        named_struct('time', until, 'step', 0, 'kind', entry.place.kind),
+        named_struct('time', null, 'step', 0, 'kind', entry.place.kind + 2)))""")
+    of_rows = of_rows.selectExpr("id", "time", "step", "kind", "entry.place.seq as seq", "entry.release_tag", "null as creation")
+    of_creations = created.selectExpr("id", """inline(array(
+        named_struct('time', create.seq, 'step', 1, 'kind', null, 'seq', null, 'release_tag', null, 'creation', create),
+        named_struct('time', null, 'step', 0, 'kind', 4, 'seq', first_create, 'release_tag', create.release_tag, 'creation', null)))""")
+    marks = of_creations.unionByName(of_rows)
+    entry = F.when(F.col("step") == 0, F.struct("kind", "seq", "release_tag"))
     latest_first = [F.col("time").desc_nulls_first(), F.col("step")]
-    largest = 2 * largest_group(created, ["id"]) + 2
-    found = running(marks, ["id"], latest_first, F.col("entry"), "min", "first_row", group_rows, largest)
+    # Two marks per creation, per row it replaces, and for the rows that last.
+    largest = 4 * most + 2
+    found = running(marks, ["id"], latest_first, entry, "min", "first_row", group_rows, largest)
     tag = F.col("first_row.release_tag")
     return found.filter(F.col("step") == 1).select(
-        *[tag.alias(c) if c == "release_tag" else F.col(f"creation.{c}") for c in columns]
+        *[tag.alias(c) if c == "release_tag" else F.col(f"creation.{c}").alias(c) for c in columns]
     )

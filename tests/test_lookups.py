@@ -83,8 +83,8 @@ def test_overlapping_ranges_and_bounds(spark, rows):
     asked = spark.createDataFrame([(7,), (50,)], "x int")
     bands = spark.createDataFrame([(0, 10, "a"), (5, 1000, "b")], "lo int, hi int, name string")
     assert rows(ops.range_lookup(asked, bands, "x", "lo", "hi", ["name"], 10)) == [(7, "a"), (7, "b"), (50, "b")]
-    with pytest.raises(ValueError, match="bins"):
-        ops.range_lookup(asked, bands, "x", "lo", "hi", ["name"], 0.01)
+    with pytest.raises(Exception, match="larger bin_width"):
+        ops.range_lookup(asked, bands, "x", "lo", "hi", ["name"], 0.01).collect()
     assert rows(ops.range_lookup(asked, bands.filter("lo < 0"), "x", "lo", "hi", ["name"])) == [(7, None), (50, None)]
 
 
