@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelinekit.catalog.tables import table
+from pipelinekit.functions.literals import typed_lit
 from pipelinekit.plans import customers as plan
 from pipelinekit.plans.config import ReformatConfig, load_config
 from pipelinekit.plans.markets import market_report
 from pipelinekit.plans.reformat import reformat_then
+from pipelinekit.sources import DatasetSpec, read, write
+from pipelinekit.storage import scratch_path
 
 AS_OF = "2002-01-01"
 
@@ -62,6 +67,24 @@ def top_customers(spark, sf_dir):
     return plan.top_customers(customer_orders_summary(spark, sf_dir))
 
 
+def report_top_customers(spark, sf_dir):
+    """The same from a stored summary, read back with the first three of its columns."""
+    options = {"separator": ",", "header": True}
+    stored = DatasetSpec("csv", scratch_path(spark, "summary"), options, None, "overwrite")
+    write(customer_orders_summary(spark, sf_dir), stored)
+    return plan.top_customers(read(spark, replace(stored, schema="customer_id long, orders long, amounts double")))
+
+
+WEIGHTS = {"1-URGENT": [5, 1], "2-HIGH": [3, 1], "3-MEDIUM": [2, 0]}
+
+
+def typed_literals(spark, sf_dir):
+    """Orders weighted by a literal map of arrays."""
+    weight = F.try_element_at(typed_lit(WEIGHTS), "o_orderpriority")
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", F.coalesce(weight[0], F.lit(0)).alias("weight"), (F.size(weight) == 2).alias("known")).na.fill(False)
+
+
 def segment_report(spark, sf_dir):
     """Nations as places, rich suppliers as markets, order priorities as brackets."""
     supplier = table(spark, sf_dir, "supplier").filter("s_acctbal > 7000")
@@ -103,6 +126,8 @@ QUERIES = {
     "order_account_age": order_account_age,
     "customer_orders_summary": customer_orders_summary,
     "top_customers": top_customers,
+    "report_top_customers": report_top_customers,
+    "typed_literals": typed_literals,
     "segment_report": segment_report,
     "reformat_config": reformat_config,
     "script_node": script_node,
@@ -132,6 +157,11 @@ SELECT CAST(date_diff('day', CAST({_OPENED} AS DATE), DATE '{AS_OF}') AS INTEGER
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "customer_orders_summary": _SUMMARY,
     "top_customers": f"SELECT * FROM ({_SUMMARY}) ORDER BY amounts DESC, customer_id LIMIT 10",
+    "report_top_customers": f"""
+SELECT customer_id, orders, amounts FROM ({_SUMMARY}) ORDER BY amounts DESC, customer_id LIMIT 10""",
+    "typed_literals": """
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 2 ELSE 0 END AS weight,
+       o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS known FROM orders""",
     "segment_report": """
 WITH fm AS (SELECT s_nationkey AS zip, count(*) AS n FROM supplier WHERE s_acctbal > 7000 GROUP BY 1),
 r AS (SELECT c_nationkey AS zipcode,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pipelinekit.operators.conditions import all_equal, keys_match
 from pipelinekit.operators.lookups import lookup
 
 
@@ -16,8 +17,8 @@ def keep_keys(df: DataFrame, key: str, keys: DataFrame | str | None, prefix: str
     Each key of a text gets ``prefix``. No text, or an empty one, keeps every row.
     """
     if isinstance(keys, DataFrame):
-        listed = keys.select(F.col(keys.columns[0]).alias("__key")).distinct()
-        return df.join(listed, df[key] == listed["__key"], "left_semi")
+        listed = keys.select(F.col(keys.columns[0]).alias("__key")).dropna().distinct()
+        return df.join(listed, keys_match([(df[key], listed["__key"])]), "left_semi")
     if not keys:
         return df
     return df.filter(F.col(key).isin([prefix + item for item in keys.split(",")]))
@@ -30,8 +31,8 @@ def listed_keys(df: DataFrame, text: str, prefix: str = "", name: str = "key") -
 
 
 def drop_keys(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is absent from the other table."""
-    return df.join(other.select(*on).distinct(), list(on), "left_anti")
+    """Rows whose key is absent from the other table; null keys always are."""
+    return minus(df, other.dropna(subset=list(on)), on)
 
 
 def minus(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -40,14 +41,6 @@ def minus(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(there, all_equal(df, there, on), "left_anti")
 
 
-def all_equal(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    """Null-safe equality of named columns; the right ones are prefixed with ``__``."""
-    same = F.lit(True)
-    for name in names:
-        same = same & left[name].eqNullSafe(right[f"__{name}"])
-    return same
-
-
 def all_keys(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """The distinct keys of both tables."""
     return left.select(*on).unionByName(right.select(*on)).distinct()
@@ -56,10 +49,10 @@ def all_keys(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
 def moved_rows(df: DataFrame, other: DataFrame, key: str, attribute: str) -> DataFrame:
     """Rows the other table lists under the same key with another attribute."""
     value = F.struct(F.col(attribute).alias("value"))
-    there = other.groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    there = other.dropna(subset=[key]).groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
     # Some value differs exactly if the least or the greatest does: one row per key will do.
     same = df[attribute].eqNullSafe(F.col("__low.value")) & df[attribute].eqNullSafe(F.col("__high.value"))
-    return df.join(there, (df[key] == there["__key"]) & ~same, "left_semi")
+    return df.join(there, keys_match([(df[key], there["__key"])]) & ~same, "left_semi")
 
 
 def pairs_with(df: DataFrame, name: str, values: Sequence) -> DataFrame:

@@ -13,11 +13,13 @@ the looking-up table is left to Spark's splitting of skewed join partitions.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipelinekit.operators.conditions import keys_match
 from pipelinekit.operators.running import GROUP_ROWS, LIST_ROWS, largest_group, numbered, ordered_lists
 
 NTH_IN_WINDOW = 1000  # Spark prunes a row_number filter before the shuffle up to this rank
@@ -37,9 +39,7 @@ def _usable(ref: DataFrame, keys: Mapping[str, str]) -> DataFrame:
 
 def _attach(df: DataFrame, found: DataFrame, keys: Mapping[str, str], *added: Column) -> DataFrame:
     """Left join of one row per key; ``found`` names its keys ``__key_<name>``."""
-    same = F.lit(True)
-    for left, right in keys.items():
-        same = same & (df[left] == found[f"__key_{right}"])
+    same = keys_match((df[left], found[f"__key_{right}"]) for left, right in keys.items())
     return df.join(found, same, "left").select(*[df[name] for name in df.columns], *added)
 
 
@@ -119,11 +119,15 @@ def lookup_rows(
     would pair all rows of a frequent key, so that join is left to the caller.
     """
     keys = _pairs(on)
-    wanted = df.select(*keys).distinct()
+    asked = df.select(*keys).distinct()
+    wanted = asked.dropna()
     usable = _usable(ref, keys)
-    same = F.lit(True)
-    for left, right in keys.items():
-        same = same & (wanted[left] == usable[right])
+    # Measured before the join, as it tells how to join: groups that one task may order
+    # share the partitioning of the join, a larger one has to be split by Spark.
+    largest = largest_group(usable, list(keys.values()))
+    same = keys_match((usable[right], wanted[left]) for left, right in keys.items())
+    if largest <= group_rows:
+        same = functools.reduce(Column.__and__, [usable[right] == wanted[left] for left, right in keys.items()])
     order = [*order_by, *[c for c in cols if c not in order_by]]
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     lists = ordered_lists(
@@ -134,18 +138,14 @@ def lookup_rows(
         "__rows",
         list_rows,
         group_rows,
-        # Measured before the join: measuring behind it would tie the join to the key's
-        # partitioning, and Spark could not split a frequent key.
-        largest_group(usable, list(keys.values())),
+        largest,
     )
     matched = lists.select(*[F.col(right).alias(left) for left, right in keys.items()], "chunk", F.col("__rows").alias(name))
     # Keys without a match are added, not joined: a join would gather a key's lists.
     there = usable.select(*_keyed(usable, keys)).distinct()
-    met = F.lit(True)
-    for left, right in keys.items():
-        met = met & (wanted[left] == there[f"__key_{right}"])
+    met = keys_match((asked[left], there[f"__key_{right}"]) for left, right in keys.items())
     kind = lists.schema["__rows"].dataType
-    unmatched = wanted.join(there, met, "left_anti").select(
+    unmatched = asked.join(there, met, "left_anti").select(
         *keys, F.lit(0).alias("chunk"), F.lit(None).cast(kind).alias(name)
     )
     return matched.unionByName(unmatched)

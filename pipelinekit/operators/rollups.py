@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -105,12 +107,12 @@ def fingerprint(
     ordered = rows.repartition(*group).sortWithinPartitions(*group, "__name", "__content")
 
     schema = StructType([*[df.schema[g] for g in group], StructField("fingerprint", StringType())])
-    return ordered.mapInArrow(_digests(len(group), to_arrow_schema(schema), (salt or SALT).encode(), sep.encode()), schema)
+    return ordered.mapInArrow(_digests(len(group), to_arrow_schema(schema), (salt or SALT).encode(), sep), schema)
 
 
-def _digests(keys: int, schema: pa.Schema, salt: bytes, sep: bytes):
+def _digests(keys: int, schema: pa.Schema, salt: bytes, sep: str):
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, digest, empty = None, None, True
+        open_key, digest, started = None, None, False
 
         def closed() -> tuple:
             digest.update(salt)
@@ -118,15 +120,17 @@ def _digests(keys: int, schema: pa.Schema, salt: bytes, sep: bytes):
 
         for batch in batches:
             finished = []
-            columns = [batch.column(i).to_pylist() for i in range(keys)]
-            for key, text in zip(zip(*columns, strict=True), batch.column(keys + 1).to_pylist(), strict=True):
-                if key != open_key:
+            group = zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True)
+            rows = zip(group, batch.column(keys + 1).to_pylist(), strict=True)
+            for key, run in groupby(rows, key=itemgetter(0)):
+                if digest is None or key != open_key:
                     if digest is not None:
                         finished.append(closed())
-                    open_key, digest, empty = key, hashlib.sha256(), True
-                if text is not None:
-                    digest.update(text.encode() if empty else sep + text.encode())
-                    empty = False
+                    open_key, digest, started = key, hashlib.sha256(), False
+                texts = [text for _, text in run if text is not None]
+                if texts:
+                    digest.update(((sep if started else "") + sep.join(texts)).encode())
+                    started = True
             yield _batch(finished, schema)
         if digest is not None:
             yield _batch([closed()], schema)

@@ -17,7 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipelinekit.operators.keys import all_equal, minus
+from pipelinekit.operators.conditions import all_equal, keys_match
+from pipelinekit.operators.keys import minus
 from pipelinekit.operators.lookups import lookup
 from pipelinekit.operators.running import GROUP_ROWS, largest_group, running
 
@@ -108,7 +109,7 @@ def snapshot_diff(
         d = d.join(places, d["d_id"] == places["p_id"], "left").select(
             *d.columns, (F.col("p_id").isNotNull() & elsewhere).alias("d_elsewhere")
         )
-    both = s.join(d, s["id"] == d["d_id"], "left")
+    both = s.join(d, keys_match([(s["id"], d["d_id"])]), "left")
 
     here = F.col("d_valid") & F.col("fabric_id").eqNullSafe(F.col("d_place"))
     moved = F.col("d_valid") & ~F.col("fabric_id").eqNullSafe(F.col("d_place"))

@@ -11,6 +11,7 @@ import __spark_entry__ as contract
 from tools.compare import TABLES, bag
 
 SF_DIR = "/root/testdata/sf0.001"
+UNSCALABLE = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroups"]
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="sample tables not present")
 
 
@@ -36,4 +37,7 @@ def test_query(spark, db, name):
     answer = db.execute(contract.oracle_sql()[name])
     columns = [c[0] for c in answer.description]
     assert sorted(df.columns) == sorted(columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [node for node in UNSCALABLE if node in plan]
+    assert ("MapInArrow" in plan) == (name == "fingerprint")
     assert bag(df.columns, [tuple(r) for r in df.collect()]) == bag(columns, answer.fetchall())

@@ -144,3 +144,10 @@ def test_registered_functions_agree(spark):
 def test_ends_with_any_is_literal(spark, suffixes):
     values = ["x.json", "xjson", "x.a+b", "x.aab", "x.py"]
     assert apply(spark, values, lambda c: text.ends_with_any(c, suffixes)) == [v.endswith(suffixes) for v in values]
+
+
+def test_typed_lit(spark):
+    from pipelinekit.functions.literals import typed_lit
+
+    got = spark.range(1).select(typed_lit({"a": [1, 2], "b": []}), typed_lit([("x", "y")]), typed_lit(None), typed_lit(1.5)).first()
+    assert tuple(got) == ({"a": [1, 2], "b": []}, [["x", "y"]], None, 1.5)
