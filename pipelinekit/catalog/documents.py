@@ -66,9 +66,7 @@ def rewrite_items(spark, sf_dir):
 
 def any_component(spark, sf_dir):
     """Whether a document has a process of a kind, asked of a map of processes."""
-    processes = F.from_json(
-        F.get_json_object("document", "$.processes"), "map<string,struct<component:string>>"
-    )
+    processes = F.from_json("document", nested.JOB).getField("processes")
     return _jobs(spark, sf_dir).select("o_orderkey", nested.has_component(processes, "Script").alias("has_script"))
 
 

@@ -82,15 +82,11 @@ def route_rows(spark, sf_dir):
 
 def _perturbed(spark, sf_dir):
     """Orders, and a copy with some rows dropped, repeated, changed a little or a lot."""
-    k = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").select(k, "o_orderstatus", "o_totalprice")
-    changed = (
-        F.when(k % 20 == 3, F.col("o_totalprice") + 0.25)
-        .when(k % 20 == 7, F.col("o_totalprice") + 2)
-        .otherwise(F.col("o_totalprice"))
-    )
-    copy = orders.filter(k % 25 != 11).withColumn("o_totalprice", changed)
-    return orders, copy.unionByName(copy.filter(k % 40 == 9))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    priority, price = F.col("o_orderpriority"), F.col("o_totalprice")
+    changed = F.when(priority == "2-HIGH", price + 0.25).when(priority == "3-MEDIUM", price + 2).otherwise(price)
+    copy = orders.filter("o_orderpriority <> '5-LOW' OR o_orderstatus <> 'P'").withColumn("o_totalprice", changed)
+    return orders, copy.unionByName(copy.filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'"))
 
 
 def frame_diff(spark, sf_dir):
@@ -144,10 +140,12 @@ QUERIES = {
 
 _COPY = """
 o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders),
-c AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 20 = 3 THEN o_totalprice + CAST(0.25 AS DOUBLE)
-        WHEN o_orderkey % 20 = 7 THEN o_totalprice + CAST(2 AS DOUBLE) ELSE o_totalprice END AS o_totalprice
-      FROM orders WHERE o_orderkey % 25 <> 11),
-cc AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE o_orderkey % 40 = 9)"""
+c AS (SELECT o_orderkey, o_orderstatus, o_orderpriority AS p,
+        CASE o_orderpriority WHEN '2-HIGH' THEN o_totalprice + CAST(0.25 AS DOUBLE)
+             WHEN '3-MEDIUM' THEN o_totalprice + CAST(2 AS DOUBLE) ELSE o_totalprice END AS o_totalprice
+      FROM orders WHERE o_orderpriority <> '5-LOW' OR o_orderstatus <> 'P'),
+cc AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM c
+       UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM c WHERE p = '1-URGENT' AND o_orderstatus = 'O')"""
 
 ORACLE = {
     "distinct_values": "SELECT DISTINCT l_suppkey AS supplier FROM lineitem WHERE l_returnflag = 'R'",

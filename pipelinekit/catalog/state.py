@@ -13,11 +13,11 @@ STATE_COLUMNS = [
 
 
 def recorded(spark, sf_dir):
-    """Most customers once, some a second time in the next nation."""
-    customer = table(spark, sf_dir, "customer")
+    """All but the richest customers, some of them a second time in the next nation."""
     k, nation = F.col("c_custkey"), F.col("c_nationkey")
-    base = customer.filter(k % 11 != 3).select((k * 2).alias("seq"), k, nation, "c_name", "c_acctbal", "c_mktsegment")
-    twice = base.filter(k % 13 == 5).withColumn("seq", F.col("seq") + 1).withColumn("c_nationkey", nation + 1)
+    base = table(spark, sf_dir, "customer").filter("c_acctbal < 9000").withColumn("seq", k * 2)
+    twice = base.filter("c_mktsegment = 'FURNITURE' AND c_acctbal > 5000")
+    twice = twice.withColumn("seq", F.col("seq") + 1).withColumn("c_nationkey", nation + 1)
     return base.unionByName(twice).select(
         "seq",
         F.concat(F.lit("jobs/"), k).alias("id"),
@@ -26,38 +26,37 @@ def recorded(spark, sf_dir):
         F.concat(F.lit("ext-"), k).alias("external_job_id"),
         nation.cast("string").alias("fabric_id"),
         (F.col("c_acctbal") < 0).alias("is_paused"),
-        (k % 50 == 49).alias("skip_processing"),
+        F.col("c_acctbal").between(2000, 2500).alias("skip_processing"),
         F.col("c_mktsegment").alias("release_tag"),
     )
 
 
 def desired(spark, sf_dir):
     """Customers as they should be: some gone, moved, renamed, disabled or not valid."""
-    k, nation = F.col("c_custkey"), F.col("c_nationkey")
-    return table(spark, sf_dir, "customer").filter(k % 7 != 6).select(
+    k, nation, segment = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment")
+    gone = (F.col("c_acctbal") < -500) | ((segment == "HOUSEHOLD") & (nation >= 20))
+    return table(spark, sf_dir, "customer").filter(~gone).select(
         F.concat(F.lit("jobs/"), k).alias("id"),
-        F.when(k % 5 == 2, (nation + 3) % 25).otherwise(nation).alias("fabric_id"),
-        F.concat(F.when(k % 17 == 4, "new-").otherwise("ext-"), k).alias("external_job_id"),
+        F.when((segment == "AUTOMOBILE") & (nation < 10), nation + 3).otherwise(nation).alias("fabric_id"),
+        F.concat(F.when(nation == 4, "new-").otherwise("ext-"), k).alias("external_job_id"),
         (F.col("c_acctbal") > 1000).alias("enabled"),
-        (k % 19 != 8).alias("valid"),
+        (nation != 13).alias("valid"),
     )
 
 
 def changes(spark, sf_dir):
-    """A batch of changes of every kind, some of them failed."""
+    """A batch of changes of every kind, by nation, some of them failed."""
     k, nation = F.col("c_custkey"), F.col("c_nationkey")
     customer = table(spark, sf_dir, "customer")
-    kind = (
-        F.when(k % 8 == 0, "DELETED").when(k % 8 == 1, "REFRESH").when(k % 8 == 2, "UPDATED").when(k % 8 < 6, "CREATED")
-    )
+    kind = F.when(nation < 4, "DELETED").when(nation < 8, "REFRESH").when(nation < 11, "UPDATED").otherwise("CREATED")
     first = customer.select("*", k.alias("seq"), kind.alias("operation"), nation.alias("place"))
-    moved = customer.filter(k % 8 == 4).select(
-        "*", (k + 100_000_000).alias("seq"), F.lit("CREATED").alias("operation"), (nation + 7).alias("place")
+    again = customer.filter("c_mktsegment IN ('MACHINERY', 'FURNITURE')").select(
+        "*", (k + 100_000_000).alias("seq"), F.lit("CREATED").alias("operation"), (nation + 1).alias("place")
     )
-    return first.filter(F.col("operation").isNotNull()).unionByName(moved).select(
+    return first.unionByName(again).select(
         "seq",
         "operation",
-        (k % 9 == 0).alias("failed"),
+        (F.col("c_acctbal") > 9500).alias("failed"),
         F.concat(F.lit("jobs/"), k).alias("id"),
         F.concat(F.lit("changed "), "c_name").alias("name"),
         F.lit("A").alias("type"),
@@ -112,20 +111,22 @@ QUERIES = {
 
 _STATE = """
 base AS (SELECT c_custkey * 2 AS seq, c_custkey AS k, c_nationkey AS n, c_name, c_acctbal, c_mktsegment
-         FROM customer WHERE c_custkey % 11 <> 3),
+         FROM customer WHERE c_acctbal < 9000),
 twice AS (SELECT * FROM base UNION ALL
-          SELECT seq + 1, k, n + 1, c_name, c_acctbal, c_mktsegment FROM base WHERE k % 13 = 5),
+          SELECT seq + 1, k, n + 1, c_name, c_acctbal, c_mktsegment FROM base
+          WHERE c_mktsegment = 'FURNITURE' AND c_acctbal > 5000),
 state AS (SELECT seq, 'jobs/' || CAST(k AS VARCHAR) AS id, c_name AS name,
             CASE WHEN c_mktsegment = 'BUILDING' THEN 'B' ELSE 'A' END AS type,
-            'ext-' || CAST(k AS VARCHAR) AS external_job_id, CAST(n AS VARCHAR) AS fabric_id,
-            c_acctbal < 0 AS is_paused, k % 50 = 49 AS skip_processing, c_mktsegment AS release_tag FROM twice)"""
+            'ext-' || CAST(k AS VARCHAR) AS external_job_id, CAST(n AS VARCHAR) AS fabric_id, c_acctbal < 0 AS is_paused,
+            c_acctbal BETWEEN 2000 AND 2500 AS skip_processing, c_mktsegment AS release_tag FROM twice)"""
 
 _DESIRED = """
 desired AS (SELECT 'jobs/' || CAST(c_custkey AS VARCHAR) AS id,
-              CAST(CASE WHEN c_custkey % 5 = 2 THEN (c_nationkey + 3) % 25 ELSE c_nationkey END AS VARCHAR) AS fabric_id,
-              CASE WHEN c_custkey % 17 = 4 THEN 'new-' ELSE 'ext-' END || CAST(c_custkey AS VARCHAR) AS external_job_id,
-              c_acctbal > 1000 AS enabled, c_custkey % 19 <> 8 AS valid
-            FROM customer WHERE c_custkey % 7 <> 6)"""
+              CAST(CASE WHEN c_mktsegment = 'AUTOMOBILE' AND c_nationkey < 10 THEN c_nationkey + 3
+                        ELSE c_nationkey END AS VARCHAR) AS fabric_id,
+              CASE WHEN c_nationkey = 4 THEN 'new-' ELSE 'ext-' END || CAST(c_custkey AS VARCHAR) AS external_job_id,
+              c_acctbal > 1000 AS enabled, c_nationkey <> 13 AS valid
+            FROM customer WHERE NOT (c_acctbal < -500 OR (c_mktsegment = 'HOUSEHOLD' AND c_nationkey >= 20)))"""
 
 _ALLOWED = "CAST(fabric_id AS INTEGER) < 20"
 
@@ -154,15 +155,15 @@ UNION ALL SELECT id, fabric_id, external_job_id, 'ADD' FROM v WHERE enabled
 UNION ALL SELECT id, fabric_id, external_job_id, 'SKIP' FROM desired WHERE NOT valid""",
     "apply_changes": f"""
 WITH {_STATE},
-first AS (SELECT *, c_custkey AS seq, c_nationkey AS place,
-            CASE c_custkey % 8 WHEN 0 THEN 'DELETED' WHEN 1 THEN 'REFRESH' WHEN 2 THEN 'UPDATED'
-                 WHEN 3 THEN 'CREATED' WHEN 4 THEN 'CREATED' WHEN 5 THEN 'CREATED' END AS operation FROM customer),
-listed AS (SELECT * FROM first WHERE operation IS NOT NULL UNION ALL
-           SELECT * REPLACE (c_custkey + 100000000 AS seq, c_nationkey + 7 AS place) FROM first WHERE c_custkey % 8 = 4),
+listed AS (SELECT *, c_custkey AS seq, c_nationkey AS place,
+             CASE WHEN c_nationkey < 4 THEN 'DELETED' WHEN c_nationkey < 8 THEN 'REFRESH'
+                  WHEN c_nationkey < 11 THEN 'UPDATED' ELSE 'CREATED' END AS operation FROM customer
+           UNION ALL SELECT *, c_custkey + 100000000, c_nationkey + 1, 'CREATED' FROM customer
+           WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE')),
 done AS (SELECT seq, operation, 'jobs/' || CAST(c_custkey AS VARCHAR) AS id, 'changed ' || c_name AS name, 'A' AS type,
            'ext2-' || CAST(c_custkey AS VARCHAR) AS external_job_id, CAST(place AS VARCHAR) AS fabric_id,
            false AS is_paused, false AS skip_processing, 'own-' || CAST(c_custkey AS VARCHAR) AS release_tag
-         FROM listed WHERE c_custkey % 9 <> 0),
+         FROM listed WHERE NOT c_acctbal > 9500),
 untouched AS (SELECT 0 AS kind, s.* FROM state s WHERE NOT EXISTS (SELECT 1 FROM done c
     WHERE c.operation IN ('DELETED', 'REFRESH') AND c.id = s.id AND c.fabric_id = s.fabric_id)),
 cur AS (SELECT * FROM untouched UNION ALL

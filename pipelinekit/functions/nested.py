@@ -58,41 +58,46 @@ def drop_nulls_json(value: Column, kind: StructType | ArrayType | MapType) -> Co
     return F.to_json(without_nulls(value, kind), {"ignoreNullFields": "true"})
 
 
-def text_or_literal(json: Column, path: str) -> Column:
-    """A JSON value given as text, or as ``{"type": "literal", "value": text}``; else null.
+# What of a job document is read, in one parse. A text field holds a value that is no
+# text as JSON. Spark has to know where a key lies, so references are looked for at
+# processes.*.properties.pipelineId and components[*].PipelineComponent.pipelineId only.
+JOB = (
+    "processes map<string, struct<component:string, properties:struct<pipelineId:string, clusterSize:string>>>, "
+    "components array<struct<PipelineComponent:struct<pipelineId:string>>>"
+)
+
+
+def text_or_literal(raw: Column) -> Column:
+    """A value given as text, or as ``{"type": "literal", "value": text}``; else null.
 
     Arrays and other objects are no references and give null; a number gives its text.
     """
-    raw = F.get_json_object(json, path)
     wrapped = F.from_json(raw, "type string, value string")
-    is_object = raw.startswith("{")
     literal = F.when(wrapped.getField("type") == "literal", wrapped.getField("value"))
-    return F.when(is_object, literal).when(~raw.rlike(r"^\s*\["), raw)
+    return F.when(raw.startswith("{"), literal).when(~raw.startswith("["), raw)
 
 
-def json_entries(json: Column, path: str = "$") -> Column:
-    """The values of a JSON object keyed by id, each as JSON text; null if it is none."""
-    return F.map_values(F.from_json(F.get_json_object(json, path), "map<string,string>"))
+def processes(json: Column) -> Column:
+    """The processes of a job document, without their ids; null if it has none."""
+    return F.map_values(F.from_json(json, JOB).getField("processes"))
 
 
-def process_references(json: Column) -> Column:
-    """The reference of every process of a job document, in document order.
-
-    Null where the text is no JSON. Spark has to know where a key lies, so references
-    are looked for at ``processes.*.properties.pipelineId`` and
-    ``components[*].PipelineComponent.pipelineId`` only.
-    """
-    processes = F.transform(
-        F.coalesce(json_entries(json, "$.processes"), F.array().cast("array<string>")),
-        lambda process: text_or_literal(process, "$.properties.pipelineId"),
+def given_references(json: Column) -> Column:
+    """The references of a job document as they are given, in order."""
+    job = F.from_json(json, JOB)
+    none = F.array().cast("array<string>")
+    of_processes = F.transform(
+        F.map_values(job.getField("processes")), lambda p: p.getField("properties").getField("pipelineId")
     )
-    components = F.transform(
-        F.coalesce(
-            F.from_json(F.get_json_object(json, "$.components"), "array<string>"), F.array().cast("array<string>")
-        ),
-        lambda component: text_or_literal(component, "$.PipelineComponent.pipelineId"),
+    of_components = F.transform(
+        job.getField("components"), lambda c: c.getField("PipelineComponent").getField("pipelineId")
     )
-    found = F.filter(F.concat(processes, components), lambda reference: reference.isNotNull())
+    return F.array_compact(F.concat(F.coalesce(of_processes, none), F.coalesce(of_components, none)))
+
+
+def process_references(json: Column) -> Column:
+    """The references of a job document, in order; null where the text is no JSON."""
+    found = F.array_compact(F.transform(given_references(json), text_or_literal))
     return F.when(F.try_parse_json(json).isNotNull(), found)
 
 
@@ -111,7 +116,8 @@ def document_references(path: Column, json: Column) -> Column:
 
 def json_refs(df: DataFrame, json: str) -> DataFrame:
     """Distinct ids of the other projects a set of job documents refers to."""
-    references = df.select(F.explode(process_references(F.col(json))).alias("reference"))
+    given = df.select(F.explode(given_references(F.col(json))).alias("given"))
+    references = given.select(text_or_literal(F.col("given")).alias("reference"))
     return (
         references.select(reference_fields(F.col("reference")).getField("project_id").alias("project_id"))
         .filter(F.col("project_id").isNotNull())
@@ -121,10 +127,10 @@ def json_refs(df: DataFrame, json: str) -> DataFrame:
 
 def entities_of_kind(df: DataFrame, json: str, kind: str) -> DataFrame:
     """Distinct references of the processes of one component kind."""
-    process = df.select(F.explode(json_entries(F.col(json), "$.processes")).alias("process"))
+    process = df.select(F.inline(processes(F.col(json))))
     return (
-        process.filter(F.get_json_object("process", "$.component") == kind)
-        .select(text_or_literal(F.col("process"), "$.properties.pipelineId").alias("entity"))
+        process.filter(F.col("component") == kind)
+        .select(text_or_literal(F.col("properties.pipelineId")).alias("entity"))
         .filter(F.col("entity").isNotNull())
         .distinct()
     )
@@ -132,14 +138,14 @@ def entities_of_kind(df: DataFrame, json: str, kind: str) -> DataFrame:
 
 def entity_places(df: DataFrame, keys: Sequence[str], json: str) -> DataFrame:
     """One row per process that has an entity and a place (the size's text before ``/``)."""
-    process = df.select(*keys, F.explode(json_entries(F.col(json), "$.processes")).alias("process"))
-    size = F.get_json_object("process", "$.properties.clusterSize")
-    pairs = process.select(
+    process = df.select(*keys, F.inline(processes(F.col(json))))
+    size = F.col("properties.clusterSize")
+    pairs = process.filter(size != "").select(
         *keys,
-        text_or_literal(F.col("process"), "$.properties.pipelineId").alias("entity"),
-        F.when(size != "", F.split_part(size, F.lit("/"), F.lit(1))).alias("place"),
+        text_or_literal(F.col("properties.pipelineId")).alias("entity"),
+        F.split_part(size, F.lit("/"), F.lit(1)).alias("place"),
     )
-    return pairs.filter((F.col("entity") != "") & F.col("place").isNotNull())
+    return pairs.filter(F.col("entity") != "")
 
 
 def has_component(processes: Column, kind: str) -> Column:

@@ -10,7 +10,7 @@ SQL_FUNCTIONS = {
     "normalise_name": (
         "name STRING",
         "STRING",
-        r"regexp_replace(regexp_replace(name, r'[^\p{L}\p{N}_.]+', '_'), '__+', '_')",
+        r"regexp_replace(name, r'[^\p{L}\p{N}.]+', '_')",
     ),
     "strip_prefix": (
         "text STRING, prefix STRING",

@@ -19,14 +19,15 @@ TEMPLATE_SUFFIXES = (".json", ".scala", ".py")
 def reference_fields(text: Column) -> Column:
     """Split a reference into a struct of its five fields, all null without a match.
 
-    Of the tag only the part behind the first ``/`` (up to the next) is kept.
+    Of the tag only the part behind the first ``/`` (up to the next) is kept. The fields
+    cannot contain line breaks, so one replacement hands all of them over, divided by
+    those; it is shorter than the text, which tells a match from a miss.
     """
-    matched = text.rlike(REFERENCE)
-
-    def group(i: int) -> Column:
-        return F.when(matched, F.regexp_extract(text, REFERENCE, i))
-
-    fields = {name: group(i) for i, name in enumerate(REFERENCE_FIELDS, start=1)}
+    lines = "\n".join(f"${i}" for i in range(1, len(REFERENCE_FIELDS) + 1))
+    replaced = F.regexp_replace(text, f"(?d)(?s:^.*?){REFERENCE}(?s:.*$)", lines)
+    found = F.when(text.contains("gitUri=") & text.contains("&path="), replaced)
+    parts = F.when(found != text, F.split(found, "\n", -1))
+    fields = {name: parts[i] for i, name in enumerate(REFERENCE_FIELDS)}
     fields["tag"] = F.try_element_at(F.split(fields["tag"], "/"), F.lit(2))
     return F.struct(*[value.alias(name) for name, value in fields.items()])
 
@@ -47,7 +48,7 @@ def jar_version(path: Column) -> Column:
 
 def normalise_name(name: Column) -> Column:
     """Runs of other characters than letters, digits, ``_`` and ``.`` become one ``_``."""
-    return F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}_.]+", "_"), "__+", "_")
+    return F.regexp_replace(name, r"[^\p{L}\p{N}.]+", "_")
 
 
 def substitute(name: Column, text: Column, values: Mapping[str, str]) -> Column:

@@ -66,6 +66,20 @@ def frame_diff(
     )
 
 
+def assert_same(
+    left: DataFrame,
+    right: DataFrame,
+    cols: Sequence[str],
+    keys: Sequence[str] | None = None,
+    tolerance: float = 0.0,
+    show: int = 10,
+) -> None:
+    """Fail if two tables differ on ``cols``, showing at most ``show`` differences."""
+    found = frame_diff(left, right, cols, keys, tolerance).limit(show).collect()
+    if found:
+        raise AssertionError("tables differ, among others in:\n" + "\n".join(str(row.asDict()) for row in found))
+
+
 def row_predicates(df: DataFrame, predicates: Mapping[str, str | Column]) -> DataFrame:
     """One row: for each name, the number of rows its condition does not hold for.
 

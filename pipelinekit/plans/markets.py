@@ -39,24 +39,22 @@ def typed_returns(returns: DataFrame) -> DataFrame:
 
 def returns_by_bracket(returns: DataFrame, top_bracket: int = 6) -> DataFrame:
     """Returns in the top bracket, below it, and in all, per zip code."""
-    bracket, count = F.col("income_bracket"), F.col("num_returns")
     return returns.groupBy("zipcode").agg(
-        F.sum(F.when(bracket == top_bracket, count).otherwise(0)).alias("high_income_returns"),
-        F.sum(F.when(bracket < top_bracket, count).otherwise(0)).alias("low_income_returns"),
-        F.sum(count).alias("all_returns"),
+        F.expr(f"sum(if(income_bracket = {top_bracket}, num_returns, 0)) AS high_income_returns"),
+        F.expr(f"sum(if(income_bracket < {top_bracket}, num_returns, 0)) AS low_income_returns"),
+        F.sum("num_returns").alias("all_returns"),
     )
 
 
 def with_income_flag(brackets: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Share of high incomes, and whether it exceeds ``threshold``; null without returns."""
-    high, total = F.col("high_income_returns"), F.col("all_returns")
-    return brackets.select(
-        F.try_divide(100 * high, total).alias("high_income_percent"),
+    return brackets.selectExpr(
+        "try_divide(100 * high_income_returns, all_returns) AS high_income_percent",
         "zipcode",
         "high_income_returns",
         "low_income_returns",
         "all_returns",
-        (F.try_divide(high, total) > threshold).alias("is_high_income"),
+        f"try_divide(high_income_returns, all_returns) > {threshold}D AS is_high_income",
     )
 
 
@@ -66,44 +64,37 @@ def join_markets_and_income(markets: DataFrame, income: DataFrame) -> DataFrame:
 
 
 def with_market_flag(joined: DataFrame) -> DataFrame:
-    return joined.withColumn("has_fm", F.coalesce("num_farmers_markets", F.lit(0)) > 0)
+    return joined.withColumn("has_fm", F.expr("coalesce(num_farmers_markets, 0) > 0"))
+
+
+CASES = {
+    "has_fm_high_income": "has_fm AND is_high_income",
+    "has_fm_low_income": "has_fm AND NOT is_high_income",
+    "no_fm_high_income": "NOT has_fm AND is_high_income",
+    "no_fm_low_income": "NOT has_fm AND NOT is_high_income",
+}
 
 
 def with_cases(flagged: DataFrame) -> DataFrame:
     """The four market/income cases; a null income flag can leave a case null."""
-    fm, high = F.col("has_fm"), F.col("is_high_income")
-    return flagged.withColumns(
-        {
-            "has_fm_high_income": fm & high,
-            "has_fm_low_income": fm & ~high,
-            "no_fm_high_income": ~fm & high,
-            "no_fm_low_income": ~fm & ~high,
-        }
-    )
+    return flagged.selectExpr(*[f"{condition} AS {name}" for name, condition in CASES.items()], "*")
 
 
 def case_totals(cases: DataFrame) -> DataFrame:
     """Count each case over all rows: one row, also for no rows; null counts as no."""
-    def rows_where(condition: str):
-        return F.sum(F.expr(f"if({condition}, 1, 0)"))
-
-    names = ["has_fm_high_income", "has_fm_low_income", "no_fm_high_income", "no_fm_low_income"]
-    return cases.agg(
-        *[rows_where(name).alias(name) for name in names],
-        F.count(F.lit(1)).alias("num_zipcodes"),
-        rows_where("has_fm").alias("has_fm"),
-        rows_where("not has_fm").alias("no_fm"),
+    return cases.selectExpr(
+        *[f"sum(if({name}, 1, 0)) AS {name}" for name in CASES],
+        "count(1) AS num_zipcodes",
+        "sum(if(has_fm, 1, 0)) AS has_fm",
+        "sum(if(NOT has_fm, 1, 0)) AS no_fm",
     )
 
 
 def case_percents(totals: DataFrame) -> DataFrame:
-    return totals.select(
-        F.try_divide(100 * F.col("has_fm_high_income"), "has_fm").alias("has_fm_high_income_percent"),
-        F.try_divide(100 * F.col("no_fm_high_income"), "no_fm").alias("no_fm_high_income_percent"),
-        "has_fm_high_income",
-        "has_fm_low_income",
-        "no_fm_high_income",
-        "no_fm_low_income",
+    return totals.selectExpr(
+        "try_divide(100 * has_fm_high_income, has_fm) AS has_fm_high_income_percent",
+        "try_divide(100 * no_fm_high_income, no_fm) AS no_fm_high_income_percent",
+        *CASES,
         "num_zipcodes",
     )
 

@@ -123,6 +123,14 @@ def test_frame_diff_with_tolerance(spark, rows, group_rows):
     ]
 
 
+def test_assert_same_shows_a_few_differences(spark):
+    a, b = spark.range(0, 50), spark.range(20, 70)
+    checks.assert_same(a, a.repartition(2), ["id"])
+    with pytest.raises(AssertionError) as failure:
+        checks.assert_same(a, b, ["id"], show=3)
+    assert str(failure.value).count("side") == 3
+
+
 def test_predicates_and_metrics(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b"), (3, None)], "i int, s string")
     found = checks.row_predicates(df, {"small": "i < 2", "named": F.col("s").isNotNull()}).first().asDict()
