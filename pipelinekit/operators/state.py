@@ -202,15 +202,16 @@ def _with_release_tags(
     groups grow with the ``most`` creations an id has, not with its recorded rows.
 
     Once all earlier rows are replaced, the first creation of the id heads the list: it
-    took the tag of the first row there was at the very start, or kept its own. Both are
-    listed as entries from the beginning, behind all that are really there.
+    took the tag of the first row there was at the very start, or kept its own. Replaced
+    rows and creations are listed as entries for that, behind all that are really there.
     """
     rows = current.join(ids, all_equal(current, ids, ["id"]), "left_semi")
     rows = rows.groupBy("id", "until").agg(F.min(F.struct("place", "release_tag")).alias("entry"))
     # Step 0 is a row that can come first, step 1 a creation that asks which one does.
-    of_rows = rows.selectExpr("id", "entry", """inline(array(
-        named_struct('time', until, 'step', 0, 'kind', entry.place.kind),
-        named_struct('time', null, 'step', 0, 'kind', entry.place.kind + 2)))""")
+    of_rows = rows.selectExpr("id", "entry", """inline(if(until is null,
+        array(named_struct('time', until, 'step', 0, 'kind', entry.place.kind)),
+        array(named_struct('time', until, 'step', 0, 'kind', entry.place.kind),
+              named_struct('time', null, 'step', 0, 'kind', entry.place.kind + 2))))""")
     of_rows = of_rows.selectExpr("id", "time", "step", "kind", "entry.place.seq as seq", "entry.release_tag", "null as creation")
     of_creations = created.selectExpr("id", """inline(array(
         named_struct('time', create.seq, 'step', 1, 'kind', null, 'seq', null, 'release_tag', null, 'creation', create),

@@ -45,31 +45,24 @@ def order_totals(orders: DataFrame) -> DataFrame:
     )
 
 
-def _per_customer(customers: DataFrame, *details: str) -> DataFrame:
-    """One row per customer id: its copies, and the details of its least copy."""
-    return customers.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct(*details)).alias("details")
-    )
-
-
-def _joined_totals(orders: DataFrame, customers: DataFrame, *details: str) -> DataFrame:
+def _joined_totals(orders: DataFrame, customers: DataFrame, *details: Column) -> DataFrame:
     """Totals over the join of orders and customers, computed before joining.
 
-    A customer listed several times matches each of its orders that many times.
+    A customer listed several times matches each of its orders that many times; the
+    ``details`` aggregate its copies.
     """
-    joined = order_totals(orders).join(_per_customer(customers, *details), "customer_id")
-    return joined.select(
-        "customer_id",
-        (F.col("orders") * F.col("copies")).alias("orders"),
-        (F.col("amounts") * F.col("copies")).alias("amounts"),
-        *[F.col(f"details.{name}") for name in details],
-    )
+    per_customer = customers.groupBy("customer_id").agg(F.count(F.lit(1)).alias("copies"), *details)
+    joined = order_totals(orders).join(per_customer, "customer_id")
+    return joined.withColumns(
+        {"orders": F.col("orders") * F.col("copies"), "amounts": F.col("amounts") * F.col("copies")}
+    ).drop("copies")
 
 
 def customer_orders(orders: DataFrame, customers: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Orders, amounts and account age per customer."""
-    days = F.datediff(F.current_date() if as_of is None else as_of, F.col("account_open_date").try_cast("date"))
-    return _joined_totals(orders, customers, "account_open_date").select(
+    """Orders, amounts and account age per customer; of several opening dates the first counts."""
+    opened = F.min(F.col("account_open_date").try_cast("date")).alias("opened")
+    days = F.datediff(F.current_date() if as_of is None else as_of, F.col("opened"))
+    return _joined_totals(orders, customers, opened).select(
         "customer_id", "orders", "amounts", days.alias("account_length_days")
     )
 
@@ -85,8 +78,9 @@ def customer_totals(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
     The customer id breaks ties, so equal amounts cannot pile up in one sort range.
     """
-    totals = _joined_totals(orders, customers, "first_name", "last_name")
-    return full_name_totals(totals).orderBy(F.col("amount").desc(), "customer_id")
+    totals = _joined_totals(orders, customers, F.min(F.struct("first_name", "last_name")).alias("name"))
+    named = totals.select("customer_id", "amounts", "name.first_name", "name.last_name")
+    return full_name_totals(named).orderBy(F.col("amount").desc(), "customer_id")
 
 
 def top_customers(summary: DataFrame, n: int = 10) -> DataFrame:
