@@ -159,31 +159,32 @@ def apply_changes(state: DataFrame, changes: DataFrame, group_rows: int = GROUP_
     done = changes.filter(~F.coalesce("failed", F.lit(False)))
     row = F.struct("seq", *columns)
 
-    def of(operation: str, value: Column) -> Column:
-        return F.when(F.col("operation") == operation, value)
-
-    # One row per changed key. Changes are few against the state, so they are reduced
-    # first; the state meets them in joins that need not shuffle it if they are small.
-    per_key = done.filter(F.col("operation").isin("DELETED", "REFRESH", "CREATED")).groupBy(*KEY)
-    per_key = per_key.agg(
-        F.max(of("REFRESH", row)).alias("refresh"),
-        F.max(of("CREATED", row)).alias("create"),
-        F.min(of("CREATED", F.col("seq"))).alias("first_create"),
+    def last_of(operation: str) -> DataFrame:
+        rows = done.filter(F.col("operation") == operation).groupBy(*KEY)
+        return rows.agg(F.max(row).alias("row"), F.min("seq").alias("first_seq"))
+
+    # One row per changed key, with the time a creation replaces it, if ever. Changes are
+    # few against the state, so they are reduced first; the state meets them in a join that
+    # need not shuffle it if they are small.
+    touched = done.filter(F.col("operation").isin("DELETED", "REFRESH", "CREATED")).groupBy(
+        *[F.col(k).alias(f"__{k}") for k in KEY]
+    )
+    touched = touched.agg(
+        F.min(F.when(F.col("operation") == "CREATED", F.col("seq"))).alias("until"),
         F.bool_or(F.col("operation").isin("DELETED", "REFRESH")).alias("replaced"),
     )
 
-    # The state before creations, each row with the time a creation replaces it, if ever.
-    # Refreshed rows stand behind the untouched ones.
-    touched = per_key.select(*[F.col(k).alias(f"__{k}") for k in KEY], "replaced", F.col("first_create").alias("until"))
+    # The state before creations. Refreshed rows stand behind the untouched ones.
     untouched = state.join(touched, all_equal(state, touched, KEY), "left")
     untouched = untouched.filter(~F.coalesce("replaced", F.lit(False)))
-    refreshed = per_key.filter(F.col("refresh").isNotNull()).select("refresh.*", F.col("first_create").alias("until"))
+    refreshed = last_of("REFRESH").select("row.*")
+    refreshed = refreshed.join(touched, all_equal(refreshed, touched, KEY), "left")
 
     def listed(rows: DataFrame, kind: int) -> DataFrame:
         return rows.select(*columns, "until", F.struct(F.lit(kind).alias("kind"), F.col("seq").alias("seq")).alias("place"))
 
     current = listed(untouched, 0).unionByName(listed(refreshed, 1))
-    created = per_key.filter(F.col("create").isNotNull()).select("id", "create", "first_create")
+    created = last_of("CREATED").select("id", F.col("row").alias("create"), F.col("first_seq").alias("first_create"))
     creations = done.filter(F.col("operation") == "CREATED")
     ids = creations.select(F.col("id").alias("__id")).distinct()
     tagged = _with_release_tags(current, ids, created, columns, largest_group(creations, ["id"]), group_rows)
