@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelinekit.storage import checkpointed
+from pipelinekit.storage import stored
 
 GROUP_ROWS = 1_000_000  # largest group that may be ordered within one task
 LIST_ROWS = 10_000  # longest list put into one row
@@ -52,8 +52,8 @@ def running(
     ordered = df.withColumn("__value", value).repartitionByRange(*by, *order_by)
     ordered = ordered.sortWithinPartitions(*by, *order_by).withColumn("__at", F.monotonically_increasing_id())
     # The partition of a row must not change between the two uses below, not even when
-    # an executor is lost, hence the checkpoint. The upper bits of the id hold it.
-    ordered = checkpointed(ordered).withColumn("__part", F.shiftright("__at", 33))
+    # an executor is lost, hence the stored table. The upper bits of the id hold it.
+    ordered = stored(ordered, "ordered").withColumn("__part", F.shiftright("__at", 33))
 
     parts = ordered.groupBy(*by, "__part").agg(merge("__value").alias("__part_value"))
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

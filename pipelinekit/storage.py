@@ -1,27 +1,21 @@
-"""Shared scratch folder used for checkpoints and round-trip files."""
+"""Shared scratch folder for tables that cut a lineage and for round-trip files.
+
+The folder is the one the cluster names in ``spark.checkpoint.dir``; where that is unset,
+a folder under ``spark.sql.warehouse.dir``, the same rule on every master. Nothing here
+removes files: a checkpoint folder is emptied by whoever runs the cluster.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master, where
-    driver and executors share one machine, falls back to a temporary folder.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named:
-        return named
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="pipelinekit-"))
-    return context.getCheckpointDir()
+    """Folder every executor can reach."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pipelinekit-scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -29,10 +23,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage, stored reliably in the shared folder."""
-    context = df.sparkSession.sparkContext
-    folder = shared_dir(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and safe when executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
