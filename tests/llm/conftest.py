@@ -1,0 +1,47 @@
+"""Small corpora with the awkward rows that every operator has to survive."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, of long, stats string, body long"
+
+
+def prose(rng: random.Random, words: int, kinds: int = 400) -> str:
+    return " ".join(f"w{rng.randrange(kinds)}{rng.choice(['', '', '', ',', '.'])}" for _ in range(words))
+
+
+def near_copy(rng: random.Random, text: str, changes: int) -> str:
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = f"x{rng.randrange(1000)}"
+    return " ".join(words)
+
+
+@pytest.fixture(scope="session")
+def texts() -> list[tuple[int | None, str | None]]:
+    """(doc_id, text): prose, copies, near copies, shared passages, and rows out of the ordinary."""
+    rng = random.Random(7)
+    found: list[str | None] = [prose(rng, rng.randrange(40, 300)) for _ in range(40)]
+    found += [found[3]] * 5 + [near_copy(rng, found[4], 1) for _ in range(6)] + [found[5].upper()]
+    passage = prose(rng, 60)
+    found += [f"{prose(rng, 50)} {passage} {prose(rng, 30)}" for _ in range(5)]
+    found += [None, "", "   \n\t ", "one", "one two", "a b c", "ä ö ü x é", "\x1c\x1d odd\x0bwords\x0chere", "x" * 5000, prose(rng, 20_000)]
+    found += ["same words here " * 60, "tail\n" * 30, "Σίσυφος İstanbul ß ﬁ é", "😀 emoji 😀 text"]
+    rows: list[tuple[int | None, str | None]] = list(enumerate(found))
+    rng.shuffle(rows)
+    return [*rows, rows[0], rows[0], (7, "another text under a taken number"), (None, found[3]), (None, None), (None, passage)]
+
+
+@pytest.fixture(scope="session")
+def documents(spark, texts):
+    """The texts with other columns, some named like those that operators use inside."""
+    rows = [(i, t, "en" if n % 3 else None, f"s{n % 4}" if n % 5 else None, len(t or ""), "row", n, n, "stats", n) for n, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
