@@ -11,6 +11,7 @@ the best packing of each block leaves in poorly filled sequences is dealt into b
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -34,50 +35,65 @@ POPULATION = 4
 OFFSPRING = 6  # crossovers in an epoch
 WELL_FILLED = 0.99  # of a sequence; what crossovers inject
 SETTLED = 0.995  # of a sequence; fuller ones stay after the first round
-CACHE_WORDS = 400_000  # distinct words whose ids a task holds
+CACHE_WORDS = 150_000  # distinct words whose ids a task holds, and as many older ones
 
 EDGE = ".,!?;:$&%*#|"
-ODD = regex.compile("[̀-\U0010ffff\x1c-\x1f]")
+# Characters for which lower case, normal form or white space may differ between Python and the tokenizer.
+ODD = regex.compile("[\u0300-\U0010ffff\x1c-\x1f]")
+# The tokenizer writes each byte of a word as a character: visible ones of Latin-1 as themselves, the others from 256 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+WRITTEN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in VISIBLE)}
 
 
 class WordIds:
     """Ids of texts by a tokenizer whose pieces never span white space, word by word with a cache.
 
-    Words are cut off their trailing marks, which the tokenizer splits off too. Texts with characters for which lower-casing
+    Words are cut off their trailing marks, which the tokenizer splits off too, as one piece. Texts with characters for which lower-casing
     or white space may differ between here and the tokenizer go through the tokenizer as a whole.
     """
 
     def __init__(self, model: str) -> None:
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {"": b""}
+        self.cache: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}  # what the cache held before it was last emptied
+        self.tails: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = []
+        for i in range(0, len(texts), 500):  # what the tokenizer returns takes far more memory than the ids
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts[i : i + 500], add_special_tokens=False)]
+        return found
 
     def learn(self, found: set[str]) -> None:
-        cache = self.cache
-        cores: dict[str, bytes] = {}
+        cache, merged, rest = self.cache, self.tokenizer.model.tokenize, []
         for word in found:
-            core = word.rstrip(EDGE)
-            cores[core] = cores[word[len(core) :]] = b""
-        plain = [c for c in cores if c.isascii() and c.isalpha()]
-        for core in plain:
-            cores[core] = np.array([t.id for t in self.tokenizer.model.tokenize(core)], "<u4").tobytes()
-        rest = [c for c in cores if c and not (c.isascii() and c.isalpha())]
-        cores.update(zip(rest, self.encoded(rest), strict=True))
-        for word in found:
-            core = word.rstrip(EDGE)
-            cache[word] = cores[core] + cores[word[len(core) :]]
+            core = word if word.isalpha() else word.rstrip(EDGE)
+            if not core.isalpha():
+                rest.append(word)
+                continue
+            # A word of letters is one piece, to which merges apply directly; so are the marks behind it.
+            known = cache.get(core)
+            if known is None:
+                written = core if core.isascii() else core.encode().decode("latin-1").translate(WRITTEN)
+                known = array("I", [t.id for t in merged(written)]).tobytes()
+            if core is not word:
+                tail = word[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = array("I", [t.id for t in merged(tail)]).tobytes()
+                known += self.tails[tail]
+            cache[word] = known
+        cache.update(zip(rest, self.encoded(rest), strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit numbers, without an end."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
+            self.cache, self.former = {}, self.cache
         split = [None if t and ODD.search(t) else (t or "").lower().split() for t in texts]
         missing = {w for found in split if found for w in found} - self.cache.keys()
-        if missing:
-            self.learn(missing)
+        known = missing & self.former.keys()
+        self.cache.update((w, self.former[w]) for w in known)
+        self.learn(missing - known)
         whole = iter(self.encoded([t for t, found in zip(texts, split, strict=True) if found is None]))
         get = self.cache.__getitem__
         return [next(whole) if found is None else b"".join(map(get, found)) for found in split]
@@ -164,14 +180,16 @@ def evolve(sizes: list[int], elites: list[Packing], length: int, seed: int) -> P
     rng = np.random.default_rng(seed)
     if sum(sizes) <= length:
         return best_fit(list(range(len(sizes))), sizes, [], length)
+    lower = -(-sum(sizes) // length)
     people = list(elites)
     if not people:
         people.append(best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, [], length))
+    if min(map(len, people)) == lower:  # nothing can be better
+        return min(people, key=len)
     while len(people) < POPULATION:
         blurred = np.array(sizes) * rng.uniform(0.7, 1.3, len(sizes))
         people.append(best_fit(np.argsort(-blurred).tolist(), sizes, [], length))
     people.sort(key=lambda p: worth(p, length), reverse=True)
-    lower = -(-sum(sizes) // length)
     for _ in range(OFFSPRING):
         if len(people[0]) == lower:
             break
