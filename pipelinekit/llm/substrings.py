@@ -4,7 +4,7 @@ The Rabin-Karp hash of every window of 13 words is computed as a polynomial over
 windows by hash and keeps, per distinct hash, the smallest document that has it: what repeats inside the
 slab is settled there, and a passage that a third of all documents share costs one entry per slab. The entries
 go, in packed runs, to the bucket of their hash, where the smallest document of all slabs is found. Every
-(document, hash) that has an earlier document goes back to its document, where the covered words of overlapping windows merge into
+(document, hash) that has an earlier document goes back, with others of its team of documents, to its document, where the covered words of overlapping windows merge into
 maximal intervals, which are removed.
 """
 
@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -26,7 +25,7 @@ from pipelinekit.operators.conditions import keys_match
 
 WINDOW = 13
 SLAB = 1_500_000  # windows that a task sorts at a time
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 BASE = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier, so that no word of a window is lost
 
 
@@ -61,8 +60,17 @@ def planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def unplaned(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+
+
+def steps(values: np.ndarray) -> bytes:
+    """Sorted numbers as their first one and the steps between them, which have few high bytes."""
+    return planes(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unstepped(data: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(data), dtype=np.uint64)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -90,8 +98,22 @@ def per_document(hashes: np.ndarray, docs: np.ndarray) -> tuple[list[int], list[
     return [int(d[a]) for a in cuts[:-1]], [h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def per_team(hashes: np.ndarray, docs: np.ndarray, teams: int) -> dict[str, list]:
+    """(document, hash) pairs packed into a row for each team of documents."""
+    team = bucket_of(docs.view(np.uint64) * BASE, teams)
+    order = np.lexsort((docs, team))
+    h, d, runs = hashes[order], docs[order], np.searchsorted(team[order], np.arange(teams + 1))
+    filled = np.flatnonzero(np.diff(runs))
+    parts = [slice(runs[t], runs[t + 1]) for t in filled]
+    return {"team": filled.tolist(), "owners": [planes(d[p]) for p in parts], "hashes": [planes(h[p]) for p in parts]}
+
+
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(key, text) -> (key, hashes): per document the windows that a smaller key also has."""
+    """(key, text) -> (key, hashes): per document the windows that a smaller key also has.
+
+    Rows between tasks are packed runs, one for each slab and bucket of hashes, then one for each bucket and team of
+    documents, so their number depends on the tasks and not on the windows.
+    """
     buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def entries(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -102,13 +124,15 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             owners = np.repeat(np.array([k for _, k in held], np.int64), [len(h) for h, _ in held])
             h, least, again, later = least_per_hash(hashes, owners)
             runs = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-            filled = np.flatnonzero(np.diff(runs))
-            names, repeats = per_document(again, later)
+            filled = np.flatnonzero(np.diff(runs)).tolist()
+            own, base = [slice(runs[b], runs[b + 1]) for b in filled], least.min() if len(least) else 0
+            done = per_team(again, later, buckets)
             return {
-                "bucket": [int(b) for b in filled] + [buckets + k % buckets for k in names],
-                "key": [None] * len(filled) + names,
-                "hashes": [planes(h[runs[b] : runs[b + 1]]) for b in filled] + repeats,
-                "least": [planes(least[runs[b] : runs[b + 1]]) for b in filled] + [None] * len(names),
+                "bucket": filled + done["team"],
+                "team": [None] * len(filled) + done["team"],
+                "base": [int(base)] * len(filled) + [None] * len(done["team"]),
+                "hashes": [steps(h[p]) for p in own] + done["hashes"],
+                "owners": [planes(least[p] - base) for p in own] + done["owners"],
             }
 
         waiting = 0
@@ -125,23 +149,33 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         if held:
             yield settled()
 
-    answer = StructType.fromDDL("key long, hashes binary")
-    target = to_arrow_schema(answer)
+    packed = StructType.fromDDL("team long, hashes binary, owners binary")
+    packed_arrow = to_arrow_schema(packed)
 
     def earlier(table: pa.Table) -> pa.Table:
         """One bucket: what slabs have settled passes through, their entries meet."""
-        done = table.filter(pc.is_valid(table["key"])).select(["key", "hashes"]).cast(target)
-        packed = table.filter(pc.is_null(table["key"]))
-        if not packed.num_rows:
+        done = table.filter(pc.is_valid(table["team"])).select(["team", "hashes", "owners"]).cast(packed_arrow)
+        open_rows = table.filter(pc.is_null(table["team"]))
+        if not open_rows.num_rows:
             return done
-        hashes = np.concatenate([unplaned(b, np.uint64) for b in packed["hashes"].to_pylist()])
-        owners = np.concatenate([unplaned(b, np.int64) for b in packed["least"].to_pylist()])
+        hashes = np.concatenate([unstepped(b) for b in open_rows["hashes"].to_pylist()])
+        bases = open_rows["base"].to_pylist()
+        owners = np.concatenate([unplaned(b).view(np.int64) + base for b, base in zip(open_rows["owners"].to_pylist(), bases, strict=True)])
         _, _, again, later = least_per_hash(hashes, owners)
-        names, repeats = per_document(again, later)
-        return pa.concat_tables([done, pa.Table.from_batches([arrow({"key": names, "hashes": repeats}, target)])])
+        return pa.concat_tables([done, pa.Table.from_batches([arrow(per_team(again, later, buckets), packed_arrow)])])
+
+    answer = StructType.fromDDL("key long, hashes binary")
+    answer_arrow = to_arrow_schema(answer)
+
+    def regrouped(table: pa.Table) -> pa.Table:
+        """One team: a row per document."""
+        hashes = np.concatenate([unplaned(b) for b in table["hashes"].to_pylist()])
+        owners = np.concatenate([unplaned(b) for b in table["owners"].to_pylist()]).view(np.int64)
+        names, repeats = per_document(hashes, owners)
+        return pa.Table.from_batches([arrow({"key": names, "hashes": repeats}, answer_arrow)])
 
-    sent = map_stream(docs, entries, "bucket long, key long, hashes binary, least binary")
-    return sent.groupBy("bucket").applyInArrow(earlier, answer)
+    sent = map_stream(docs, entries, "bucket long, team long, base long, hashes binary, owners binary")
+    return sent.groupBy("bucket").applyInArrow(earlier, packed).groupBy("team").applyInArrow(regrouped, answer)
 
 
 def removed_words(hashes: np.ndarray, repeated: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -165,17 +199,16 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     probability n / 2**64.
     """
     packed = docs.selectExpr(f"CAST(`{key}` AS bigint) AS key", f"`{text}` AS text")
-    repeats = repeated_windows(packed, size).groupBy(F.col("key").alias("of")).agg(F.collect_list("hashes").alias("hashes"))
+    repeats = repeated_windows(packed, size).withColumnRenamed("key", "of")
     joined = packed.join(repeats, keys_match([(packed["key"], repeats["of"])]), "left").select("key", "text", "hashes")
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": [], "intervals": []}
-        for body, blobs in zip(utf8(batch.column("text")), batch.column("hashes").to_pylist(), strict=True):
+        for body, blob in zip(utf8(batch.column("text")), batch.column("hashes").to_pylist(), strict=True):
             found = words(body)
             cut = np.zeros((0, 2), np.int64)
-            if blobs:
-                repeated = np.frombuffer(b"".join(blobs), np.uint64)
-                cut = removed_words(window_hashes(found, size), repeated, size)
+            if blob:
+                cut = removed_words(window_hashes(found, size), np.frombuffer(blob, np.uint64), size)
             kept, at = [], 0
             for start, end in cut.tolist():
                 kept += found[at:start]
