@@ -66,7 +66,8 @@ def bigrams(docs: DataFrame, target: DataFrame, known: dict[bytes, int], size: i
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
     wanted = target.select(F.col(key).alias("of")).filter(F.col("of").isNotNull()).distinct().withColumn("wanted", F.lit(True))
-    flagged = docs.join(wanted, keys_match([(docs["key"], wanted["of"])]), "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    # The target may be of any size: the same shuffled join whatever it is, rather than a broadcast while it is small.
+    flagged = docs.join(wanted.hint("shuffle_hash"), keys_match([(docs["key"], wanted["of"])]), "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts = np.zeros((2, size * size), np.int32)
