@@ -99,8 +99,8 @@ def segment_report(spark, sf_dir):
 
 
 def reformat_config(spark, sf_dir):
-    instance = {"c_string": "string_new_value", "c_int": 45, "c_boolean": False}
-    config = load_config(ReformatConfig, instance, {"c_int": 46})
+    instance = {"c_string": "fresh", "c_int": 7, "c_boolean": False}
+    config = load_config(ReformatConfig, instance, {"c_int": 8})
     rows = customer_rows(spark, sf_dir).select(
         "customer_id",
         "first_name",
@@ -179,7 +179,7 @@ SELECT CAST(100 * a AS DOUBLE) / nullif(a + b, 0) AS has_fm_high_income_percent,
        a AS has_fm_high_income, b AS has_fm_low_income, c AS no_fm_high_income, d AS no_fm_low_income,
        n AS num_zipcodes FROM t""",
     "reformat_config": f"""
-SELECT c_name || c_mktsegment || 'string_new_value' || '46' || 'false' AS col1, c_custkey AS customer_id,
+SELECT c_name || c_mktsegment || 'fresh' || '8' || 'false' AS col1, c_custkey AS customer_id,
        c_name AS first_name, c_mktsegment AS last_name, {_OPENED} AS account_open_date FROM customer""",
     "script_node": f"""
 SELECT c_custkey AS customer_id, upper(c_name) AS first_name, c_mktsegment AS last_name,

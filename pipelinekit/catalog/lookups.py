@@ -30,13 +30,11 @@ def lookup_nth(spark, sf_dir):
 
 
 def lookup_match(spark, sf_dir):
-    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
-    return ops.lookup_match(_customers(spark, sf_dir), urgent, ON)
+    return ops.lookup_match(_customers(spark, sf_dir), table(spark, sf_dir, "orders"), ON)
 
 
 def lookup_count(spark, sf_dir):
-    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
-    return ops.lookup_count(_customers(spark, sf_dir), urgent, ON)
+    return ops.lookup_count(_customers(spark, sf_dir), table(spark, sf_dir, "orders"), ON)
 
 
 def _rows(spark, sf_dir, reverse):
@@ -62,7 +60,17 @@ def lookup_range(spark, sf_dir):
     bands = table(spark, sf_dir, "nation").select(
         (F.col("n_nationkey") * 20).cast("double").alias("lo"), (F.col("n_nationkey") * 20 + 15).cast("double").alias("hi"), "n_name"
     )
-    return ops.range_lookup(events, bands, "value", "lo", "hi", ["n_name"], bin_width=20.0)
+    return ops.range_lookup(events, bands, "value", "lo", "hi", ["n_name"])
+
+
+def lookup_range_open(spark, sf_dir):
+    """Event values in overlapping ranges from 1 to 1e9 wide, some without a lower or an upper end."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    n, none = F.col("n_nationkey"), float("inf")
+    lo = F.when(n % 5 == 1, F.lit(-none)).otherwise((n * 4).cast("double"))
+    hi = F.when(n % 5 == 1, (n * 2).cast("double")).when(n % 5 == 2, F.lit(none)).otherwise(n * 4 + F.pow(F.lit(10.0), n % 10))
+    bands = table(spark, sf_dir, "nation").select(lo.alias("lo"), hi.alias("hi"), "n_name")
+    return ops.range_lookup(events, bands, "value", "lo", "hi", ["n_name"])
 
 
 QUERIES = {
@@ -74,6 +82,7 @@ QUERIES = {
     "lookup_rows": lookup_rows,
     "lookup_rows_reversed": lookup_rows_reversed,
     "lookup_range": lookup_range,
+    "lookup_range_open": lookup_range_open,
 }
 
 _CUSTOMERS = "(SELECT c_custkey + 20 AS c_custkey, c_name FROM customer)"
@@ -95,19 +104,24 @@ l AS (SELECT o_custkey, CAST((pos - 1) // 4 AS INTEGER) AS chunk,
 SELECT c_custkey, coalesce(chunk, 0) AS chunk, rows FROM {_CUSTOMERS} c LEFT JOIN l ON o_custkey = c_custkey"""
 
 
-_URGENT = "(SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)"
+_COUNTED = "(SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)"
 
 ORACLE = {
     "lookup_first": _ranked("ASC", 1),
     "lookup_last": _ranked("DESC", 1),
     "lookup_nth": _ranked("ASC", 3),
     "lookup_match": f"""
-SELECT c_custkey, c_name, n IS NOT NULL AS matched FROM {_CUSTOMERS} c LEFT JOIN {_URGENT} ON o_custkey = c_custkey""",
+SELECT c_custkey, c_name, n IS NOT NULL AS matched FROM {_CUSTOMERS} c LEFT JOIN {_COUNTED} ON o_custkey = c_custkey""",
     "lookup_count": f"""
-SELECT c_custkey, c_name, coalesce(n, 0) AS matches FROM {_CUSTOMERS} c LEFT JOIN {_URGENT} ON o_custkey = c_custkey""",
+SELECT c_custkey, c_name, coalesce(n, 0) AS matches FROM {_CUSTOMERS} c LEFT JOIN {_COUNTED} ON o_custkey = c_custkey""",
     "lookup_rows": _listed("ASC"),
     "lookup_rows_reversed": _listed("DESC"),
     "lookup_range": """
 SELECT event_id, value, n_name FROM events LEFT JOIN nation
 ON value >= n_nationkey * 20 AND value < n_nationkey * 20 + 15""",
+    "lookup_range_open": """
+SELECT event_id, value, n_name FROM events LEFT JOIN nation
+ON (n_nationkey % 5 = 1 OR value >= n_nationkey * 4)
+AND CASE n_nationkey % 5 WHEN 1 THEN value < n_nationkey * 2 WHEN 2 THEN true
+  ELSE value < n_nationkey * 4 + pow(10.0, n_nationkey % 10) END""",
 }

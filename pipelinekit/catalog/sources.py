@@ -133,17 +133,26 @@ def json_flatten(spark, sf_dir):
 
 def json_documents(spark, sf_dir):
     """Documents over several lines, one per file."""
-    nation = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("string").alias("id"),
-        F.col("n_name").alias("kind"),
+    supplier = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("id"),
+        F.col("s_name").alias("kind"),
         F.lit("2024-01-01").alias("day"),
     )
     path = scratch_path(spark, "documents")
-    text = _documents(nation).select(F.to_json(F.struct("result"), {"pretty": "true"}).alias("value"))
+    text = _documents(supplier).select(F.to_json(F.struct("result"), {"pretty": "true"}).alias("value"))
     text.write.option("maxRecordsPerFile", 1).text(path)
     return _flat(read(spark, DatasetSpec("json", path, {"multiLine": True}, DOCUMENT)))
 
 
+def write_once(spark, sf_dir):
+    """Written with the mode unset, then with mode ``error``, to folders that do not exist yet."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    specs = [DatasetSpec("parquet", scratch_path(spark, "once"), {}, "c_custkey long, c_name string", mode) for mode in (None, "error")]
+    for spec in specs:
+        write(rows, spec)
+    return read(spark, specs[0]).unionByName(read(spark, specs[1]))
+
+
 def sorted_report(spark, sf_dir):
     """A sorted table written to files; the order shows in file name and line."""
     df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("balance"))
@@ -161,6 +170,7 @@ QUERIES = {
     "json_flatten": json_flatten,
     "json_documents": json_documents,
     "sorted_report": sorted_report,
+    "write_once": write_once,
 }
 
 _ORDERS = """
@@ -191,7 +201,8 @@ SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_nationkey AS VARCHAR) AS
     "short_schema_read": f"SELECT order_id, customer_id, order_status FROM ({_ORDERS})",
     "parquet_roundtrip": "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer",
     "json_flatten": _flat_sql("events", "event_type", "CAST(CAST(ts AS DATE) AS VARCHAR)", "event_id"),
-    "json_documents": _flat_sql("nation", "n_name", "'2024-01-01'", "n_nationkey"),
+    "json_documents": _flat_sql("supplier", "s_name", "'2024-01-01'", "s_suppkey"),
+    "write_once": "SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer",
     "sorted_report": """
 SELECT c_custkey AS id, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance FROM customer""",
 }

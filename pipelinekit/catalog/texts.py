@@ -141,10 +141,18 @@ def version_gate(spark, sf_dir):
 
 
 def versions_in_sync(spark, sf_dir):
-    """Whether all parts of a brand and type share the version of the brand's least part."""
-    every = _versions(spark, sf_dir)
-    expected = every.groupBy("p_brand", "p_type").agg(F.min_by("version", "p_partkey").alias("expected"))
-    return versions.in_sync(every.join(expected, ["p_brand", "p_type"]), ["p_brand", "p_type"], "version", "expected")
+    """Whether all parts of a brand and type have the same version."""
+    return versions.all_equal(_versions(spark, sf_dir), ["p_brand", "p_type"], "version")
+
+
+def version_long_numbers(spark, sf_dir):
+    """Majors of 30 to 49 digits against a target of 40."""
+    digits = (F.lit(30) + F.col("p_partkey") % 20).cast("int")
+    version = F.concat_ws(".", F.repeat(F.lit("7"), digits), F.col("p_size").cast("string"), F.lit("0"))
+    target = F.lit("7" * 40 + ".25.0")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", versions.is_later(version, target).alias("later"), versions.is_later(target, version).alias("earlier")
+    )
 
 
 QUERIES = {
@@ -159,6 +167,7 @@ QUERIES = {
     "latest_version": latest_version,
     "version_gate": version_gate,
     "versions_in_sync": versions_in_sync,
+    "version_long_numbers": version_long_numbers,
 }
 
 _VERSIONS = """
@@ -221,4 +230,7 @@ WITH {_VERSIONS}, f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY
 SELECT w.p_brand, w.p_type, bool_and(w.ok AND f.ok AND (w.major, w.minor, w.patch, w.rank, w.rc)
                                                   = (f.major, f.minor, f.patch, f.rank, f.rc)) AS in_sync
 FROM w JOIN f ON w.p_brand = f.p_brand AND w.p_type = f.p_type GROUP BY 1, 2""",
+    "version_long_numbers": """
+SELECT p_partkey, d > 40 OR (d = 40 AND p_size > 25) AS later, d < 40 OR (d = 40 AND p_size < 25) AS earlier
+FROM (SELECT *, 30 + p_partkey % 20 AS d FROM part)""",
 }

@@ -21,18 +21,22 @@ SEMVER = (
 def version_key(version: Column) -> Column:
     """A struct that compares as semantic versions do; null if unparsable.
 
-    Numbers are kept as ``decimal(38)``. A release sorts behind its pre-releases, whose
+    Numbers have no leading zeros, so they compare as their length and then their digits,
+    however long they are. A release sorts behind its pre-releases, whose
     items compare one by one, numbers before words. Build metadata has no weight.
     """
+    def sized(digits: Column) -> Column:
+        return F.struct(F.length(digits).alias("length"), digits.alias("digits"))
+
     def number(i: int) -> Column:
-        return F.regexp_extract(version, SEMVER, i).try_cast("decimal(38,0)")
+        return sized(F.regexp_extract(version, SEMVER, i))
 
     pre = F.regexp_extract(version, SEMVER, 4)
     items = F.transform(
         F.when(pre == "", F.array().cast("array<string>")).otherwise(F.split(pre, r"\.")),
         lambda item: F.struct(
             (~item.rlike(r"^\d+$")).alias("is_word"),
-            F.when(item.rlike(r"^\d+$"), item.try_cast("decimal(38,0)")).alias("number"),
+            F.when(item.rlike(r"^\d+$"), sized(item)).alias("number"),
             F.when(~item.rlike(r"^\d+$"), item).alias("word"),
         ),
     )
@@ -65,3 +69,10 @@ def in_sync(df: DataFrame, group: Sequence[str], version: str, expected: str) ->
     """Per group, whether every ``version`` equals ``expected``; unparsable ones are failures."""
     equal = version_key(F.col(version)) == version_key(F.col(expected))
     return df.groupBy(*group).agg(F.bool_and(F.coalesce(equal, F.lit(False))).alias("in_sync"))
+
+
+def all_equal(df: DataFrame, group: Sequence[str], version: str) -> DataFrame:
+    """Per group, whether all versions are equal; a group with an unparsable one is not. One aggregate, no join."""
+    key = version_key(F.col(version))
+    equal = (F.min(key) == F.max(key)) & F.bool_and(key.isNotNull())
+    return df.groupBy(*group).agg(F.coalesce(equal, F.lit(False)).alias("in_sync"))

@@ -23,7 +23,7 @@ from pipelinekit.operators.conditions import keys_match
 from pipelinekit.operators.running import GROUP_ROWS, LIST_ROWS, largest_group, numbered, ordered_lists
 
 NTH_IN_WINDOW = 1000  # Spark prunes a row_number filter before the shuffle up to this rank
-MAX_BINS = 10_000  # most bins one range may be spread over
+OPEN_LEVEL = 5000  # of ranges without an end; widths have levels from -1074 to 1024
 
 Keys = Sequence[str] | Mapping[str, str]
 
@@ -151,40 +151,36 @@ def lookup_rows(
     return matched.unionByName(unmatched)
 
 
-def range_lookup(
-    df: DataFrame,
-    ref: DataFrame,
-    value: str,
-    lo: str,
-    hi: str,
-    cols: Sequence[str],
-    bin_width: float | None = None,
-) -> DataFrame:
+def range_lookup(df: DataFrame, ref: DataFrame, value: str, lo: str, hi: str, cols: Sequence[str]) -> DataFrame:
     """Add ``cols`` of the ranges with ``lo <= value < hi``; nulls without one.
 
     Ranges that do not overlap give one row per row of ``df``; of overlapping ranges
-    each gives a row. Ranges and values meet on numbered bins of ``bin_width``, so the
-    join is an equi-join that Spark may broadcast by its measured size or shuffle.
-    Without a width the widest range sets it, and no range then touches more than
-    two bins. Give a smaller width where a few ranges are much wider than the others;
-    a range over more than ``MAX_BINS`` bins fails the job.
+    each gives a row. Ends may be infinite; a range with a null end matches nothing. A range of width w lies on level ceil(log2(w)), whose bins are
+    2**level wide, so it touches two bins at most (three by rounding), however wide others are. The distinct
+    values meet the ranges on (level, bin), for the levels there are: a job reads those
+    while the plan is built, about 2,100 at most. Ranges with an infinite end have a level with one bin.
     """
     ranges = ref.filter(F.col(lo) < F.col(hi)).select(
         F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)]
     )
-    if bin_width is None:
-        bin_width = ranges.agg(F.max((F.col("__hi") - F.col("__lo")).cast("double"))).first()[0] or 1.0
-
-    def bin_of(column: str) -> Column:
-        return F.floor(F.col(column) / F.lit(float(bin_width)))
-
-    too_many = F.raise_error(F.lit(f"a range spans over {MAX_BINS} bins of {bin_width}: use a larger bin_width"))
-    bins = F.when(bin_of("__hi") - bin_of("__lo") > MAX_BINS, too_many).otherwise(
-        F.sequence(bin_of("__lo"), bin_of("__hi"))
-    )
-    binned = ranges.withColumn("__bin", F.explode(bins))
+    start, end = F.col("__lo").cast("double"), F.col("__hi").cast("double")
+    is_open = (F.abs(start) == float("inf")) | (F.abs(end) == float("inf"))
+    width = F.when(end > start, end - start).otherwise(F.lit(1.0))
+    level = F.when(is_open, F.lit(OPEN_LEVEL)).otherwise(F.ceil(F.log2(F.least(width, F.lit(1.7e308)))).cast("int"))
+
+    def bin_of(point: Column) -> Column:
+        return F.when(F.col("__level") == OPEN_LEVEL, F.lit(0)).otherwise(F.floor(point / F.pow(F.lit(2.0), F.col("__level"))))
+
+    leveled = ranges.withColumn("__level", level)
+    levels = [row[0] for row in leveled.select("__level").distinct().collect()]
+    binned = leveled.withColumn("__bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    asked = df.select(F.col(value).alias("__value")).dropna().distinct()
+    asked = asked.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    asked = asked.withColumn("__bin", bin_of(F.col("__value").cast("double")))
     inside = (
-        (bin_of(value) == F.col("__bin")) & (F.col(value) >= F.col("__lo")) & (F.col(value) < F.col("__hi"))
-    )
-    joined = df.join(binned, inside, "left")
+        (asked["__level"] == binned["__level"]) & (asked["__bin"] == binned["__bin"])
+        & (F.col("__value") >= F.col("__lo")) & (F.col("__value") < F.col("__hi"))
+    )
+    found = asked.join(binned, inside).select("__value", *[f"__v{i}" for i in range(len(cols))])
+    joined = df.join(found, keys_match([(df[value], found["__value"])]), "left")
     return joined.select(*[df[c] for c in df.columns], *[F.col(f"__v{i}").alias(c) for i, c in enumerate(cols)])

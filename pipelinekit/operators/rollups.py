@@ -111,6 +111,17 @@ def fingerprint(
 
 
 def _digests(keys: int, schema: pa.Schema, salt: bytes, sep: str):
+    # Everything that workers run is nested, so that they need not have the package.
+    nan = float("nan")
+
+    def one(value):
+        """All NaN are one key: the same object, which equals itself as part of a tuple."""
+        return nan if value != value else value
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, digest, started = None, None, False
 
@@ -120,7 +131,7 @@ def _digests(keys: int, schema: pa.Schema, salt: bytes, sep: str):
 
         for batch in batches:
             finished = []
-            group = zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True)
+            group = zip(*([one(v) for v in batch.column(i).to_pylist()] for i in range(keys)), strict=True)
             rows = zip(group, batch.column(keys + 1).to_pylist(), strict=True)
             for key, run in groupby(rows, key=itemgetter(0)):
                 if digest is None or key != open_key:
@@ -131,13 +142,8 @@ def _digests(keys: int, schema: pa.Schema, salt: bytes, sep: str):
                 if texts:
                     digest.update(((sep if started else "") + sep.join(texts)).encode())
                     started = True
-            yield _batch(finished, schema)
+            yield as_batch(finished)
         if digest is not None:
-            yield _batch([closed()], schema)
+            yield as_batch([closed()])
 
     return digests
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -161,7 +161,8 @@ def apply_changes(state: DataFrame, changes: DataFrame, group_rows: int = GROUP_
 
     def last_of(operation: str) -> DataFrame:
         rows = done.filter(F.col("operation") == operation).groupBy(*KEY)
-        return rows.agg(F.max(row).alias("row"), F.min("seq").alias("first_seq"))
+        first_tag = F.min_by(F.struct(F.col("release_tag").alias("tag")), "seq").getField("tag")
+        return rows.agg(F.max(row).alias("row"), F.min("seq").alias("first_seq"), first_tag.alias("first_tag"))
 
     # One row per changed key, with the time a creation replaces it, if ever. Changes are
     # few against the state, so they are reduced first; the state meets them in a join that
@@ -184,7 +185,7 @@ def apply_changes(state: DataFrame, changes: DataFrame, group_rows: int = GROUP_
         return rows.select(*columns, "until", F.struct(F.lit(kind).alias("kind"), F.col("seq").alias("seq")).alias("place"))
 
     current = listed(untouched, 0).unionByName(listed(refreshed, 1))
-    created = last_of("CREATED").select("id", F.col("row").alias("create"), F.col("first_seq").alias("first_create"))
+    created = last_of("CREATED").select("id", F.col("row").alias("create"), F.col("first_seq").alias("first_create"), "first_tag")
     creations = done.filter(F.col("operation") == "CREATED")
     ids = creations.select(F.col("id").alias("__id")).distinct()
     tagged = _with_release_tags(current, ids, created, columns, largest_group(creations, ["id"]), group_rows)
@@ -216,7 +217,7 @@ def _with_release_tags(
     of_rows = of_rows.selectExpr("id", "time", "step", "kind", "entry.place.seq as seq", "entry.release_tag", "null as creation")
     of_creations = created.selectExpr("id", """inline(array(
         named_struct('time', create.seq, 'step', 1, 'kind', null, 'seq', null, 'release_tag', null, 'creation', create),
-        named_struct('time', null, 'step', 0, 'kind', 4, 'seq', first_create, 'release_tag', create.release_tag, 'creation', null)))""")
+        named_struct('time', null, 'step', 0, 'kind', 4, 'seq', first_create, 'release_tag', first_tag, 'creation', null)))""")
     marks = of_creations.unionByName(of_rows)
     entry = F.when(F.col("step") == 0, F.struct("kind", "seq", "release_tag"))
     latest_first = [F.col("time").desc_nulls_first(), F.col("step")]

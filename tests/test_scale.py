@@ -71,7 +71,7 @@ def joins(hot, dim):
         "inner": lambda: plan.orders_with_customers(orders, customers),
         "lookup": lambda: lookups.lookup(hot, dim, ["k"], ["name"], "first", ["name"]),
         "match": lambda: lookups.lookup_match(hot, dim, ["k"]),
-        "range": lambda: lookups.range_lookup(hot, bands, "k", "lo", "hi", ["name"], 1.0),
+        "range": lambda: lookups.range_lookup(hot, bands, "k", "lo", "hi", ["name"]),
         "semi": lambda: keys.keep_keys(hot, "k", dim),
         "anti": lambda: keys.drop_keys(hot, dim, ["k"]),
         "moved": lambda: keys.moved_rows(hot, dim.withColumnRenamed("name", "text"), "k", "text"),
@@ -109,3 +109,13 @@ def test_lists_of_a_frequent_key_are_bounded(no_broadcast, hot):
     sizes = got.select("k", F.size("items").alias("n")).groupBy("k").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     top = sizes.filter("k = 0").first()
     assert top["n"] == hot.filter("k = 0").select("text").distinct().count() and top["most"] == 1000
+
+
+def test_one_wide_range_among_many_narrow_ones(spark):
+    """The wide range has a level of its own: the narrow ones stay in bins as narrow as they are."""
+    narrow = spark.range(20_000).selectExpr("CAST(id AS double) AS lo", "CAST(id + 1 AS double) AS hi", "CAST(id AS string) AS name")
+    bands = narrow.unionByName(spark.createDataFrame([(0.0, 1e9, "wide")], narrow.schema))
+    asked = spark.range(20_000).selectExpr("id + 0.5D AS x")
+    got = lookups.range_lookup(asked, bands, "x", "lo", "hi", ["name"])
+    assert got.count() == 40_000
+    assert got.filter("name = 'wide'").count() == 20_000

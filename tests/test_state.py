@@ -194,3 +194,10 @@ def test_created_twice_while_an_earlier_row_lasts(spark):
     change = lambda seq: (seq, "CREATED", False, "a", "n", "A", "y", "1", False, False, f"own{seq}")
     got = apply_changes(sdf, spark.createDataFrame([change(1), change(2)], CHANGES))
     assert {(r["fabric_id"], r["release_tag"]) for r in got.collect()} == {("2", "B"), ("1", "B")}
+
+
+def test_created_twice_with_nothing_recorded(spark):
+    """The first creation heads the list; the second one takes its tag."""
+    change = lambda seq: (seq, "CREATED", False, "a", "n", "A", "y", "1", False, False, f"own{seq}")
+    got = apply_changes(spark.createDataFrame([], STATE), spark.createDataFrame([change(2), change(3)], CHANGES))
+    assert [(r["fabric_id"], r["release_tag"]) for r in got.collect()] == [("1", "own2")]
