@@ -19,15 +19,19 @@ def flatten(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """Expand structs and explode arrays into ``a-b-c`` columns.
 
     A row with an empty or null array stays, with nulls. ``keep`` selects some of the
-    flattened columns, so that unneeded ones are never expanded by the plan. One array
-    per level is expected: two arrays side by side multiply, as two explodes do.
+    flattened columns, so that unneeded ones are never expanded by the plan. Arrays side
+    by side are matched by position, shorter ones ending in nulls, so they don't multiply.
     """
     def nested(kind: type) -> list[str]:
         return [f.name for f in df.schema.fields if isinstance(f.dataType, kind)]
 
     while nested(ArrayType) or nested(StructType):
-        for name in nested(ArrayType):
-            df = df.withColumn(name, F.explode_outer(F.col(quoted(name))))
+        arrays = nested(ArrayType)
+        if arrays:
+            # An absent array must not make the others absent.
+            filled = [F.coalesce(F.col(quoted(name)), F.array().cast(df.schema[name].dataType)) for name in arrays]
+            df = df.withColumn("__item", F.explode_outer(F.arrays_zip(*filled)))
+            df = df.withColumns({name: F.col("__item").getField(str(i)) for i, name in enumerate(arrays)}).drop("__item")
         columns = []
         for f in df.schema.fields:
             value = F.col(quoted(f.name))
@@ -58,47 +62,67 @@ def drop_nulls_json(value: Column, kind: StructType | ArrayType | MapType) -> Co
     return F.to_json(without_nulls(value, kind), {"ignoreNullFields": "true"})
 
 
-# What of a job document is read, in one parse. A text field holds a value that is no
-# text as JSON. Spark has to know where a key lies, so references are looked for at
-# processes.*.properties.pipelineId and components[*].PipelineComponent.pipelineId only.
-JOB = (
-    "processes map<string, struct<component:string, properties:struct<pipelineId:string, clusterSize:string>>>, "
-    "components array<struct<PipelineComponent:struct<pipelineId:string>>>"
+# The processes of a job document, in one parse, with the fields that queries ask for.
+JOB = "processes map<string, struct<component:string, properties:struct<pipelineId:string, clusterSize:string>>>"
+# The parts of a job document that name others, each as JSON text, so that one of another shape loses nothing else.
+PARTS = (
+    "processes map<string, string>, components array<string>, request struct<"
+    "CreateNewJobRequest:struct<tasks:array<struct<libraries:array<string>>>>, tasks:array<struct<libraries:array<string>>>>"
 )
+# A string of JSON, and the value of the key at any depth, given as a string or as an object without objects in it.
+# A quote behind a brace or comma opens a key: inside of a string it would be escaped.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_REFERENCE = rf'[{{,]"pipelineId":({_STRING}|\{{(?:[^{{}}"]|{_STRING})*+\}})'
 
 
-def text_or_literal(raw: Column) -> Column:
-    """A value given as text, or as ``{"type": "literal", "value": text}``; else null.
+def value_at(json: Column, path: str) -> Column:
+    """The value at a path as JSON text; null if there is none, or no JSON."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(json), path, "variant"))
+
+
+def json_string(value: Column) -> Column:
+    """The text of a JSON string; null for any other value, numbers too."""
+    return F.when(value.startswith('"'), F.try_variant_get(F.try_parse_json(value), "$", "string"))
+
+
+def text_or_literal(value: Column) -> Column:
+    """A JSON value that is text, or the text of ``{"type": "literal", "value": text}``; else null."""
+    literal = F.when(json_string(value_at(value, "$.type")) == "literal", json_string(value_at(value, "$.value")))
+    return F.when(value.startswith("{"), literal).otherwise(json_string(value))
 
-    Arrays and other objects are no references and give null; a number gives its text.
-    """
-    wrapped = F.from_json(raw, "type string, value string")
-    literal = F.when(wrapped.getField("type") == "literal", wrapped.getField("value"))
-    return F.when(raw.startswith("{"), literal).when(~raw.startswith("["), raw)
+
+def text_or_value(value: Column) -> Column:
+    """A JSON value that is text, or the text of any object's ``value``; else null."""
+    return F.when(value.startswith("{"), json_string(value_at(value, "$.value"))).otherwise(json_string(value))
 
 
 def processes(json: Column) -> Column:
-    """The processes of a job document, without their ids; null if it has none."""
-    return F.map_values(F.from_json(json, JOB).getField("processes"))
+    """The processes of a job document, without their ids, each as JSON text; null if it has none."""
+    return F.map_values(F.from_json(json, PARTS).getField("processes"))
 
 
 def given_references(json: Column) -> Column:
-    """The references of a job document as they are given, in order."""
-    job = F.from_json(json, JOB)
-    none = F.array().cast("array<string>")
-    of_processes = F.transform(
-        F.map_values(job.getField("processes")), lambda p: p.getField("properties").getField("pipelineId")
-    )
-    of_components = F.transform(
-        job.getField("components"), lambda c: c.getField("PipelineComponent").getField("pipelineId")
-    )
-    return F.array_compact(F.concat(F.coalesce(of_processes, none), F.coalesce(of_components, none)))
+    """The references of a JSON document at any depth, as JSON values, in order; null where the text is no JSON."""
+    return F.regexp_extract_all(F.to_json(F.try_parse_json(json)), F.lit(_REFERENCE), 1)
 
 
 def process_references(json: Column) -> Column:
-    """The references of a job document, in order; null where the text is no JSON."""
-    found = F.array_compact(F.transform(given_references(json), text_or_literal))
-    return F.when(F.try_parse_json(json).isNotNull(), found)
+    """What a job document refers to in its processes, components and, beside components, libraries of
+    requested tasks; null where the text is no JSON. A process may wrap its text, the others may not."""
+    parts = F.from_json(json, PARTS)
+    none = F.array().cast("array<string>")
+    library = "$.PipelineComponent.pipelineId"
+    request = parts.getField("request")
+    new = request.getField("CreateNewJobRequest")
+    tasks = F.when(new.isNotNull(), new.getField("tasks")).otherwise(request.getField("tasks"))
+    libraries = F.flatten(F.transform(tasks, lambda task: F.coalesce(task.getField("libraries"), none)))
+    found = [
+        F.transform(processes(json), lambda p: text_or_value(value_at(p, "$.properties.pipelineId"))),
+        F.transform(parts.getField("components"), lambda c: json_string(value_at(c, library))),
+        F.when(parts.getField("components").isNotNull(), F.transform(libraries, lambda c: json_string(value_at(c, library)))),
+    ]
+    every = F.array_compact(F.concat(*[F.coalesce(f, none) for f in found]))
+    return F.when(F.try_parse_json(json).isNotNull(), every)
 
 
 def document_references(path: Column, json: Column) -> Column:
@@ -127,10 +151,10 @@ def json_refs(df: DataFrame, json: str) -> DataFrame:
 
 def entities_of_kind(df: DataFrame, json: str, kind: str) -> DataFrame:
     """Distinct references of the processes of one component kind."""
-    process = df.select(F.inline(processes(F.col(json))))
+    process = df.select(F.explode(processes(F.col(json))).alias("process"))
     return (
-        process.filter(F.col("component") == kind)
-        .select(text_or_literal(F.col("properties.pipelineId")).alias("entity"))
+        process.filter(json_string(value_at(F.col("process"), "$.component")) == kind)
+        .select(text_or_literal(value_at(F.col("process"), "$.properties.pipelineId")).alias("entity"))
         .filter(F.col("entity").isNotNull())
         .distinct()
     )
@@ -138,11 +162,11 @@ def entities_of_kind(df: DataFrame, json: str, kind: str) -> DataFrame:
 
 def entity_places(df: DataFrame, keys: Sequence[str], json: str) -> DataFrame:
     """One row per process that has an entity and a place (the size's text before ``/``)."""
-    process = df.select(*keys, F.inline(processes(F.col(json))))
-    size = F.col("properties.clusterSize")
+    process = df.select(*keys, F.explode(processes(F.col(json))).alias("__process"))
+    size = json_string(value_at(F.col("__process"), "$.properties.clusterSize"))
     pairs = process.filter(size != "").select(
         *keys,
-        text_or_literal(F.col("properties.pipelineId")).alias("entity"),
+        text_or_literal(value_at(F.col("__process"), "$.properties.pipelineId")).alias("entity"),
         F.split_part(size, F.lit("/"), F.lit(1)).alias("place"),
     )
     return pairs.filter(F.col("entity") != "")

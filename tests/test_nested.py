@@ -123,3 +123,43 @@ def test_task_versions(spark, rows):
         "c array<struct<node:string,entity:string>>, t array<struct<task_key:string,files:array<string>>>",
     )
     assert rows(nested.task_versions(df, "c", "t", jar_version)) == [("p1", "2.12"), ("p1", "2.13")]
+
+
+def test_references_at_any_depth_and_of_any_shape(spark, rows):
+    ref = lambda n: {"pipelineId": SUBSCRIBED.format(n)}
+    texts = [
+        json.dumps({"a": {"b": [{"c": [ref(21)]}, [ref(22)]]}, "note": 'say , "pipelineId": "x" and \\'}),
+        json.dumps({"processes": {"x": "text", "p": {"properties": ref(23)}}}, indent=2),
+        json.dumps([ref(24), {"pipelineId": {"type": "literal", "value": SUBSCRIBED.format(25), "of": 1}}]),
+        json.dumps({"pipelineId": {"type": "expression", "value": SUBSCRIBED.format(26)}, "other": {"pipelineId": 27}}),
+        json.dumps({"text": json.dumps(ref(28)), "pipelineIds": SUBSCRIBED.format(29)}),
+        '{"pipelineId": broken',
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    assert rows(nested.json_refs(df, "j")) == [("21",), ("22",), ("23",), ("24",), ("25",)]
+    numeric = job(a=("Pipeline", {"pipelineId": 12, "clusterSize": "f1/x"}), b=("Pipeline", {"pipelineId": "p", "clusterSize": "f2"}))
+    assert rows(nested.entity_places(one(spark, numeric), [], "j")) == [("p", "f2")]
+    mixed = json.dumps({"processes": {"x": "text", "p": {"component": "Pipeline", "properties": {"pipelineId": "q"}}}})
+    assert rows(nested.entities_of_kind(one(spark, mixed), "j", "Pipeline")) == [("q",)]
+
+
+def test_stale_shapes(spark):
+    wrapped = lambda kind: {"type": kind, "value": "v"}
+    library = {"PipelineComponent": {"pipelineId": "l"}}
+    cases = [
+        ({"processes": {"x": "text", "p": {"properties": {"pipelineId": wrapped("expression")}}}}, ["v"]),
+        ({"processes": {"p": {"properties": {"pipelineId": 5}}}}, []),
+        ({"components": [{"PipelineComponent": {"pipelineId": wrapped("literal")}}, library]}, ["l"]),
+        ({"components": [], "request": {"tasks": [{"libraries": [library]}, {}]}}, ["l"]),
+        ({"components": [], "request": {"CreateNewJobRequest": {"tasks": [{"libraries": [{"x": 1}, library]}]}}}, ["l"]),
+        ({"request": {"tasks": [{"libraries": [library]}]}}, []),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)], "i int, j string")
+    got = [r[0] for r in df.orderBy("i").select(nested.process_references(F.col("j"))).collect()]
+    assert got == [want for _, want in cases]
+
+
+def test_arrays_side_by_side(spark, rows):
+    kind = "k int, a array<struct<x:int>>, b array<string>"
+    df = spark.createDataFrame([(1, [(1,), (2,), (3,)], ["p", "q"]), (2, None, ["r"]), (3, [], None)], kind)
+    assert rows(nested.flatten(df)) == [(1, 1, "p"), (1, 2, "q"), (1, 3, None), (2, None, "r"), (3, None, None)]
