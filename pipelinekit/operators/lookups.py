@@ -168,19 +168,25 @@ def range_lookup(df: DataFrame, ref: DataFrame, value: str, lo: str, hi: str, co
     width = F.when(end > start, end - start).otherwise(F.lit(1.0))
     level = F.when(is_open, F.lit(OPEN_LEVEL)).otherwise(F.ceil(F.log2(F.least(width, F.lit(1.7e308)))).cast("int"))
 
-    def bin_of(point: Column) -> Column:
-        return F.when(F.col("__level") == OPEN_LEVEL, F.lit(0)).otherwise(F.floor(point / F.pow(F.lit(2.0), F.col("__level"))))
+    def bin_of(point: Column, level: Column) -> Column:
+        return F.when(level == OPEN_LEVEL, F.lit(0)).otherwise(F.floor(point / F.pow(F.lit(2.0), level)))
 
     leveled = ranges.withColumn("__level", level)
     levels = [row[0] for row in leveled.select("__level").distinct().collect()]
-    binned = leveled.withColumn("__bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    binned = leveled.withColumn("__bin", F.explode(F.sequence(bin_of(start, F.col("__level")), bin_of(end, F.col("__level")))))
+    added = [F.col(f"__v{i}").alias(c) for i, c in enumerate(cols)]
+    if len(levels) <= 1:
+        # Every value has one bin: the rows themselves can meet the ranges.
+        at = bin_of(df[value].cast("double"), F.lit(levels[0] if levels else 0))
+        inside = (at == binned["__bin"]) & (df[value] >= binned["__lo"]) & (df[value] < binned["__hi"])
+        return df.join(binned, inside, "left").select(*[df[c] for c in df.columns], *added)
     asked = df.select(F.col(value).alias("__value")).dropna().distinct()
     asked = asked.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    asked = asked.withColumn("__bin", bin_of(F.col("__value").cast("double")))
+    asked = asked.withColumn("__bin", bin_of(F.col("__value").cast("double"), F.col("__level")))
     inside = (
         (asked["__level"] == binned["__level"]) & (asked["__bin"] == binned["__bin"])
         & (F.col("__value") >= F.col("__lo")) & (F.col("__value") < F.col("__hi"))
     )
     found = asked.join(binned, inside).select("__value", *[f"__v{i}" for i in range(len(cols))])
     joined = df.join(found, keys_match([(df[value], found["__value"])]), "left")
-    return joined.select(*[df[c] for c in df.columns], *[F.col(f"__v{i}").alias(c) for i, c in enumerate(cols)])
+    return joined.select(*[df[c] for c in df.columns], *added)
