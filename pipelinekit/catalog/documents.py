@@ -112,7 +112,7 @@ def any_flag(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")
     return nested.any_flag(
         table(spark, sf_dir, "events"),
-        {"any_error": (F.col("event_type") == "error") | (k > 98), "any_over": k > 100, "any_missing": F.get_json_object("props", "$.z") == "1"},
+        {"any_error": (F.col("event_type") == "error") | (k > 98), "any_over": k > 100, "any_given": F.get_json_object("props", "$.k") == "26"},
     )
 
 
@@ -196,7 +196,7 @@ SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 's' || CAST(o_custkey AS V
 SELECT o_orderkey, 'm' || CAST(o_custkey AS VARCHAR) AS components FROM orders WHERE o_orderpriority = '1-URGENT'""",
     "any_flag": r"""
 WITH e AS (SELECT event_type, CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER) AS k FROM events)
-SELECT bool_or(event_type = 'error' OR k > 98) AS any_error, bool_or(k > 100) AS any_over, false AS any_missing FROM e""",
+SELECT bool_or(event_type = 'error' OR k > 98) AS any_error, bool_or(k > 100) AS any_over, bool_or(k = 26) AS any_given FROM e""",
     "drop_nulls": """
 WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders),
 p AS (SELECT k, s, CASE WHEN k % 2 = 0 THEN '{"a":"' || s || '","b":["x","' || s || '","y"]}' ELSE '{"b":["x","y"]}' END AS i FROM o)
