@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pipelinekit.catalog.tables import table
 from pipelinekit.operators import lookups as ops
+from pipelinekit.operators.running import in_lists
 
 ON = {"c_custkey": "o_custkey"}
 ORDER = ["o_orderdate", "o_orderkey"]
@@ -38,12 +39,10 @@ def lookup_count(spark, sf_dir):
 
 
 def _rows(spark, sf_dir, reverse):
-    """Lists of at most four orders, so that most customers fill several chunks."""
-    found = ops.lookup_rows(
-        _customers(spark, sf_dir), table(spark, sf_dir, "orders"), ON, ["o_orderkey"], ORDER, reverse, list_rows=4
-    )
-    joined = F.array_join(F.transform("rows", lambda row: row.getField("o_orderkey").cast("string")), ",")
-    return found.select("c_custkey", "chunk", joined.alias("rows"))
+    """Lists of four orders, so that most customers fill several chunks."""
+    found = ops.lookup_rows(_customers(spark, sf_dir), table(spark, sf_dir, "orders"), ON, ["o_orderkey"], ORDER, reverse)
+    lists = in_lists(found, ["c_custkey"], F.col("o_orderkey").cast("string"), 4, "rows")
+    return lists.withColumn("rows", F.array_join("rows", ","))
 
 
 def lookup_rows(spark, sf_dir):

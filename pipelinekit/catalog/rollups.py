@@ -8,6 +8,7 @@ from pipelinekit.catalog.tables import table
 from pipelinekit.operators import checks
 from pipelinekit.operators import rollups as ops
 from pipelinekit.operators.routing import route
+from pipelinekit.operators.running import in_lists
 
 
 def distinct_values(spark, sf_dir):
@@ -17,13 +18,14 @@ def distinct_values(spark, sf_dir):
 
 
 def value_sets(spark, sf_dir):
-    """The suppliers of each part, sorted, in lists of at most five."""
-    sets = ops.value_sets(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_suppkey", list_rows=5)
-    return sets.select("l_partkey", "chunk", F.array_join(F.col("items").cast("array<string>"), ",").alias("suppliers"))
+    """The suppliers of each part, sorted, in lists of five."""
+    sets = ops.value_sets(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_suppkey")
+    lists = in_lists(sets, ["l_partkey"], F.col("l_suppkey").cast("string"), 5, "suppliers")
+    return lists.withColumn("suppliers", F.array_join("suppliers", ","))
 
 
 def invert_mapping(spark, sf_dir):
-    """Lines mapped to a part and a supplier, turned into parts and suppliers with their lines."""
+    """Lines mapped to a part and a supplier, turned into parts and suppliers with lists of a hundred lines."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"),
         F.array(
@@ -31,9 +33,8 @@ def invert_mapping(spark, sf_dir):
             F.struct(F.concat(F.lit("supp-"), "l_suppkey").alias("child"), F.col("l_linestatus").alias("attr")),
         ).alias("children"),
     )
-    inverted = ops.invert(lines, "line", "children", list_rows=100)
-    text = F.transform("parents", lambda p: F.concat_ws(":", p.getField("parent"), p.getField("attr")))
-    return inverted.select("child", "chunk", F.array_join(text, ",").alias("parents"))
+    lists = in_lists(ops.invert(lines, "line", "children"), ["child"], F.concat_ws(":", "parent", "attr"), 100, "parents")
+    return lists.withColumn("parents", F.array_join("parents", ","))
 
 
 def severity_rollup(spark, sf_dir):

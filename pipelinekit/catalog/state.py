@@ -44,16 +44,23 @@ def desired(spark, sf_dir):
     )
 
 
+# Further creations: of which segments, in which order, how many nations further on.
+AGAIN = [(["MACHINERY", "FURNITURE"], 1, 1), (["FURNITURE"], 2, 0), (["FURNITURE"], 3, 1), (["FURNITURE"], 4, 0)]
+
+
 def changes(spark, sf_dir):
-    """A batch of changes of every kind, by nation, some of them failed."""
+    """A batch of changes of every kind, by nation, some failed; some keys are created up to three times."""
     k, nation = F.col("c_custkey"), F.col("c_nationkey")
     customer = table(spark, sf_dir, "customer")
     kind = F.when(nation < 4, "DELETED").when(nation < 8, "REFRESH").when(nation < 11, "UPDATED").otherwise("CREATED")
-    first = customer.select("*", k.alias("seq"), kind.alias("operation"), nation.alias("place"))
-    again = customer.filter("c_mktsegment IN ('MACHINERY', 'FURNITURE')").select(
-        "*", (k + 100_000_000).alias("seq"), F.lit("CREATED").alias("operation"), (nation + 1).alias("place")
-    )
-    return first.unionByName(again).select(
+    rows = customer.select("*", k.alias("seq"), kind.alias("operation"), nation.alias("place"))
+    for segments, step, place in AGAIN:
+        rows = rows.unionByName(
+            customer.filter(F.col("c_mktsegment").isin(segments)).select(
+                "*", (k + step * 100_000_000).alias("seq"), F.lit("CREATED").alias("operation"), (nation + place).alias("place")
+            )
+        )
+    return rows.select(
         "seq",
         "operation",
         (F.col("c_acctbal") > 9500).alias("failed"),
@@ -64,7 +71,7 @@ def changes(spark, sf_dir):
         F.col("place").cast("string").alias("fabric_id"),
         F.lit(False).alias("is_paused"),
         F.lit(False).alias("skip_processing"),
-        F.concat(F.lit("own-"), k).alias("release_tag"),
+        F.concat(F.lit("own-"), "seq").alias("release_tag"),
     )
 
 
@@ -154,34 +161,36 @@ UNION ALL SELECT a.id, a.fabric_id, a.external_job_id, 'PAUSE' FROM a JOIN v ON
 UNION ALL SELECT id, fabric_id, external_job_id, 'ADD' FROM v WHERE enabled
 UNION ALL SELECT id, fabric_id, external_job_id, 'SKIP' FROM desired WHERE NOT valid""",
     "apply_changes": f"""
-WITH {_STATE},
+WITH RECURSIVE {_STATE},
 listed AS (SELECT *, c_custkey AS seq, c_nationkey AS place,
              CASE WHEN c_nationkey < 4 THEN 'DELETED' WHEN c_nationkey < 8 THEN 'REFRESH'
                   WHEN c_nationkey < 11 THEN 'UPDATED' ELSE 'CREATED' END AS operation FROM customer
-           UNION ALL SELECT *, c_custkey + 100000000, c_nationkey + 1, 'CREATED' FROM customer
-           WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE')),
+           UNION ALL SELECT c.*, c_custkey + step * 100000000, c_nationkey + further, 'CREATED'
+           FROM customer c, (VALUES (1, 1), (2, 0), (3, 1), (4, 0)) a(step, further)
+           WHERE c_mktsegment = 'FURNITURE' OR (c_mktsegment = 'MACHINERY' AND step = 1)),
 done AS (SELECT seq, operation, 'jobs/' || CAST(c_custkey AS VARCHAR) AS id, 'changed ' || c_name AS name, 'A' AS type,
            'ext2-' || CAST(c_custkey AS VARCHAR) AS external_job_id, CAST(place AS VARCHAR) AS fabric_id,
-           false AS is_paused, false AS skip_processing, 'own-' || CAST(c_custkey AS VARCHAR) AS release_tag
+           false AS is_paused, false AS skip_processing, 'own-' || CAST(seq AS VARCHAR) AS release_tag
          FROM listed WHERE NOT c_acctbal > 9500),
 untouched AS (SELECT 0 AS kind, s.* FROM state s WHERE NOT EXISTS (SELECT 1 FROM done c
     WHERE c.operation IN ('DELETED', 'REFRESH') AND c.id = s.id AND c.fabric_id = s.fabric_id)),
 cur AS (SELECT * FROM untouched UNION ALL
         SELECT 1, seq, id, name, type, external_job_id, fabric_id, is_paused, skip_processing, release_tag
         FROM done WHERE operation = 'REFRESH'),
-made AS (SELECT * FROM done WHERE operation = 'CREATED'),
-lst AS (SELECT cur.*, coalesce(made.seq, 9000000000000) AS until FROM cur
-        LEFT JOIN made ON made.id = cur.id AND made.fabric_id = cur.fabric_id),
-tags AS (SELECT m.seq, l.release_tag FROM made m JOIN lst l ON l.id = m.id AND l.until >= m.seq
-         QUALIFY row_number() OVER (PARTITION BY m.seq ORDER BY l.kind, l.seq) = 1),
-starts AS (SELECT id, release_tag FROM cur QUALIFY row_number() OVER (PARTITION BY id ORDER BY kind, seq) = 1),
-owns AS (SELECT id, release_tag FROM made QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)
-SELECT id, name, type, external_job_id, fabric_id, is_paused, skip_processing, release_tag FROM lst
-WHERE until = 9000000000000
+made AS (SELECT *, lead(seq) OVER (PARTITION BY id, fabric_id ORDER BY seq) AS until FROM done WHERE operation = 'CREATED'),
+starts AS (SELECT id, fabric_id, min(seq) AS until FROM made GROUP BY ALL),
+lst AS (SELECT cur.*, starts.until FROM cur LEFT JOIN starts ON starts.id = cur.id AND starts.fabric_id = cur.fabric_id),
+entries AS (SELECT id, kind, seq, release_tag, until FROM lst UNION ALL SELECT id, 2, seq, NULL, until FROM made),
+firsts AS (SELECT m.id, m.seq, e.kind, e.seq AS of_seq, e.release_tag FROM made m JOIN entries e
+           ON e.id = m.id AND (e.until IS NULL OR e.until >= m.seq) AND (e.kind < 2 OR e.seq < m.seq)
+           QUALIFY row_number() OVER (PARTITION BY m.id, m.seq ORDER BY e.kind, e.seq) = 1),
+tags AS (SELECT m.id, m.seq, CASE WHEN f.kind IS NULL THEN m.release_tag ELSE f.release_tag END AS tag
+         FROM made m LEFT JOIN firsts f ON f.id = m.id AND f.seq = m.seq WHERE f.kind IS NULL OR f.kind < 2
+         UNION ALL SELECT f.id, f.seq, t.tag FROM tags t JOIN firsts f ON f.id = t.id AND f.of_seq = t.seq AND f.kind = 2)
+SELECT id, name, type, external_job_id, fabric_id, is_paused, skip_processing, release_tag FROM lst WHERE until IS NULL
 UNION ALL
-SELECT m.id, m.name, m.type, m.external_job_id, m.fabric_id, m.is_paused, m.skip_processing,
-  CASE WHEN t.seq IS NOT NULL THEN t.release_tag WHEN s.id IS NOT NULL THEN s.release_tag ELSE o.release_tag END
-FROM made m LEFT JOIN tags t ON t.seq = m.seq LEFT JOIN starts s ON s.id = m.id JOIN owns o ON o.id = m.id""",
+SELECT m.id, m.name, m.type, m.external_job_id, m.fabric_id, m.is_paused, m.skip_processing, t.tag
+FROM made m JOIN tags t ON t.id = m.id AND t.seq = m.seq WHERE m.until IS NULL""",
     "overlay": """
 WITH top AS (SELECT o_orderkey + 1 AS o_orderkey, 'L' AS o_orderstatus,
                CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS o_orderpriority

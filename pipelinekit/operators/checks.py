@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from pipelinekit.operators.running import GROUP_ROWS, numbered
+from pipelinekit.operators.running import numbered
 
 
 def frame_diff(
@@ -17,7 +17,6 @@ def frame_diff(
     cols: Sequence[str],
     keys: Sequence[str] | None = None,
     tolerance: float = 0.0,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """The rows in which two tables differ on ``cols``; empty if they agree.
 
@@ -39,10 +38,10 @@ def frame_diff(
         return excess.select(*cols, side.alias("side"), F.abs("__n").alias("copies"))
 
     values = [c for c in cols if c not in keys]
-    a = numbered(left.select(*keys, *values), keys, values, "__at", group_rows)
-    b = numbered(right.select(*keys, *values), keys, values, "__at", group_rows)
-    a = a.select(*[F.col(c).alias(f"left_{c}") for c in [*keys, *values]], F.col("__at").alias("left_at"))
-    b = b.select(*[F.col(c).alias(f"right_{c}") for c in [*keys, *values]], F.col("__at").alias("right_at"))
+    a = numbered(left.select(*keys, *values), keys, values, "__place")
+    b = numbered(right.select(*keys, *values), keys, values, "__place")
+    a = a.select(*[F.col(c).alias(f"left_{c}") for c in [*keys, *values]], F.col("__place").alias("left_at"))
+    b = b.select(*[F.col(c).alias(f"right_{c}") for c in [*keys, *values]], F.col("__place").alias("right_at"))
     same = F.col("left_at") == F.col("right_at")
     for k in keys:
         same = same & F.col(f"left_{k}").eqNullSafe(F.col(f"right_{k}"))

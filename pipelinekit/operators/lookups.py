@@ -7,22 +7,21 @@ looking-up table's rows and their number unchanged, except ``lookup_rows``, whic
 a row per distinct key, and ``range_lookup`` over overlapping ranges.
 
 The reference table is reduced to one row per key before the join, with map-side
-aggregation, so a key holding much of it costs no more than others. A frequent key of
-the looking-up table is left to Spark's splitting of skewed join partitions.
+aggregation, so a key holding much of it costs no more than others; n-th and all rows are
+numbered with a key spread over many tasks. A frequent key of the looking-up table is left to Spark's splitting of skewed join partitions.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from pipelinekit.operators.conditions import keys_match
-from pipelinekit.operators.running import GROUP_ROWS, LIST_ROWS, largest_group, numbered, ordered_lists
+from pipelinekit.operators.running import numbered
 
-NTH_IN_WINDOW = 1000  # Spark prunes a row_number filter before the shuffle up to this rank
 OPEN_LEVEL = 5000  # of ranges without an end; widths have levels from -1074 to 1024
 
 Keys = Sequence[str] | Mapping[str, str]
@@ -37,6 +36,20 @@ def _usable(ref: DataFrame, keys: Mapping[str, str]) -> DataFrame:
     return ref.dropna(subset=list(keys.values()))
 
 
+def _sortable(kind: DataType) -> bool:
+    """Whether Spark can order values of this type: not where a map or a variant is part of it."""
+    if isinstance(kind, ArrayType):
+        return _sortable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_sortable(field.dataType) for field in kind)
+    return not isinstance(kind, MapType | VariantType)
+
+
+def _total_order(ref: DataFrame, cols: Sequence[str], order_by: Sequence[str]) -> list[str]:
+    """The order columns, then the looked-up ones as far as they can be ordered."""
+    return [*order_by, *[c for c in cols if c not in order_by and _sortable(ref.schema[c].dataType)]]
+
+
 def _attach(df: DataFrame, found: DataFrame, keys: Mapping[str, str], *added: Column) -> DataFrame:
     """Left join of one row per key; ``found`` names its keys ``__key_<name>``."""
     same = keys_match((df[left], found[f"__key_{right}"]) for left, right in keys.items())
@@ -55,31 +68,28 @@ def lookup(
     which: str = "first",
     order_by: Sequence[str] = (),
     n: int | None = None,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Add ``cols`` of the ``first``, ``last`` or ``nth`` (from 1) matching row, else nulls."""
+    """Add ``cols`` of the ``first``, ``last`` or ``nth`` (from 1) matching row, else nulls.
+
+    Columns that hold maps can be looked up, but cannot break ties.
+    """
     if not order_by:
         raise ValueError("a lookup needs order_by to say which row comes first")
     keys = _pairs(on)
     usable = _usable(ref, keys)
+    order = _total_order(ref, cols, order_by)
     if which in ("first", "last"):
-        pick = F.min if which == "first" else F.max
+        pick = F.min_by if which == "first" else F.max_by
         # Plain field names of their own: order columns and looked-up columns may coincide.
-        ranked = [F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)]
-        values = [F.col(c).alias(f"v{i}") for i, c in enumerate(cols)]
-        found = usable.groupBy(*_keyed(usable, keys)).agg(pick(F.struct(*ranked, *values)).alias("__row"))
+        ranked = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+        values = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])
+        found = usable.groupBy(*_keyed(usable, keys)).agg(pick(values, ranked).alias("__row"))
         added = [F.col(f"__row.v{i}").alias(c) for i, c in enumerate(cols)]
         return _attach(df, found, keys, *added)
     if which != "nth" or n is None or n < 1:
         raise ValueError("which must be 'first', 'last', or 'nth' with n of at least 1")
-    order = [*order_by, *[c for c in cols if c not in order_by]]
     by = list(keys.values())
-    if n <= NTH_IN_WINDOW:
-        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        placed = usable.withColumn("__place", place)
-    else:
-        placed = numbered(usable, by, order, "__place", group_rows)
-    chosen = placed.filter(F.col("__place") == n)
+    chosen = numbered(usable.select(*dict.fromkeys([*by, *order, *cols])), by, order, "__place").filter(F.col("__place") == n)
     found = chosen.select(*_keyed(chosen, keys), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)])
     return _attach(df, found, keys, *[F.col(f"__v{i}").alias(c) for i, c in enumerate(cols)])
 
@@ -101,53 +111,37 @@ def lookup_count(df: DataFrame, ref: DataFrame, on: Keys, name: str = "matches")
 
 
 def lookup_rows(
-    df: DataFrame,
-    ref: DataFrame,
-    on: Keys,
-    cols: Sequence[str],
-    order_by: Sequence[str],
-    reverse: bool = False,
-    name: str = "rows",
-    list_rows: int = LIST_ROWS,
-    group_rows: int = GROUP_ROWS,
+    df: DataFrame, ref: DataFrame, on: Keys, cols: Sequence[str], order_by: Sequence[str], reverse: bool = False
 ) -> DataFrame:
     """All matching rows, in order or reversed, once per distinct key of ``df``.
 
-    Result: key columns, ``chunk`` and a list of structs of ``cols``. Keys with more
-    than ``list_rows`` matches continue in further chunks; keys without a match have
-    one row with chunk 0 and a null list. Repeating the lists for every row of ``df``
-    would pair all rows of a frequent key, so that join is left to the caller.
+    Result: key columns, ``position`` from 1 and ``cols``, a row for each match; keys without
+    a match have one row with nulls. Repeating the matches for every row of ``df`` would pair
+    all rows of a frequent key, so that join is left to the caller, and so is gathering
+    rows into lists (``running.in_lists``), as a key may have any number of matches.
     """
     keys = _pairs(on)
     asked = df.select(*keys).distinct()
     wanted = asked.dropna()
     usable = _usable(ref, keys)
-    # Measured before the join, as it tells how to join: groups that one task may order
-    # share the partitioning of the join, a larger one has to be split by Spark.
-    largest = largest_group(usable, list(keys.values()))
     same = keys_match((usable[right], wanted[left]) for left, right in keys.items())
-    if largest <= group_rows:
-        same = functools.reduce(Column.__and__, [usable[right] == wanted[left] for left, right in keys.items()])
-    order = [*order_by, *[c for c in cols if c not in order_by]]
-    direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    lists = ordered_lists(
-        usable.join(wanted, same, "left_semi").select(*dict.fromkeys([*keys.values(), *order])),
-        list(keys.values()),
-        F.struct(*cols),
-        [direction(c) for c in order],
-        "__rows",
-        list_rows,
-        group_rows,
-        largest,
+    order = _total_order(ref, cols, order_by)
+    matches = usable.join(wanted, same, "left_semi").select(
+        *[F.col(right).alias(f"__key_{right}") for right in keys.values()],
+        *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)],
+        *[F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)],
+    )
+    ordering = [F.col(f"__o{i}").desc() if reverse else F.col(f"__o{i}").asc() for i in range(len(order))]
+    placed = numbered(matches, [f"__key_{right}" for right in keys.values()], ordering)
+    matched = placed.select(
+        *[F.col(f"__key_{right}").alias(left) for left, right in keys.items()],
+        "position", *[F.col(f"__v{i}").alias(c) for i, c in enumerate(cols)],
     )
-    matched = lists.select(*[F.col(right).alias(left) for left, right in keys.items()], "chunk", F.col("__rows").alias(name))
-    # Keys without a match are added, not joined: a join would gather a key's lists.
+    # Keys without a match are added, not joined: a join would gather a key's matches.
     there = usable.select(*_keyed(usable, keys)).distinct()
     met = keys_match((asked[left], there[f"__key_{right}"]) for left, right in keys.items())
-    kind = lists.schema["__rows"].dataType
-    unmatched = asked.join(there, met, "left_anti").select(
-        *keys, F.lit(0).alias("chunk"), F.lit(None).cast(kind).alias(name)
-    )
+    nothing = [F.lit(None).cast(ref.schema[c].dataType).alias(c) for c in cols]
+    unmatched = asked.join(there, met, "left_anti").select(*keys, F.lit(None).cast("long").alias("position"), *nothing)
     return matched.unionByName(unmatched)
 
 
@@ -155,10 +149,11 @@ def range_lookup(df: DataFrame, ref: DataFrame, value: str, lo: str, hi: str, co
     """Add ``cols`` of the ranges with ``lo <= value < hi``; nulls without one.
 
     Ranges that do not overlap give one row per row of ``df``; of overlapping ranges
-    each gives a row. Ends may be infinite; a range with a null end matches nothing. A range of width w lies on level ceil(log2(w)), whose bins are
-    2**level wide, so it touches two bins at most (three by rounding), however wide others are. The distinct
-    values meet the ranges on (level, bin), for the levels there are: a job reads those
-    while the plan is built, about 2,100 at most. Ranges with an infinite end have a level with one bin.
+    each gives a row. Ends may be infinite; a range with a null end matches nothing. A range
+    of width w lies on level ceil(log2(w)), whose bins are 2**level wide, so it touches two
+    bins at most (three by rounding), however wide others are. The distinct values meet the
+    ranges on (level, bin), for the levels there are: a job reads those while the plan is
+    built, about 2,100 at most. Ranges with an infinite end have a level with one bin.
     """
     ranges = ref.filter(F.col(lo) < F.col(hi)).select(
         F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
-from pipelinekit.operators.running import GROUP_ROWS, LIST_ROWS, ordered_lists
+from pipelinekit.operators.running import numbered
 
 # Severities, return codes that count as success, and what separates and
 # salts the contents of a fingerprint.
@@ -23,25 +23,20 @@ JOINER = "$$$"
 SALT = "better_salt_than_never"
 
 
-def value_sets(
-    df: DataFrame, group: Sequence[str], value: str, name: str = "items", list_rows: int = LIST_ROWS, group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """The distinct values of each group, sorted, in lists of bounded length."""
-    distinct = df.select(*group, value).filter(F.col(value).isNotNull()).distinct()
-    return ordered_lists(distinct, group, F.col(value), [value], name, list_rows, group_rows)
+def value_sets(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """The distinct values of each group and their ``position`` in order, a row for each; nulls are left out."""
+    return numbered(df.select(*group, value).filter(F.col(value).isNotNull()).distinct(), group, [value])
 
 
-def invert(
-    df: DataFrame, parent: str, children: str, name: str = "parents", list_rows: int = LIST_ROWS, group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """Turn parent -> array of struct(child, attr) into child -> structs of parent and attr.
+def invert(df: DataFrame, parent: str, children: str) -> DataFrame:
+    """Turn parent -> array of struct(child, attr) into rows of child, ``position``, parent and attr.
 
-    Each child has its parents in order, in lists of bounded length.
+    The parents of a child are numbered in order of parent and attr.
     """
     rows = df.select(F.col(parent).alias("parent"), F.explode(children).alias("c")).select(
         F.col("c.child").alias("child"), "parent", F.col("c.attr").alias("attr")
     )
-    return ordered_lists(rows, ["child"], F.struct("parent", "attr"), ["parent", "attr"], name, list_rows, group_rows)
+    return numbered(rows, ["child"], ["parent", "attr"])
 
 
 def severity_rollup(df: DataFrame, key: Sequence[str], items: str, warnings_as_errors: bool = False) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Running values, positions and bounded lists within groups of any size.
+"""Running values and positions within groups of any size.
 
-A plain window puts a whole group into one task. Where the largest group is small
-(which is measured first) that is the cheapest plan. Otherwise rows are range
-partitioned by group and order, so that a large group spans many tasks; each task
-computes its own part, and what earlier parts of the same group add is at most one
-row per partition.
+A plain window puts a whole group into one task. Here rows are range partitioned by group
+and order, so that a large group spans many tasks; each task computes its own part, and
+what earlier parts of the same group add is at most one row per partition. The path is the
+same at every size, and nothing is measured beforehand: the rows are written once, in
+order, to the shared folder (see ``pipelinekit.storage``) when the plan is built.
 """
 
 from __future__ import annotations
@@ -16,14 +16,6 @@ from pyspark.sql import functions as F
 
 from pipelinekit.storage import stored
 
-GROUP_ROWS = 1_000_000  # largest group that may be ordered within one task
-LIST_ROWS = 10_000  # longest list put into one row
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group; counted with map-side aggregation."""
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
 
 def running(
     df: DataFrame,
@@ -32,23 +24,15 @@ def running(
     value: Column,
     how: str,
     name: str,
-    group_rows: int = GROUP_ROWS,
-    largest: int | None = None,
+    before: bool = False,
 ) -> DataFrame:
     """Add the running ``sum`` or ``min`` of a value within each group, in order.
 
-    ``order_by`` has to order the rows of a group totally for a repeatable result.
-    ``largest`` is an upper bound of the group sizes, if the caller has measured one.
+    With ``before`` a row's own value does not count; a row with nothing before it has
+    null. ``order_by`` has to order the rows of a group totally for a repeatable result.
+    Null keys form a group.
     """
     merge = {"sum": F.sum, "min": F.min}[how]
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    if largest is None:
-        largest = largest_group(df, by)
-    if largest <= 1:
-        return df.withColumn(name, value)
-    if largest <= group_rows:
-        return df.withColumn(name, merge(value).over(Window.partitionBy(*by).orderBy(*order_by).rowsBetween(*so_far)))
-
     ordered = df.withColumn("__value", value).repartitionByRange(*by, *order_by)
     ordered = ordered.sortWithinPartitions(*by, *order_by).withColumn("__at", F.monotonically_increasing_id())
     # The partition of a row must not change between the two uses below, not even when
@@ -60,7 +44,8 @@ def running(
     carried = parts.withColumn("__carried", merge("__part_value").over(earlier)).filter(F.col("__carried").isNotNull())
     carried = carried.select(*[F.col(c).alias(f"__key_{c}") for c in by], F.col("__part").alias("__of"), "__carried")
 
-    within = Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(*so_far)
+    last = -1 if before else Window.currentRow
+    within = Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, last)
     local = ordered.withColumn("__local", merge("__value").over(within))
     same = F.col("__part") == F.col("__of")
     for c in by:
@@ -69,40 +54,26 @@ def running(
     # partition can begin with at most one such group: the table is bounded by their number.
     joined = local.join(F.broadcast(carried), same, "left")
     if how == "sum":
-        total = F.col("__local") + F.coalesce("__carried", F.lit(0))
+        total = F.coalesce(F.col("__local") + F.col("__carried"), "__local", "__carried")
     else:
         total = F.least("__local", "__carried")
     return joined.select(*df.columns, total.alias(name))
 
 
-def numbered(
-    df: DataFrame,
-    by: Sequence[str],
-    order_by: Sequence[str | Column],
-    name: str = "position",
-    group_rows: int = GROUP_ROWS,
-    largest: int | None = None,
-) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str], order_by: Sequence[str | Column], name: str = "position") -> DataFrame:
     """Number the rows of each group from 1 in order."""
-    return running(df, by, order_by, F.lit(1).cast("long"), "sum", name, group_rows, largest)
+    return running(df, by, order_by, F.lit(1).cast("long"), "sum", name)
 
 
-def ordered_lists(
-    df: DataFrame,
-    by: Sequence[str],
-    item: Column,
-    order_by: Sequence[str | Column],
-    name: str = "items",
-    list_rows: int = LIST_ROWS,
-    group_rows: int = GROUP_ROWS,
-    largest: int | None = None,
-) -> DataFrame:
-    """Collect a value per group, in order, into lists of at most ``list_rows`` items.
+def in_lists(df: DataFrame, by: Sequence[str], item: Column, size: int, name: str = "items") -> DataFrame:
+    """Gather numbered rows (``position``) into lists of ``size`` items, divided by position.
 
-    A group within that bound is one row with ``chunk`` 0. A larger one continues in
-    chunks 1, 2, .. so nothing is dropped and no task ever holds a whole large group.
+    A group continues in ``chunk`` 0, 1, .. so no row grows with its group. A row without a
+    position has no item; a group of only such rows has a null list in chunk 0.
     """
-    rows = numbered(df, by, order_by, "__position", group_rows, largest)
-    rows = rows.withColumn("chunk", F.floor((F.col("__position") - 1) / list_rows).cast("int"))
-    collected = F.sort_array(F.collect_list(F.struct(F.col("__position"), item.alias("item"))))
-    return rows.groupBy(*by, "chunk").agg(F.transform(collected, lambda entry: entry.getField("item")).alias(name))
+    chunk = F.coalesce(F.floor((F.col("position") - 1) / size), F.lit(0)).cast("int")
+    entry = F.when(F.col("position").isNotNull(), F.struct("position", item.alias("item")))
+    lists = df.groupBy(*by, chunk.alias("chunk")).agg(
+        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e.getField("item")).alias(name)
+    )
+    return lists.withColumn(name, F.when(F.size(name) > 0, F.col(name)))

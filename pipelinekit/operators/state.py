@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pipelinekit.operators.conditions import all_equal, keys_match
 from pipelinekit.operators.keys import minus
 from pipelinekit.operators.lookups import lookup
-from pipelinekit.operators.running import GROUP_ROWS, largest_group, running
+from pipelinekit.operators.running import running
+from pipelinekit.storage import stored
 
 KEY = ["id", "fabric_id"]
 
@@ -138,93 +139,106 @@ def snapshot_diff(
     )
 
 
-def apply_changes(state: DataFrame, changes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
     """The state after a batch of changes, keyed by id and place.
 
     Failed changes and operations other than DELETED, REFRESH and CREATED have no
     effect. All deletions come first, then all refreshes, then all creations, each kind
-    in order of ``seq`` whatever the order of the kinds is; the last change of a kind wins.
-    A refresh or a creation replaces its key or adds it.
+    in order of ``seq``, unique among the changes, whatever the order of the kinds is; the
+    last change of a kind wins. A refresh or a creation replaces its key or adds it. Null
+    ids and null places are values like any other.
 
     A created row takes the release tag of the first row its id then has, in any
     place and even if that tag is null; with no such row it keeps its own. "First" goes
     by the order a list would have after removing and appending rows: untouched rows by
-    their seq, then refreshed ones, then created ones. One case is simplified: if a batch
-    creates a key twice and by then all earlier rows of the id are replaced, the tag is
-    that of the id's first creation.
+    their seq, then refreshed ones, then created ones. A created row that a later creation of
+    its key replaces is in that list until then.
 
-    The result has the state's columns without ``seq``.
+    The result has the state's columns without ``seq``. State and changes are read once
+    each, when the plan is built: what happens to a key, the rows before creations and the
+    first row of each creation are written to the shared folder.
     """
     columns = [c for c in state.columns if c != "seq"]
-    done = changes.filter(~F.coalesce("failed", F.lit(False)))
-    row = F.struct("seq", *columns)
-
-    def last_of(operation: str) -> DataFrame:
-        rows = done.filter(F.col("operation") == operation).groupBy(*KEY)
-        first_tag = F.min_by(F.struct(F.col("release_tag").alias("tag")), "seq").getField("tag")
-        return rows.agg(F.max(row).alias("row"), F.min("seq").alias("first_seq"), first_tag.alias("first_tag"))
-
-    # One row per changed key, with the time a creation replaces it, if ever. Changes are
-    # few against the state, so they are reduced first; the state meets them in a join that
-    # need not shuffle it if they are small.
-    touched = done.filter(F.col("operation").isin("DELETED", "REFRESH", "CREATED")).groupBy(
-        *[F.col(k).alias(f"__{k}") for k in KEY]
-    )
-    touched = touched.agg(
-        F.min(F.when(F.col("operation") == "CREATED", F.col("seq"))).alias("until"),
-        F.bool_or(F.col("operation").isin("DELETED", "REFRESH")).alias("replaced"),
+    created = F.col("operation") == "CREATED"
+    done = changes.filter(~F.coalesce("failed", F.lit(False)) & F.col("operation").isin("DELETED", "REFRESH", "CREATED"))
+    done = done.select("seq", "operation", *columns)
+    # Each creation with the seq of the next one of its key.
+    done = running(done, KEY, [F.col("seq").desc()], F.when(created, F.col("seq")), "min", "until", before=True)
+
+    # What happens to a key. Changes are few against the state, so they are reduced first; the
+    # state meets them in a join that need not shuffle it if they are small.
+    touched = done.groupBy(*[F.col(k).alias(f"__{k}") for k in KEY]).agg(
+        F.min(F.when(created, F.col("seq"))).alias("until"),
+        F.bool_or(~created).alias("replaced"),
+        F.max(F.when(F.col("operation") == "REFRESH", F.struct("seq", *columns))).alias("refresh"),
     )
+    # The rows before creations, with the first creation of their key. Refreshed rows stand behind the untouched ones.
+    untouched = state.join(touched, all_equal(state, touched, KEY), "left").filter(~F.coalesce("replaced", F.lit(False)))
+    untouched = untouched.select(F.lit(0).alias("kind"), "seq", *columns, "until")
+    refreshed = touched.filter("refresh IS NOT NULL").select(F.lit(1).alias("kind"), "refresh.*", "until")
+    earlier = stored(untouched.unionByName(refreshed), "earlier")
 
-    # The state before creations. Refreshed rows stand behind the untouched ones.
-    untouched = state.join(touched, all_equal(state, touched, KEY), "left")
-    untouched = untouched.filter(~F.coalesce("replaced", F.lit(False)))
-    refreshed = last_of("REFRESH").select("row.*")
-    refreshed = refreshed.join(touched, all_equal(refreshed, touched, KEY), "left")
+    lasting = earlier.filter(F.col("until").isNull()).select(*columns)
+    return lasting.unionByName(_created_rows(earlier, done.filter(created), columns))
 
-    def listed(rows: DataFrame, kind: int) -> DataFrame:
-        return rows.select(*columns, "until", F.struct(F.lit(kind).alias("kind"), F.col("seq").alias("seq")).alias("place"))
 
-    current = listed(untouched, 0).unionByName(listed(refreshed, 1))
-    created = last_of("CREATED").select("id", F.col("row").alias("create"), F.col("first_seq").alias("first_create"), "first_tag")
-    creations = done.filter(F.col("operation") == "CREATED")
-    ids = creations.select(F.col("id").alias("__id")).distinct()
-    tagged = _with_release_tags(current, ids, created, columns, largest_group(creations, ["id"]), group_rows)
-    return current.filter(F.col("until").isNull()).select(*columns).unionByName(tagged)
+def _created_rows(earlier: DataFrame, creations: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The creations that last, each with the tag of the first row of its id at that time.
 
+    A row is still there for a creation unless a creation before that one replaced its key, so
+    the first row there is the least in list order among those replaced at that time or
+    later. With rows and creations of an id in order of time, latest first, that is a
+    running minimum. Earlier rows are reduced to one per id and time beforehand, so the
+    groups grow with the creations of an id, not with its recorded rows.
+    """
+    ids = creations.select(F.col("id").alias("__id")).distinct()
+    rows = earlier.join(ids, all_equal(earlier, ids, ["id"]), "left_semi")
+    rows = rows.groupBy("id", F.col("until").alias("time")).agg(F.min(F.struct("kind", "seq", "release_tag")).alias("entry"))
+    # Step 0 is a row that can come first, step 1 a creation that asks which one does. A creation
+    # is both; being a row since its own seq only, it is not the least while an older one is there.
+    of_rows = rows.select("id", "time", F.lit(0).alias("step"), "entry", F.lit(None).alias("creation"))
+    row = F.when(F.col("until").isNull(), F.struct(*columns))
+    own = F.struct(F.lit(2).alias("kind"), "seq", "release_tag")
+    marks = F.array(
+        F.struct(F.col("until").alias("time"), F.lit(0).alias("step"), own.alias("entry"), F.lit(None).alias("creation")),
+        F.struct(
+            F.col("seq").alias("time"), F.lit(1).alias("step"), F.lit(None).alias("entry"),
+            F.struct("seq", "release_tag", row.alias("row")).alias("creation"),
+        ),
+    )
+    of_creations = creations.select("id", F.inline(marks))
+    latest_first = [F.col("time").desc_nulls_first(), "step", "entry.kind", "entry.seq"]
+    found = running(of_rows.unionByName(of_creations), ["id"], latest_first, F.col("entry"), "min", "first").filter("step = 1")
+
+    copies = (F.col("first.kind") == 2) & (F.col("first.seq") < F.col("creation.seq"))
+    tag = F.when(F.col("first.kind") < 2, F.col("first.release_tag")).otherwise(F.col("creation.release_tag"))
+    tagged = found.select(
+        "id", F.col("creation.seq").alias("seq"), F.col("creation.row").alias("row"), tag.alias("tag"),
+        F.when(copies, F.col("first.seq")).alias("of"),
+    )
+    tagged = _follow(tagged)
+    tag = F.col("tag").cast(creations.schema["release_tag"].dataType)
+    return tagged.filter(F.col("row").isNotNull()).select(
+        *[tag.alias(c) if c == "release_tag" else F.col(f"row.{c}").alias(c) for c in columns]
+    )
 
-def _with_release_tags(
-    current: DataFrame, ids: DataFrame, created: DataFrame, columns: Sequence[str], most: int, group_rows: int
-) -> DataFrame:
-    """Give created rows the tag of the first row of their id at that time.
 
-    A row is still there for a creation unless an earlier one replaced its key, so the
-    first row there is the least in list order among those replaced at that time or
-    later. With rows and creations of an id in order of time, latest first, that is a
-    running minimum. Rows nothing replaces are reduced to one per id beforehand, so the
-    groups grow with the ``most`` creations an id has, not with its recorded rows.
+def _follow(tagged: DataFrame) -> DataFrame:
+    """Give creations the tag of the creation (``of``) whose tag they copy, which may be a copy itself.
 
-    Once all earlier rows are replaced, the first creation of the id heads the list: it
-    took the tag of the first row there was at the very start, or kept its own. Replaced
-    rows and creations are listed as entries for that, behind all that are really there.
+    Each round replaces a link by that of the creation it leads to, so the chains it has still
+    to follow halve. A chain is as long as a key was created in one batch after all earlier rows
+    had been replaced, so mostly there is none to follow.
     """
-    rows = current.join(ids, all_equal(current, ids, ["id"]), "left_semi")
-    rows = rows.groupBy("id", "until").agg(F.min(F.struct("place", "release_tag")).alias("entry"))
-    # Step 0 is a row that can come first, step 1 a creation that asks which one does.
-    of_rows = rows.selectExpr("id", "entry", """inline(if(until is null,
-        array(named_struct('time', until, 'step', 0, 'kind', entry.place.kind)),
-        array(named_struct('time', until, 'step', 0, 'kind', entry.place.kind),
-              named_struct('time', null, 'step', 0, 'kind', entry.place.kind + 2))))""")
-    of_rows = of_rows.selectExpr("id", "time", "step", "kind", "entry.place.seq as seq", "entry.release_tag", "null as creation")
-    of_creations = created.selectExpr("id", """inline(array(
-        named_struct('time', create.seq, 'step', 1, 'kind', null, 'seq', null, 'release_tag', null, 'creation', create),
-        named_struct('time', null, 'step', 0, 'kind', 4, 'seq', first_create, 'release_tag', first_tag, 'creation', null)))""")
-    marks = of_creations.unionByName(of_rows)
-    entry = F.when(F.col("step") == 0, F.struct("kind", "seq", "release_tag"))
-    latest_first = [F.col("time").desc_nulls_first(), F.col("step")]
-    # Two marks per creation, per row it replaces, and for the rows that last.
-    largest = 4 * most + 2
-    found = running(marks, ["id"], latest_first, entry, "min", "first_row", group_rows, largest)
-    tag = F.col("first_row.release_tag")
-    return found.filter(F.col("step") == 1).select(
-        *[tag.alias(c) if c == "release_tag" else F.col(f"creation.{c}").alias(c) for c in columns]
-    )
+    while True:
+        links = Observation()
+        tagged = stored(tagged.observe(links, F.count("of").alias("open")), "tagged")
+        if not links.get["open"]:
+            return tagged
+        to = tagged.select(
+            F.col("id").alias("__id"), F.col("seq").alias("__seq"), F.col("tag").alias("__tag"), F.col("of").alias("__of")
+        )
+        followed, done = tagged.filter(F.col("of").isNotNull()), tagged.filter(F.col("of").isNull())
+        same = followed["id"].eqNullSafe(to["__id"]) & followed["of"].eqNullSafe(to["__seq"])
+        followed = followed.join(to, same).select("id", "seq", "row", F.col("__tag").alias("tag"), F.col("__of").alias("of"))
+        tagged = done.unionByName(followed)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pipelinekit.operators import keys as joins
@@ -32,10 +33,10 @@ def test_lookup(asked, ref, rows, which, n, one, two):
     )
 
 
-def test_nth_beyond_the_window_bound(spark, rows):
+def test_nth_far_behind(spark, rows):
     ref = spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
     asked = spark.createDataFrame([(0,), (1,), (2,)], "k long")
-    got = ops.lookup(asked, ref, ["k"], ["t"], "nth", ["t"], n=1200, group_rows=100)
+    got = ops.lookup(asked, ref, ["k"], ["t"], "nth", ["t"], n=1200)
     assert rows(got) == [(0, 2398), (1, 2399), (2, None)]
 
 
@@ -57,16 +58,24 @@ def test_two_key_columns(spark, rows):
     assert rows(ops.lookup(asked, ref, ["a", "b"], ["v"], "first", ["v"])) == [(1, None, None), (1, "x", 7), (1, "y", None)]
 
 
-@pytest.mark.parametrize("group_rows", [1000, 1])
 @pytest.mark.parametrize("reverse", [False, True])
-def test_rows(asked, ref, group_rows, reverse):
-    got = ops.lookup_rows(asked, ref, {"k": "id"}, ["v", "t"], ["t"], reverse, list_rows=2, group_rows=group_rows)
-    found = {(r["k"], r["chunk"]): r["rows"] and [tuple(x) for x in r["rows"]] for r in got.collect()}
-    one = [("a", 10), ("b", 20), ("c", 30)]
-    two = [(None, 5), ("z", 6)]
-    if reverse:
-        one, two = one[::-1], two[::-1]
-    assert found == {(1, 0): one[:2], (1, 1): one[2:], (2, 0): two, (3, 0): None, (None, 0): None}
+def test_rows(asked, ref, reverse):
+    got = ops.lookup_rows(asked, ref, {"k": "id"}, ["v", "t"], ["t"], reverse)
+    assert got.columns == ["k", "position", "v", "t"]
+    one, two = [("a", 10), ("b", 20), ("c", 30)], [(None, 5), ("z", 6)]
+    want = {(k, n, *row) for k, found in ((1, one), (2, two)) for n, row in enumerate(found[::-1] if reverse else found, 1)}
+    assert sorted(map(str, got.collect())) == sorted(str(Row(*got.columns)(*r)) for r in want | {(3, None, None, None), (None, None, None, None)})
+
+
+def test_map_columns_can_be_looked_up(spark):
+    asked = spark.createDataFrame([(1,), (2,)], "k int")
+    ref = spark.createDataFrame([(1, 2, {"a": 1}, "y"), (1, 1, {"b": 2}, "x"), (1, 1, {"b": 2}, "w")], "k int, t int, m map<string,int>, v string")
+    found = lambda *a, **b: [tuple(r) for r in ops.lookup(asked, ref, ["k"], ["m", "v"], *a, order_by=["t"], **b).orderBy("k").collect()]
+    assert found("first") == [(1, {"b": 2}, "w"), (2, None, None)]
+    assert found("last") == [(1, {"a": 1}, "y"), (2, None, None)]
+    assert found("nth", n=3) == [(1, {"a": 1}, "y"), (2, None, None)]
+    listed = ops.lookup_rows(asked, ref, ["k"], ["m"], ["t", "v"]).orderBy("k", "position").collect()
+    assert [tuple(r) for r in listed] == [(1, 1, {"b": 2}), (1, 2, {"b": 2}), (1, 3, {"a": 1}), (2, None, None)]
 
 
 def test_range_is_half_open(spark, rows):

@@ -48,19 +48,18 @@ def test_fingerprint_keeps_key_types(spark):
     assert rollups.fingerprint(df.filter("false"), ["k"], "name", "body").collect() == []
 
 
-@pytest.mark.parametrize("group_rows", [1000, 2])
-def test_sets_and_inversion(spark, rows, group_rows):
+def test_sets_and_inversion(spark, rows):
     df = spark.createDataFrame([("p", "2.13"), ("p", "2.12"), ("p", "2.13"), ("p", None), ("q", "2.12"), ("p", "2.11")], "k string, v string")
-    assert rows(rollups.value_sets(df, ["k"], "v", list_rows=2, group_rows=group_rows)) == [
-        ("p", 0, ["2.11", "2.12"]), ("p", 1, ["2.13"]), ("q", 0, ["2.12"])
+    assert rows(rollups.value_sets(df, ["k"], "v"), "k", "position", "v") == [
+        ("p", 1, "2.11"), ("p", 2, "2.12"), ("p", 3, "2.13"), ("q", 1, "2.12")
     ]
     mapping = spark.createDataFrame(
         [("p1", [("c1", "f1"), ("c2", "f2")]), ("p2", [("c1", "f3")]), ("p3", []), ("p4", None), ("p0", [("c1", None), ("c1", "f1")])],
         "parent string, children array<struct<child:string,attr:string>>",
     )
-    got = rollups.invert(mapping, "parent", "children", group_rows=group_rows)
-    found = {r["child"]: [tuple(p) for p in r["parents"]] for r in got.collect()}
-    assert found == {"c1": [("p0", None), ("p0", "f1"), ("p1", "f1"), ("p2", "f3")], "c2": [("p1", "f2")]}
+    assert rows(rollups.invert(mapping, "parent", "children"), "child", "position", "parent", "attr") == [
+        ("c1", 1, "p0", None), ("c1", 2, "p0", "f1"), ("c1", 3, "p1", "f1"), ("c1", 4, "p2", "f3"), ("c2", 1, "p1", "f2")
+    ]
 
 
 def test_severities(spark, rows):
@@ -113,11 +112,10 @@ def test_frame_diff_of_bags(spark, rows):
         checks.frame_diff(a, b, ["k"], tolerance=0.1)
 
 
-@pytest.mark.parametrize("group_rows", [1000, 1])
-def test_frame_diff_with_tolerance(spark, rows, group_rows):
+def test_frame_diff_with_tolerance(spark, rows):
     a = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, "x"), (3, None, "x"), (4, 4.0, "x"), (6, 1.0, "x"), (6, 5.0, "x")], "k int, v double, s string")
     b = spark.createDataFrame([(1, 1.4, "x"), (2, 2.6, "x"), (3, None, "y"), (5, 5.0, "x"), (6, 5.1, "x"), (6, 1.1, "x")], "k int, v double, s string")
-    got = checks.frame_diff(a, b, ["k", "v", "s"], ["k"], 0.5, group_rows)
+    got = checks.frame_diff(a, b, ["k", "v", "s"], ["k"], 0.5)
     assert rows(got, "k", "side", "left_v", "right_v", "left_s", "right_s") == [
         (2, "both", 2.0, 2.6, "x", "x"), (3, "both", None, None, "x", "y"), (4, "left", 4.0, None, "x", None), (5, "right", None, 5.0, None, "x")
     ]

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pipelinekit.operators.running import largest_group, numbered, ordered_lists, running
+from pipelinekit.operators.running import in_lists, numbered, running
 
 
 @pytest.fixture(scope="module")
@@ -30,36 +30,57 @@ def expected(rows, merge):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 10])
 @pytest.mark.parametrize(("how", "merge"), [("sum", lambda a, b: a + b), ("min", min)])
-def test_running(data, group_rows, how, merge):
+def test_running(data, how, merge):
     rows, df = data
-    got = running(df, ["g"], ["t", F.col("i").desc()], F.col("v"), how, "r", group_rows)
+    got = running(df, ["g"], ["t", F.col("i").desc()], F.col("v"), how, "r")
     assert {(r["g"], r["t"], r["i"], r["r"]) for r in got.collect()} == expected(rows, merge)
     assert got.columns == ["g", "t", "i", "v", "r"]
 
 
-def test_large_group_is_spread(data):
+@pytest.mark.parametrize(("how", "merge"), [("sum", lambda a, b: a + b), ("min", min)])
+def test_running_before_a_row(data, how, merge):
+    rows, df = data
+    got = running(df, ["g"], ["t", F.col("i").desc()], F.col("v"), how, "r", before=True)
+    after = {(g, t, i): r for g, t, i, r in expected(rows, merge)}
+    for g in {row[0] for row in rows}:
+        found = sorted((r for r in got.collect() if r["g"] == g), key=lambda r: (r["t"] is not None, r["t"] or 0, -r["i"]))
+        assert [r["r"] for r in found] == [None, *[after[(g, r["t"], r["i"])] for r in found[:-1]]]
+
+
+def test_large_group_is_spread(spark, data):
     """No task orders the large group alone: its rows lie in several range partitions."""
     rows, df = data
-    got = numbered(df, ["g"], ["t", "i"], group_rows=10)
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = numbered(df, ["g"], ["t", "i"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "__part" in plan and "CartesianProduct" not in plan
+    files = spark.read.parquet(*got.inputFiles())
+    assert files.filter("g = 'hot'").select(F.shiftright("__at", 33)).distinct().count() > 1
     hot = got.filter("g = 'hot'").agg(F.count(F.lit(1)), F.max("position"), F.countDistinct("position")).first()
     assert hot[0] == hot[1] == hot[2] == sum(r[0] == "hot" for r in rows)
 
 
-def test_largest_group(spark, data):
-    rows, df = data
-    assert largest_group(df, ["g"]) == sum(r[0] == "hot" for r in rows)
-    assert largest_group(df.filter("false"), ["g"]) == 0
+def test_nothing_to_number(data):
+    _, df = data
+    assert numbered(df.filter("false"), ["g"], ["t", "i"]).collect() == []
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 10])
-def test_ordered_lists_continue_in_chunks(data, group_rows):
+def test_lists_continue_in_chunks(data):
     rows, df = data
-    got = ordered_lists(df, ["g"], F.col("i"), [F.col("i").asc()], list_rows=50, group_rows=group_rows).collect()
+    got = in_lists(numbered(df, ["g"], ["i"]), ["g"], F.col("i"), 50).collect()
     assert max(len(r["items"]) for r in got) <= 50
     for key in ("hot", "a", "b", None):
         chunks = [r["items"] for r in sorted((r for r in got if r["g"] == key), key=lambda r: r["chunk"])]
         assert [i for chunk in chunks for i in chunk] == sorted(r[2] for r in rows if r[0] == key)
+
+
+def test_a_row_without_a_position_is_no_item(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("b", None, None)], "g string, position long, v string")
+    assert {(r["g"], r["chunk"], str(r["items"])) for r in in_lists(df, ["g"], F.col("v"), 2).collect()} == {
+        ("a", 0, "['x']"), ("b", 0, "None")
+    }

@@ -14,6 +14,7 @@ SMALL = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.shuffle.partitions": "16",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
 }
@@ -98,17 +99,24 @@ def test_totals_shuffle_sums_not_orders(no_broadcast, hot, dim):
     assert whole.filter("customer_id = 0").first()["orders"] == hot.filter("k = 0").count()
 
 
-def test_nth_is_pruned_before_the_shuffle(no_broadcast, hot, dim):
-    found = lookups.lookup(dim, hot, ["k"], ["text"], "nth", ["v"], n=5)
-    text = found._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in text and "Partial" in text
-
-
-def test_lists_of_a_frequent_key_are_bounded(no_broadcast, hot):
-    got = rollups.value_sets(hot, ["k"], "text", list_rows=1000, group_rows=1000)
-    sizes = got.select("k", F.size("items").alias("n")).groupBy("k").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    top = sizes.filter("k = 0").first()
-    assert top["n"] == hot.filter("k = 0").select("text").distinct().count() and top["most"] == 1000
+def parts_of_key(df, key):
+    """Range partitions that hold rows of a key in the table that numbering wrote."""
+    files = [f for f in df.inputFiles() if "/ordered-" in f]
+    written = df.sparkSession.read.parquet(*files)
+    return written.filter(F.col(key) == 0).select(F.shiftright("__at", 33)).distinct().count()
+
+
+def test_positions_of_a_frequent_key_are_spread(no_broadcast, hot, dim):
+    """No task orders a frequent key alone, for n-th rows, all rows and sets alike."""
+    nth = lookups.lookup(dim, hot, ["k"], ["text"], "nth", ["v"], n=5)
+    assert parts_of_key(nth, "k") > 2
+    assert nth.filter("k = 0").first()["text"] == hot.filter("k = 0").orderBy("v").limit(5).collect()[-1]["text"]
+    every = lookups.lookup_rows(dim, hot, ["k"], ["v"], ["v"])
+    assert parts_of_key(every, "__key_k") > 2
+    sets = rollups.value_sets(hot, ["k"], "text")
+    assert parts_of_key(sets, "k") > 2
+    top = sets.filter("k = 0").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("most")).first()
+    assert top["n"] == top["most"] == hot.filter("k = 0").select("text").distinct().count()
 
 
 def test_one_wide_range_among_many_narrow_ones(spark):

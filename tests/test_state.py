@@ -132,61 +132,67 @@ def test_snapshot_diff_redeploy(state, desired):
     )
 
 
-def replay(state, changes):
-    """The same rules over a Python list, one change at a time."""
-    jobs = [dict(r) for r in sorted(state, key=lambda r: r["seq"])]
-    done = [c for c in sorted(changes, key=lambda c: c["seq"]) if not c["failed"]]
-
-    def key(r):
-        return r["id"], r["fabric_id"]
-
-    for c in done:
-        if c["operation"] == "DELETED":
-            jobs = [j for j in jobs if key(j) != key(c)]
-    for c in done:
-        if c["operation"] == "REFRESH":
-            jobs = [j for j in jobs if key(j) != key(c)] + [dict(c)]
-    for c in done:
-        if c["operation"] == "CREATED":
-            first = next((j for j in jobs if j["id"] == c["id"]), None)
-            new = dict(c)
-            if first is not None:
-                new["release_tag"] = first["release_tag"]
-            jobs = [j for j in jobs if key(j) != key(c)] + [new]
-    cols = ["id", "name", "type", "external_job_id", "fabric_id", "is_paused", "skip_processing", "release_tag"]
-    return sorted(str([j[c] for c in cols]) for j in jobs)
-
-
-@pytest.mark.parametrize("seed", range(6))
-@pytest.mark.parametrize("group_rows", [1_000_000, 2])
-def test_apply_changes_against_replay(spark, seed, group_rows):
+def replayed(state, changes):
+    """The rules one change at a time: an ordered dict holds the rows of each key, in the order of a list."""
+    listed, fresh = {}, iter(range(10**9))
+
+    def drop(change):
+        for at in [at for at, row in listed.items() if (row["id"], row["fabric_id"]) == (change["id"], change["fabric_id"])]:
+            del listed[at]
+
+    for row in sorted(state, key=lambda r: r["seq"]):
+        listed[next(fresh)] = row
+    for kind in ("DELETED", "REFRESH", "CREATED"):
+        for change in sorted((c for c in changes if c["operation"] == kind and not c["failed"]), key=lambda c: c["seq"]):
+            tags = [row["release_tag"] for row in listed.values() if row["id"] == change["id"]] if kind == "CREATED" else []
+            drop(change)
+            if kind != "DELETED":
+                listed[next(fresh)] = change | {"release_tag": tags[0] if tags else change["release_tag"]}
+    names = [f.split()[0] for f in STATE.split(", ")][1:]
+    return sorted(str([row[n] for n in names]) for row in listed.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_apply_changes_against_replay(spark, seed):
+    """A thousand ids a run, each with its own few places, so that keys are often changed more than once."""
     rng = random.Random(seed)
-    ids, places = ["a", "b", "c", "d"], [None, "1", "2", "3", "4", "5"]
-    names = [f.split()[0] for f in STATE.split(", ")]
-    keys = [(i, p) for i in ids for p in places]
-    state = [
-        dict(zip(names, (n, i, f"n{n}", "A", f"x{n}", p, False, False, rng.choice([None, f"t{n}"])), strict=True))
-        for n, (i, p) in enumerate(rng.sample(keys, 12))
+    state, changes = [], []
+    for i in [None, *range(999)]:
+        places = rng.sample([None, "1", "2", "3", "4"], rng.randint(1, 4))
+        kinds = rng.choice([["CREATED"], ["CREATED"] * 5 + ["DELETED", "REFRESH", "UPDATED"], ["CREATED", "DELETED", "REFRESH"]])
+        name = None if i is None else f"j{i}"
+        state += [(name, rng.choice(places)) for _ in range(rng.randint(0, 3))]
+        changes += [(name, rng.choice(places), rng.choice(kinds)) for _ in range(rng.choice([0, 1, 3, 8, 20]))]
+    rng.shuffle(state), rng.shuffle(changes)
+    state = [state_row(n, i, p, tag=rng.choice([None, f"t{n}"])) for n, (i, p) in enumerate(state)]
+    changes = [
+        (n, kind, rng.choice([False, False, False, None, True]), i, f"m{n}", "A", f"y{n}", p, True, False, rng.choice([None, f"own{n}"]))
+        for n, (i, p, kind) in enumerate(changes)
     ]
-    changes, seq = [], 0
-    for operation in rng.sample(["CREATED", "DELETED", "REFRESH", "UPDATED"] * 2, 8):
-        # a key is created once per batch at most; deletions and refreshes may repeat
-        taken = {(c["id"], c["fabric_id"]) for c in changes if c["operation"] == "CREATED" and not c["failed"]}
-        for i, p in rng.sample(keys, rng.randint(1, 6)):
-            if operation == "CREATED" and (i, p) in taken:
-                continue
-            seq += 1
-            changes.append(
-                {"seq": seq, "operation": operation, "failed": rng.random() < 0.2, "id": i, "name": f"m{seq}", "type": "A",
-                 "external_job_id": f"y{seq}", "fabric_id": p, "is_paused": True, "skip_processing": False,
-                 "release_tag": f"own{seq}"}
-            )
-    change_names = [f.split()[0] for f in CHANGES.split(", ")]
-    sdf = spark.createDataFrame([tuple(r[n] for n in names) for r in state], STATE)
-    cdf = spark.createDataFrame([tuple(c[n] for n in change_names) for c in changes], CHANGES)
-    got = apply_changes(sdf, cdf, group_rows)
-    assert got.columns == names[1:]
-    assert sorted(str(list(r)) for r in got.collect()) == replay(state, changes)
+    sdf, cdf = spark.createDataFrame(state, STATE), spark.createDataFrame(changes, CHANGES)
+    got = apply_changes(sdf, cdf)
+    assert got.columns == sdf.columns[1:]
+    dicts = lambda df, rows: [dict(zip(df.columns, r, strict=True)) for r in rows]
+    assert sorted(str(list(r)) for r in got.collect()) == replayed(dicts(sdf, state), dicts(cdf, changes))
+
+
+def test_a_key_created_again_and_again(spark):
+    """One id takes all changes; each creation copies one far back, and tags go round over its places."""
+    rng = random.Random(5)
+    state = [state_row(1, "a", "0", tag="A"), state_row(2, "a", "1", tag="B")]
+    changes = [
+        (n, "CREATED", False, "a", f"m{n}", "A", f"y{n}", str(rng.randint(0, 4)), True, False, f"own{n}") for n in range(700)
+    ]
+    sdf, cdf = spark.createDataFrame(state, STATE), spark.createDataFrame(changes, CHANGES).repartition(5)
+    dicts = lambda df, rows: [dict(zip(df.columns, r, strict=True)) for r in rows]
+    assert sorted(str(list(r)) for r in apply_changes(sdf, cdf).collect()) == replayed(dicts(sdf, state), dicts(cdf, changes))
+
+
+def test_nothing_to_apply(spark):
+    state = spark.createDataFrame([state_row(1, "a", "1", tag="A")], STATE)
+    none = spark.createDataFrame([], CHANGES)
+    assert [r["release_tag"] for r in apply_changes(state, none).collect()] == ["A"]
+    assert apply_changes(state.filter("false"), none).collect() == []
 
 
 def test_created_twice_while_an_earlier_row_lasts(spark):
