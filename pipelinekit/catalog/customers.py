@@ -17,14 +17,11 @@ from pipelinekit.sources import DatasetSpec, read, write
 from pipelinekit.storage import scratch_path
 
 AS_OF = "2002-01-01"
+ORDER_COLUMNS = ["o_orderkey AS order_id", "o_custkey AS customer_id", "CAST(o_totalprice AS decimal(18,2)) AS amount"]
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
-    )
+    return table(spark, sf_dir, "orders").selectExpr(*ORDER_COLUMNS)
 
 
 def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,15 +51,19 @@ def order_account_age(spark, sf_dir):
 
 def customer_orders_summary(spark, sf_dir):
     """The account opens with the customer's first order."""
-    orders = table(spark, sf_dir, "orders")
-    opened = orders.groupBy(F.col("o_custkey").alias("customer_id")).agg(
-        F.min("o_orderdate").cast("date").cast("string").alias("account_open_date")
-    )
-    accounts = customer_rows(spark, sf_dir).drop("account_open_date").join(opened, "customer_id", "left")
-    summary = plan.customer_orders(order_rows(spark, sf_dir), accounts, F.lit(AS_OF).cast("date"))
+    orders = table(spark, sf_dir, "orders").selectExpr(*ORDER_COLUMNS, "o_orderdate AS order_date")
+    summary = plan.customer_orders_from_first(orders, customer_rows(spark, sf_dir), F.lit(AS_OF).cast("date"))
     return summary.withColumn("amounts", F.col("amounts").cast("double"))
 
 
+def account_age_today(spark, sf_dir):
+    """Ages as of today, less the days since a fixed date: the same on every day."""
+    joined = plan.orders_with_customers(order_rows(spark, sf_dir), customer_rows(spark, sf_dir))
+    today = F.datediff(F.current_date(), F.lit(AS_OF).cast("date"))
+    aged = plan.account_age(joined).withColumn("account_length_days", F.col("account_length_days") - today)
+    return aged.select("order_id", F.col("account_length_days").alias("days_at_fixed_date"))
+
+
 def top_customers(spark, sf_dir):
     return plan.top_customers(customer_orders_summary(spark, sf_dir))
 
@@ -86,15 +87,22 @@ def typed_literals(spark, sf_dir):
 
 
 def segment_report(spark, sf_dir):
-    """Nations as places, rich suppliers as markets, order priorities as brackets."""
-    supplier = table(spark, sf_dir, "supplier").filter("s_acctbal > 7000")
-    nation_of = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    orders = table(spark, sf_dir, "orders").join(nation_of, F.col("o_custkey") == F.col("c_custkey"))
+    """Nations as places, suppliers as markets, order priorities as brackets.
+
+    Zip codes are nation numbers, but some are summaries or missing on either side.
+    """
+    def zip_of(nation, missing):
+        return F.when(nation % 5 == missing, None).when(nation == 7, "00000").when(nation == 9, "99999").otherwise(nation.cast("string"))
+
+    markets = table(spark, sf_dir, "supplier").select(zip_of(F.col("s_nationkey"), 3).alias("zip"))
+    # Orders are counted per customer before the join, so a busy customer is one row per bracket.
     stub = F.substring("o_orderpriority", 1, 1).alias("agi_stub")
-    returns = orders.groupBy(F.col("c_nationkey").cast("string").alias("zipcode"), stub).agg(
-        F.count(F.lit(1)).cast("string").alias("N1")
+    counted = table(spark, sf_dir, "orders").groupBy("o_custkey", stub).agg(F.count(F.lit(1)).alias("n"))
+    nation_of = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = counted.join(nation_of, F.col("o_custkey") == F.col("c_custkey"))
+    returns = orders.groupBy(zip_of(F.col("c_nationkey"), 1).alias("zipcode"), "agi_stub").agg(
+        F.sum("n").cast("string").alias("N1")
     )
-    markets = supplier.select(F.col("s_nationkey").cast("string").alias("zip"))
     return market_report(markets, returns, top_bracket=5, threshold=0.2)
 
 
@@ -124,6 +132,7 @@ QUERIES = {
     "customer_totals": customer_totals,
     "named_order_amounts": named_order_amounts,
     "order_account_age": order_account_age,
+    "account_age_today": account_age_today,
     "customer_orders_summary": customer_orders_summary,
     "top_customers": top_customers,
     "report_top_customers": report_top_customers,
@@ -154,6 +163,9 @@ FROM customer JOIN orders ON c_custkey = o_custkey""",
 SELECT CAST(date_diff('day', CAST({_OPENED} AS DATE), DATE '{AS_OF}') AS INTEGER) AS account_length_days,
        o_orderkey AS order_id, o_custkey AS customer_id,
        CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount
+FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "account_age_today": f"""
+SELECT o_orderkey AS order_id, CAST(date_diff('day', CAST({_OPENED} AS DATE), DATE '{AS_OF}') AS INTEGER) AS days_at_fixed_date
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "customer_orders_summary": _SUMMARY,
     "top_customers": f"SELECT * FROM ({_SUMMARY}) ORDER BY amounts DESC, customer_id LIMIT 10",
@@ -163,10 +175,12 @@ SELECT customer_id, orders, amounts FROM ({_SUMMARY}) ORDER BY amounts DESC, cus
 SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 2 ELSE 0 END AS weight,
        o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS known FROM orders""",
     "segment_report": """
-WITH fm AS (SELECT s_nationkey AS zip, count(*) AS n FROM supplier WHERE s_acctbal > 7000 GROUP BY 1),
+WITH fm AS (SELECT s_nationkey AS zip, count(*) AS n FROM supplier
+            WHERE s_nationkey % 5 <> 3 AND s_nationkey NOT IN (7, 9) GROUP BY 1),
 r AS (SELECT c_nationkey AS zipcode,
         sum(CASE WHEN substr(o_orderpriority, 1, 1) = '5' THEN 1 ELSE 0 END) AS high, count(*) AS total
-      FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+      FROM orders JOIN customer ON o_custkey = c_custkey
+      WHERE c_nationkey % 5 <> 1 AND c_nationkey NOT IN (7, 9) GROUP BY 1),
 f AS (SELECT coalesce(fm.n, 0) > 0 AS fm, CAST(high AS DOUBLE) / total > 0.2 AS hi
       FROM fm RIGHT JOIN r ON fm.zip = r.zipcode),
 t AS (SELECT CAST(sum(CASE WHEN fm AND hi THEN 1 ELSE 0 END) AS BIGINT) AS a,

@@ -226,9 +226,9 @@ def _created_rows(earlier: DataFrame, creations: DataFrame, columns: Sequence[st
 def _follow(tagged: DataFrame) -> DataFrame:
     """Give creations the tag of the creation (``of``) whose tag they copy, which may be a copy itself.
 
-    Each round replaces a link by that of the creation it leads to, so the chains it has still
-    to follow halve. A chain is as long as a key was created in one batch after all earlier rows
-    had been replaced, so mostly there is none to follow.
+    Each round follows a link through two more, so the chains it has still to follow shrink to a
+    third. A chain is as long as a key was created in one batch after all earlier rows had been
+    replaced, so mostly there is none to follow.
     """
     while True:
         links = Observation()
@@ -239,6 +239,10 @@ def _follow(tagged: DataFrame) -> DataFrame:
             F.col("id").alias("__id"), F.col("seq").alias("__seq"), F.col("tag").alias("__tag"), F.col("of").alias("__of")
         )
         followed, done = tagged.filter(F.col("of").isNotNull()), tagged.filter(F.col("of").isNull())
-        same = followed["id"].eqNullSafe(to["__id"]) & followed["of"].eqNullSafe(to["__seq"])
-        followed = followed.join(to, same).select("id", "seq", "row", F.col("__tag").alias("tag"), F.col("__of").alias("of"))
+        for _ in range(2):
+            same = F.col("id").eqNullSafe(F.col("__id")) & F.col("of").eqNullSafe(F.col("__seq"))
+            met = F.col("__id").isNotNull() | F.col("__seq").isNotNull()
+            followed = followed.join(to, same, "left").select(
+                "id", "seq", "row", F.when(met, F.col("__tag")).otherwise(F.col("tag")).alias("tag"), F.col("__of").alias("of")
+            )
         tagged = done.unionByName(followed)

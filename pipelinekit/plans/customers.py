@@ -38,21 +38,21 @@ def account_age(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     return df.select(days.alias("account_length_days"), "order_id", "customer_id", "amount")
 
 
-def order_totals(orders: DataFrame) -> DataFrame:
-    """Number of orders and summed amount per customer."""
+def order_totals(orders: DataFrame, *details: Column) -> DataFrame:
+    """Number of orders and summed amount per customer, and further ``details`` of its orders."""
     return orders.groupBy("customer_id").agg(
-        F.count("order_id").alias("orders"), F.sum("amount").alias("amounts")
+        F.count("order_id").alias("orders"), F.sum("amount").alias("amounts"), *details
     )
 
 
-def _joined_totals(orders: DataFrame, customers: DataFrame, *details: Column) -> DataFrame:
-    """Totals over the join of orders and customers, computed before joining.
+def _joined_totals(totals: DataFrame, customers: DataFrame, *details: Column) -> DataFrame:
+    """Totals over the join of orders and customers, from the totals per customer.
 
     A customer listed several times matches each of its orders that many times; the
     ``details`` aggregate its copies.
     """
     per_customer = customers.groupBy("customer_id").agg(F.count(F.lit(1)).alias("copies"), *details)
-    joined = order_totals(orders).join(per_customer, "customer_id")
+    joined = totals.join(per_customer, "customer_id")
     return joined.withColumns(
         {"orders": F.col("orders") * F.col("copies"), "amounts": F.col("amounts") * F.col("copies")}
     ).drop("copies")
@@ -62,11 +62,18 @@ def customer_orders(orders: DataFrame, customers: DataFrame, as_of: Column | Non
     """Orders, amounts and account age per customer; of several opening dates the first counts."""
     opened = F.min(F.col("account_open_date").try_cast("date")).alias("opened")
     days = F.datediff(F.current_date() if as_of is None else as_of, F.col("opened"))
-    return _joined_totals(orders, customers, opened).select(
+    return _joined_totals(order_totals(orders), customers, opened).select(
         "customer_id", "orders", "amounts", days.alias("account_length_days")
     )
 
 
+def customer_orders_from_first(orders: DataFrame, customers: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """The same for accounts that open with the customer's first order (``order_date``), found with the totals."""
+    totals = order_totals(orders, F.min(F.col("order_date").cast("date")).alias("opened"))
+    days = F.datediff(F.current_date() if as_of is None else as_of, F.col("opened"))
+    return _joined_totals(totals, customers).select("customer_id", "orders", "amounts", days.alias("account_length_days"))
+
+
 def full_name_totals(totals: DataFrame) -> DataFrame:
     """Full name and amount rounded up; a missing name part makes the name null."""
     name = F.concat(F.col("first_name"), F.lit(" "), F.col("last_name"))
@@ -78,7 +85,7 @@ def customer_totals(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
     The customer id breaks ties, so equal amounts cannot pile up in one sort range.
     """
-    totals = _joined_totals(orders, customers, F.min(F.struct("first_name", "last_name")).alias("name"))
+    totals = _joined_totals(order_totals(orders), customers, F.min(F.struct("first_name", "last_name")).alias("name"))
     named = totals.select("customer_id", "amounts", "name.first_name", "name.last_name")
     return full_name_totals(named).orderBy(F.col("amount").desc(), "customer_id")
 
