@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pipelinekit.catalog.tables import table
 from pipelinekit.functions.nested import flatten
+from pipelinekit.operators.running import numbered
 from pipelinekit.sources import DatasetSpec, read, write
 from pipelinekit.storage import scratch_path
 
@@ -157,7 +158,10 @@ def sorted_report(spark, sf_dir):
     """A sorted table written to files; the order shows in file name and line."""
     df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("balance"))
     spec = _stored(df.orderBy(F.col("balance").desc(), "c_custkey"), TRIMMED, "id long, balance double")
-    return read(spark, spec).select("id", "balance")
+    place = ["file_name", "file_block_start"]
+    found = read(spark, spec).select("id", "balance", *[F.col(f"_metadata.{c}") for c in place])
+    lines = found.withColumn("line", F.monotonically_increasing_id())  # in order within a block of a file
+    return numbered(lines, [], [*place, "line"]).select("position", "id", "balance")
 
 
 QUERIES = {
@@ -204,5 +208,6 @@ SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_nationkey AS VARCHAR) AS
     "json_documents": _flat_sql("supplier", "s_name", "'2024-01-01'", "s_suppkey"),
     "write_once": "SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer",
     "sorted_report": """
-SELECT c_custkey AS id, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance FROM customer""",
+SELECT row_number() OVER (ORDER BY CAST(c_acctbal AS DECIMAL(18,2)) DESC, c_custkey) AS position,
+       c_custkey AS id, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance FROM customer""",
 }

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pipelinekit.operators.conditions import all_equal, keys_match
 from pipelinekit.operators.keys import minus
-from pipelinekit.operators.lookups import lookup
+from pipelinekit.operators.lookups import lookup, lookup_match
 from pipelinekit.operators.running import running
 from pipelinekit.storage import stored
 
@@ -51,20 +51,30 @@ def to_process(state: DataFrame) -> DataFrame:
     return state.filter(~F.coalesce("skip_processing", F.lit(False)))
 
 
+def _within(df: DataFrame, places: Sequence[str] | DataFrame | None, name: str) -> DataFrame:
+    """Add whether the place of a row is one of ``places``; every place is, if there are none to compare with."""
+    if isinstance(places, DataFrame):
+        (column,) = places.columns
+        return lookup_match(df, places, {"fabric_id": column}, name)
+    inside = F.lit(True) if places is None else F.coalesce(F.col("fabric_id").isin(list(places)), F.lit(False))
+    return df.withColumn(name, inside)
+
+
 def snapshot_diff(
     state: DataFrame,
     desired: DataFrame,
     of_type: Column,
     redeploy: bool = False,
-    allowed: Sequence[str] | None = None,
-    known: Sequence[str] | None = None,
+    allowed: Sequence[str] | DataFrame | None = None,
+    known: Sequence[str] | DataFrame | None = None,
 ) -> DataFrame:
     """Classify rows into what has to happen to turn the state into the desired one.
 
     Returns id, fabric_id, external_job_id and class; a row of several classes appears
     once for each. State rows marked to be skipped, or not ``of_type``, are left out.
     Desired rows outside the ``allowed`` places count only as SKIP, so the recorded
-    rows of such an id are removed like those of an unknown one.
+    rows of such an id are removed like those of an unknown one. ``allowed`` and ``known``
+    are short lists, or tables whose only column names any number of places.
 
     =======  ==================================================================
     ADD      desired and valid, and not recorded under this id and place by any
@@ -83,14 +93,14 @@ def snapshot_diff(
     PAUSE looks at the rows being removed id by id; rows removed under other ids do
     not matter. A desired row that is not valid protects its recorded rows from REMOVE.
     """
-    in_reach = F.lit(True) if allowed is None else F.coalesce(F.col("fabric_id").isin(list(allowed)), F.lit(False))
     wanted = desired.select(
         "id",
         F.col("fabric_id").cast("string").alias("fabric_id"),
         "external_job_id",
         F.coalesce("enabled", F.lit(False)).alias("enabled"),
         F.coalesce("valid", F.lit(False)).alias("valid"),
-    ).withColumn("reached", in_reach)
+    )
+    wanted = _within(wanted, allowed, "reached")
     recorded = to_process(state)
 
     d = wanted.filter("reached").select(
@@ -119,12 +129,12 @@ def snapshot_diff(
         rules = {"REFRESH": here, "MOVED": moved, "REMOVE": gone}
         added = minus(wanted.filter(F.col("reached") & F.col("valid")), recorded, KEY)
     else:
-        in_known = F.lit(True) if known is None else F.coalesce(F.col("fabric_id").isin(list(known)), F.lit(False))
+        both = _within(both, known, "in_known")
         other_name = ~F.col("external_job_id").eqNullSafe(F.col("d_name"))
         running_now = F.coalesce(~F.col("is_paused"), F.lit(False))
         rules = {
             "MOVED": moved,
-            "REMOVE": gone & in_known,
+            "REMOVE": gone & F.col("in_known"),
             "RENAME": here & F.col("d_enabled") & other_name,
             "PAUSE": here & ~F.col("d_enabled") & running_now & ~F.col("d_elsewhere"),
         }

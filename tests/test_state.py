@@ -132,6 +132,16 @@ def test_snapshot_diff_redeploy(state, desired):
     )
 
 
+def test_snapshot_diff_with_places_as_tables(spark, state, desired):
+    of_type, places = F.col("type") == "A", lambda *p: spark.createDataFrame([(x,) for x in [*p, p[0], None]], "place string")
+    assert classes(snapshot_diff(state, desired, of_type, allowed=places("1", "2"))) == classes(
+        snapshot_diff(state, desired, of_type, allowed=["1", "2"])
+    )
+    assert classes(snapshot_diff(state, desired, of_type, redeploy=True, known=places("1"))) == classes(
+        snapshot_diff(state, desired, of_type, redeploy=True, known=["1"])
+    )
+
+
 def replayed(state, changes):
     """The rules one change at a time: an ordered dict holds the rows of each key, in the order of a list."""
     listed, fresh = {}, iter(range(10**9))
