@@ -7,7 +7,7 @@ stay strings throughout.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Zip codes that stand for totals, not for places.
@@ -39,22 +39,24 @@ def typed_returns(returns: DataFrame) -> DataFrame:
 
 def returns_by_bracket(returns: DataFrame, top_bracket: int = 6) -> DataFrame:
     """Returns in the top bracket, below it, and in all, per zip code."""
+    bracket, number = F.col("income_bracket"), F.col("num_returns")
+
+    def summed(where):
+        return F.sum(F.when(where, number).otherwise(0))
+
     return returns.groupBy("zipcode").agg(
-        F.expr(f"sum(if(income_bracket = {top_bracket}, num_returns, 0)) AS high_income_returns"),
-        F.expr(f"sum(if(income_bracket < {top_bracket}, num_returns, 0)) AS low_income_returns"),
-        F.sum("num_returns").alias("all_returns"),
+        summed(bracket == top_bracket).alias("high_income_returns"),
+        summed(bracket < top_bracket).alias("low_income_returns"),
+        F.sum(number).alias("all_returns"),
     )
 
 
 def with_income_flag(brackets: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Share of high incomes, and whether it exceeds ``threshold``; null without returns."""
-    return brackets.selectExpr(
-        "try_divide(100 * high_income_returns, all_returns) AS high_income_percent",
-        "zipcode",
-        "high_income_returns",
-        "low_income_returns",
-        "all_returns",
-        f"try_divide(high_income_returns, all_returns) > {threshold}D AS is_high_income",
+    share = F.try_divide("high_income_returns", "all_returns")
+    percent = F.try_divide(100 * F.col("high_income_returns"), "all_returns")
+    return brackets.select(
+        percent.alias("high_income_percent"), *brackets.columns, (share > F.lit(float(threshold))).alias("is_high_income")
     )
 
 
@@ -64,39 +66,48 @@ def join_markets_and_income(markets: DataFrame, income: DataFrame) -> DataFrame:
 
 
 def with_market_flag(joined: DataFrame) -> DataFrame:
-    return joined.withColumn("has_fm", F.expr("coalesce(num_farmers_markets, 0) > 0"))
+    return joined.withColumn("has_fm", F.coalesce("num_farmers_markets", F.lit(0)) > 0)
 
 
+# The names of the cases, by whether there is a market and incomes are high.
 CASES = {
-    "has_fm_high_income": "has_fm AND is_high_income",
-    "has_fm_low_income": "has_fm AND NOT is_high_income",
-    "no_fm_high_income": "NOT has_fm AND is_high_income",
-    "no_fm_low_income": "NOT has_fm AND NOT is_high_income",
+    "has_fm_high_income": (True, True),
+    "has_fm_low_income": (True, False),
+    "no_fm_high_income": (False, True),
+    "no_fm_low_income": (False, False),
 }
 
 
+def _is(flag: str, value: bool) -> Column:
+    return F.col(flag) if value else ~F.col(flag)
+
+
 def with_cases(flagged: DataFrame) -> DataFrame:
     """The four market/income cases; a null income flag can leave a case null."""
-    return flagged.selectExpr(*[f"{condition} AS {name}" for name, condition in CASES.items()], "*")
+    cases = [(_is("has_fm", fm) & _is("is_high_income", high)).alias(name) for name, (fm, high) in CASES.items()]
+    return flagged.select(*cases, "*")
 
 
 def case_totals(cases: DataFrame) -> DataFrame:
-    """Count each case over all rows: one row, also for no rows; null counts as no."""
-    return cases.selectExpr(
-        *[f"sum(if({name}, 1, 0)) AS {name}" for name in CASES],
-        "count(1) AS num_zipcodes",
-        "sum(if(has_fm, 1, 0)) AS has_fm",
-        "sum(if(NOT has_fm, 1, 0)) AS no_fm",
+    """Count each case over all rows: one row, with nulls for no rows; null counts as no."""
+    rows = F.count(F.lit(1))
+
+    def counted(condition: Column) -> Column:
+        return F.when(rows > 0, F.count_if(condition))
+
+    return cases.agg(
+        *[counted(F.col(name)).alias(name) for name in CASES],
+        rows.alias("num_zipcodes"),
+        counted(_is("has_fm", True)).alias("has_fm"),
+        counted(_is("has_fm", False)).alias("no_fm"),
     )
 
 
 def case_percents(totals: DataFrame) -> DataFrame:
-    return totals.selectExpr(
-        "try_divide(100 * has_fm_high_income, has_fm) AS has_fm_high_income_percent",
-        "try_divide(100 * no_fm_high_income, no_fm) AS no_fm_high_income_percent",
-        *CASES,
-        "num_zipcodes",
-    )
+    percents = [
+        F.try_divide(100 * F.col(f"{side}_high_income"), side).alias(f"{side}_high_income_percent") for side in ("has_fm", "no_fm")
+    ]
+    return totals.select(*percents, *CASES, "num_zipcodes")
 
 
 def market_report(

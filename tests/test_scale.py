@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from pipelinekit.operators import keys, lookups, rollups, state
+from pipelinekit.operators import keys, lookups, rollups, running, state
 from pipelinekit.plans import customers as plan
 
 ROWS = 60_000
@@ -127,3 +127,46 @@ def test_one_wide_range_among_many_narrow_ones(spark):
     got = lookups.range_lookup(asked, bands, "x", "lo", "hi", ["name"])
     assert got.count() == 40_000
     assert got.filter("name = 'wide'").count() == 20_000
+
+
+def scans(df):
+    """How often the plan reads files, reused exchanges not counted again."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("FileScan" in line for line in plan.splitlines())
+
+
+@pytest.fixture
+def files(spark, tmp_path):
+    """A folder of tables as files, written from frames."""
+
+    def written(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    return written
+
+
+def test_orders_are_read_once(files, hot, dim):
+    orders = files(hot.selectExpr("v AS order_id", "k AS customer_id", "v AS amount", "'2000-01-01' AS order_date"), "orders")
+    customers = files(dim.selectExpr("k AS customer_id"), "customers")
+    summary = plan.customer_orders_from_first(orders, customers, F.lit("2000-01-11").cast("date"))
+    assert scans(summary) == 2
+    busy = summary.filter("customer_id = 0").first()
+    assert busy["orders"] == hot.filter("k = 0").count() and busy["account_length_days"] == 10
+
+
+def test_changes_read_state_and_changes_once(spark, files, monkeypatch):
+    """All that is written while the plan is built together reads each input once."""
+    names = "id, name, type, external_job_id, fabric_id, is_paused, skip_processing, release_tag"
+    row = ["CAST(id % 50 AS string) AS id", "'n' AS name", "'A' AS type", "'x' AS external_job_id", "CAST(id % 7 AS string) AS fabric_id",
+           "false AS is_paused", "false AS skip_processing", "CAST(id AS string) AS release_tag"]
+    recorded = files(spark.range(500).selectExpr("id AS seq", *row), "state")
+    kinds = "element_at(array('CREATED', 'DELETED', 'REFRESH'), CAST(id % 3 + 1 AS int)) AS operation"
+    changes = files(spark.range(300).selectExpr("id AS seq", kinds, "false AS failed", *row), "changes")
+    plans, write = [], state.stored
+    for module in (state, running):
+        monkeypatch.setattr(module, "stored", lambda df, name: plans.append(df.inputFiles()) or write(df, name))
+    after = state.apply_changes(recorded, changes)
+    assert ", ".join(after.columns) == names
+    read = [set(recorded.inputFiles()), set(changes.inputFiles())]
+    assert [sum(bool(files & set(found)) for found in [*plans, after.inputFiles()]) for files in read] == [1, 1]
