@@ -12,7 +12,7 @@ import xxhash
 
 from pipelinekit.llm.components import components
 from pipelinekit.llm.simhash import links, one_of_each, simhash_components
-from pipelinekit.llm.substrings import dedup_substrings, rolling
+from pipelinekit.llm.substrings import dedup_substrings, planes, rolling, steps, unplaned, unstepped
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -123,5 +123,15 @@ def test_rolling_hashes_are_polynomials():
     assert len(rolling(values[:5], 13)) == 0
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 500, 200_000):
+        numbers = rng.integers(0, 2**64, n, dtype=np.uint64)
+        assert (unplaned(planes(numbers)) == numbers).all()
+        assert (unstepped(steps(np.sort(numbers))) == np.sort(numbers)).all()
+        signed = rng.integers(-(2**63), 2**63, n)
+        assert (unplaned(planes(signed)).view(np.int64) == signed).all()
+
+
 def test_no_documents(nothing):
     assert simhash_components(nothing).count() == dedup_substrings(nothing).count() == one_of_each(nothing).count() == 0
