@@ -73,6 +73,8 @@ PARTS = (
 # A quote behind a brace or comma opens a key: inside of a string it would be escaped.
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _REFERENCE = rf'[{{,]"pipelineId":({_STRING}|\{{(?:[^{{}}"]|{_STRING})*+\}})'
+# Such an object with objects in it, and all that follows: where it ends is left to the parser of JSON.
+_DEEP_REFERENCE = rf'[{{,]"pipelineId":(?=(\{{(?:[^{{}}"]|{_STRING})*+\{{(?s:.*)))'
 
 
 def value_at(json: Column, path: str) -> Column:
@@ -102,8 +104,16 @@ def processes(json: Column) -> Column:
 
 
 def given_references(json: Column) -> Column:
-    """The references of a JSON document at any depth, as JSON values, in order; null where the text is no JSON."""
-    return F.regexp_extract_all(F.to_json(F.try_parse_json(json)), F.lit(_REFERENCE), 1)
+    """The references of a JSON document at any depth, as JSON values; null where the text is no JSON.
+
+    Objects with other objects in them come last, reduced to their ``type`` and ``value``.
+    """
+    plain = F.to_json(F.try_parse_json(json))
+    deep = F.transform(
+        F.regexp_extract_all(plain, F.lit(_DEEP_REFERENCE), 1),
+        lambda rest: F.to_json(F.from_json(rest, "type variant, value variant")),
+    )
+    return F.concat(F.regexp_extract_all(plain, F.lit(_REFERENCE), 1), deep)
 
 
 def process_references(json: Column) -> Column:

@@ -143,6 +143,19 @@ def test_references_at_any_depth_and_of_any_shape(spark, rows):
     assert rows(nested.entities_of_kind(one(spark, mixed), "j", "Pipeline")) == [("q",)]
 
 
+def test_references_that_hold_other_objects(spark, rows):
+    name = SUBSCRIBED.format
+    deep = {"type": "literal", "value": name(31), "more": {"x": [{"pipelineId": name(32)}, "}"]}}
+    texts = [
+        json.dumps({"a": [{"pipelineId": deep}, {"pipelineId": {"items": [{}], "type": "literal", "value": name(33)}}], "z": {"value": name(34)}}),
+        json.dumps({"pipelineId": {"type": "literal", "value": {"value": name(35)}}, "b": {"pipelineId": {"type": "expression", "value": name(36), "y": {}}}}),
+        json.dumps({"pipelineId": {"inner": {"type": "literal", "value": name(37)}}, "type": "literal", "value": name(38)}),
+        json.dumps({"pipelineId": {"inner": {"type": "x"}, "type": "literal", "value": 39}}),
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    assert rows(nested.json_refs(df, "j")) == [("31",), ("32",), ("33",)]
+
+
 def test_stale_shapes(spark):
     wrapped = lambda kind: {"type": kind, "value": "v"}
     library = {"PipelineComponent": {"pipelineId": "l"}}
