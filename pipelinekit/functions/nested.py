@@ -69,12 +69,11 @@ PARTS = (
     "processes map<string, string>, components array<string>, request struct<"
     "CreateNewJobRequest:struct<tasks:array<struct<libraries:array<string>>>>, tasks:array<struct<libraries:array<string>>>>"
 )
-# A string of JSON, and the value of the key at any depth, given as a string or as an object without objects in it.
+# A string of JSON, and the value of the key at any depth, given as a string or as an object; where an object holds
+# other objects all that follows is taken, as where it ends is left to the parser of JSON.
 # A quote behind a brace or comma opens a key: inside of a string it would be escaped.
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_REFERENCE = rf'[{{,]"pipelineId":({_STRING}|\{{(?:[^{{}}"]|{_STRING})*+\}})'
-# Such an object with objects in it, and all that follows: where it ends is left to the parser of JSON.
-_DEEP_REFERENCE = rf'[{{,]"pipelineId":(?=(\{{(?:[^{{}}"]|{_STRING})*+\{{(?s:.*)))'
+_REFERENCE = rf'[{{,]"pipelineId":(?=({_STRING}|\{{(?:[^{{}}"]|{_STRING})*+(?:\}}|\{{(?s:.*))))'
 
 
 def value_at(json: Column, path: str) -> Column:
@@ -104,16 +103,13 @@ def processes(json: Column) -> Column:
 
 
 def given_references(json: Column) -> Column:
-    """The references of a JSON document at any depth, as JSON values; null where the text is no JSON.
+    """The references of a JSON document at any depth, as JSON values, in order; null where the text is no JSON.
 
-    Objects with other objects in them come last, reduced to their ``type`` and ``value``.
+    Objects are reduced to their ``type`` and ``value``.
     """
-    plain = F.to_json(F.try_parse_json(json))
-    deep = F.transform(
-        F.regexp_extract_all(plain, F.lit(_DEEP_REFERENCE), 1),
-        lambda rest: F.to_json(F.from_json(rest, "type variant, value variant")),
-    )
-    return F.concat(F.regexp_extract_all(plain, F.lit(_REFERENCE), 1), deep)
+    found = F.regexp_extract_all(F.to_json(F.try_parse_json(json)), F.lit(_REFERENCE), 1)
+    reduced = lambda value: F.to_json(F.from_json(value, "type variant, value variant"))
+    return F.transform(found, lambda value: F.when(value.startswith("{"), reduced(value)).otherwise(value))
 
 
 def process_references(json: Column) -> Column:
