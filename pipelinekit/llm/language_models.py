@@ -1,131 +1,151 @@
 """Cross-entropy difference of two bigram models: one of a target domain, one of everything else.
 
-Both models share one vocabulary, the most frequent words of the whole corpus, and are of the same form: a bigram estimate
+Both models share one vocabulary, all words that the corpus has often enough, and are of the same form: a bigram estimate
 interpolated with a smoothed unigram estimate. Counts are taken over all documents. The background counts are brought to the
 target's total, so smoothing weighs the same in both. A document's score is the mean over its
 words of the background's loss minus the target's: positive if the target model predicts it better.
+
+The counts are a table of one row per bigram, the losses another, and documents meet the losses of their bigrams in a join:
+nothing but totals comes to the driver, and no task holds a model.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipelinekit.llm.batches import map_slices, map_stream, utf8, words
+from pipelinekit.llm.batches import map_slices, utf8, words
 from pipelinekit.operators.conditions import keys_match
+from pipelinekit.storage import stored
 
-VOCABULARY = 1024  # words with a number of their own, among them the two below; a model has its square of cells
-START, OTHER = 0, 1
+LEAST = 1  # times that the corpus has a word of the vocabulary, at least
+START = 0  # stands before the first word
 BIGRAM = 0.7  # weight of the bigram estimate
-FLUSH = 200_000  # distinct words a task counts before it passes them on
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return words(text.lower() if text else text)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """The ``size - 2`` most frequent words over all documents, numbered from 2; ties by the word itself."""
+def numbered(text: bytes | None) -> np.ndarray:
+    """The hashes of a text's words behind the start mark."""
+    found = tokens(text)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((START, *map(digest, found)), np.uint64, len(found) + 1)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        counts: Counter = Counter()
-        for part in parts:
-            for text in utf8(part.column("text")):
-                counts.update(tokens(text))
-            if len(counts) > FLUSH:
-                yield {"word": list(counts), "n": list(counts.values())}
-                counts.clear()
-        yield {"word": list(counts), "n": list(counts.values())}
 
-    counted = map_stream(docs, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "word").limit(size - 2).collect()
-    return {bytes(row["word"]): number for number, row in enumerate(top, 2)}
+def distinct(ids: list[np.ndarray], weights: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct bigrams of several texts, previous and next word apart, and how often each is there or the sums of its weights."""
+    before, after = (np.concatenate([x[part] for x in ids] or [np.zeros(0, np.uint64)]) for part in (slice(None, -1), slice(1, None)))
+    _, first, place = np.unique(before * MIX + after, return_index=True, return_inverse=True)
+    sums = [np.bincount(place, w, len(first)).astype(np.int64) for w in weights or [None]]
+    return before[first].view(np.int64), after[first].view(np.int64), sums
 
 
-def numbered(text: bytes | None, known: dict[bytes, int]) -> np.ndarray:
-    """The numbers of a text's words behind the start mark."""
-    found = tokens(text)
-    get = known.get
-    return np.fromiter((START, *(get(w, OTHER) for w in found)), np.int64, len(found) + 1)
+def bigrams(docs: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """(prev, word, target, background): how often each bigram is in target documents and in the others."""
+    wanted = target.select(F.col(key).alias("of")).filter(F.col("of").isNotNull()).distinct().withColumn("wanted", F.lit(True))
+    # The target may be of any size: the same shuffled join whatever it is, rather than a broadcast while it is small.
+    flagged = docs.join(wanted.hint("shuffle_hash"), keys_match([(docs["key"], wanted["of"])]), "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        ids = [numbered(text) for text in utf8(batch.column("text"))]
+        near = np.repeat(np.array(batch.column("wanted").to_pylist(), bool), [len(x) - 1 for x in ids])
+        before, after, (own, others) = distinct(ids, [near, ~near])
+        return {"prev": before, "word": after, "target": own, "background": others}
 
+    rows = map_slices(flagged, run, "prev long, word long, target long, background long")
+    return rows.groupBy("prev", "word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
-def cells(ids: np.ndarray, size: int) -> np.ndarray:
-    return ids[:-1] * size + ids[1:]
 
+def counted(table: DataFrame, by: str, names: tuple[str, str]) -> DataFrame:
+    return table.groupBy(F.col(by).alias(f"by_{by}")).agg(*[F.sum(c).alias(n) for c, n in zip(("target", "background"), names, strict=True)])
 
-def bigrams(docs: DataFrame, target: DataFrame, known: dict[bytes, int], size: int, key: str) -> np.ndarray:
-    """Counts of all bigrams in target documents and in the others, as two rows of size**2 cells.
 
-    Each task adds up its own documents and passes on its cells; a cell is one row of the result, so
-    what comes to the driver is bounded by the vocabulary alone.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    wanted = target.select(F.col(key).alias("of")).filter(F.col("of").isNotNull()).distinct().withColumn("wanted", F.lit(True))
-    # The target may be of any size: the same shuffled join whatever it is, rather than a broadcast while it is small.
-    flagged = docs.join(wanted.hint("shuffle_hash"), keys_match([(docs["key"], wanted["of"])]), "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+def losses(table: DataFrame, least: int, size: int | None) -> DataFrame:
+    """Counts of all bigrams -> (gram, near, far): the losses in nats of each, gram being a hash of its words.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        counts = np.zeros((2, size * size), np.int32)
-        for part in parts:
-            here: tuple[list, list] = ([], [])
-            for text, is_target in zip(utf8(part.column("text")), part.column("wanted").to_pylist(), strict=True):
-                here[0 if is_target else 1].append(cells(numbered(text, shared.value), size))
-            for row, several in zip(counts, here, strict=True):
-                if several:
-                    at, n = np.unique(np.concatenate(several), return_counts=True)
-                    row[at] += n.astype(np.int32)
-        at = np.flatnonzero(counts.any(axis=0))
-        yield {"cell": at, "target": counts[0, at], "background": counts[1, at]}
-
-    rows = map_stream(flagged, run, "cell int, target int, background int").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    found = rows.toArrow()
-    table = np.zeros((2, size * size))
-    table[:, found.column("cell").to_numpy()] = [found.column(c).to_numpy() for c in ("target", "background")]
-    return table
-
-
-def model(counts: np.ndarray, size: int) -> np.ndarray:
-    """Loss in nats of each bigram, as a size x size table."""
-    table = counts.reshape(size, size)
-    total = table.sum()
-    single = (table.sum(axis=0) + 1) / (total + size)
-    before = table.sum(axis=1, keepdims=True)
-    pair = np.divide(table, before, out=np.tile(single, (size, 1)), where=before > 0)
-    return -np.log(BIGRAM * pair + (1 - BIGRAM) * single).astype(np.float32)
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", size: int = VOCABULARY) -> DataFrame:
+    Words out of the vocabulary are one common word: the bigrams that differ only in such words are added up.
+    """
+    single = stored(counted(table, "word", ("word_target", "word_background")), "words")
+    total = single.agg(F.sum("word_target"), F.sum("word_background")).first()
+    known = single.filter(F.col("word_target") + F.col("word_background") >= least)
+    if size is not None:
+        known = known.orderBy((F.col("word_target") + F.col("word_background")).desc(), "by_word").limit(max(0, size - 2))
+    whole = least <= 1 and size is None
+    if not whole:
+        known = stored(known, "vocabulary")
+    before = counted(table, "prev", ("prev_target", "prev_background"))
+    if not whole:
+        own = known.select(F.col("by_word").alias("own"))
+        before = before.filter(F.col("by_prev") != START).join(own, F.col("by_prev") == F.col("own"), "left_semi").unionByName(before.filter(F.col("by_prev") == START))
+    before = stored(before, "contexts")
+    seen, ahead = known.agg(F.count(F.lit(1)), F.sum("word_target"), F.sum("word_background")).first(), before.agg(F.sum("prev_target"), F.sum("prev_background")).first()
+    kinds = size or seen[0] + 2
+    placed = table.join(known, F.col("word") == F.col("by_word"), "left").join(before, F.col("prev") == F.col("by_prev"), "left")
+    if not whole:
+        p, w = F.when(F.col("by_prev").isNotNull(), F.col("prev")), F.when(F.col("by_word").isNotNull(), F.col("word"))
+        placed = stored(placed.withColumns({"p": p, "w": w}), "placed")
+        mixed = placed.filter("p IS NULL OR w IS NULL")
+        pooled = mixed.groupBy(F.col("p").alias("of_p"), F.col("w").alias("of_w")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+        alike = F.col("p").eqNullSafe(F.col("of_p")) & F.col("w").eqNullSafe(F.col("of_w"))
+        mixed = mixed.drop("target", "background").join(pooled, alike).select(placed.columns)
+        placed = placed.filter("p IS NOT NULL AND w IS NOT NULL").unionByName(mixed)
+    # Words out of the vocabulary have what the known ones leave.
+    rest = lambda i, part: (total[i] or 0) - (part[i] or 0)
+    scale = total[0] / total[1] if total[0] and total[1] else 1.0
+
+    def loss(name: str, i: int, times: float) -> Column:
+        of_word = F.coalesce(F.col(f"word_{name}"), F.lit(rest(i, seen[1:])))
+        of_prev = F.coalesce(F.col(f"prev_{name}"), F.lit(rest(i, ahead)))
+        one = (of_word * F.lit(times) + 1) / F.lit(float((total[i] or 0) * times + kinds))
+        return -F.log(F.when(of_prev > 0, F.lit(BIGRAM) * F.col(name) / F.greatest(of_prev, F.lit(1)) + F.lit(1 - BIGRAM) * one).otherwise(one))
+
+    return placed.select(F.xxhash64("prev", "word").alias("gram"), loss("target", 0, 1.0).cast("float").alias("near"), loss("background", 1, scale).cast("float").alias("far"))
+
+
+def body_of(text: bytes | None) -> int:
+    """A hash that tells texts apart, as a long."""
+    return xxhash.xxh64_intdigest(text or b"") - (1 << 63)
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", size: int | None = None, least: int = LEAST) -> DataFrame:
     """Score every row of ``docs`` against the target domain, the documents whose keys ``target`` has.
 
     Result: ``key``, n_words, target_loss, background_loss (means per word, in nats), score (their difference, higher is closer to
     the target). Rows without words have losses and score 0. A null key is background. Every row gives one row, repeated
     ones too, and counts as often as it is there. Without target documents the target model is uniform. An empty table
     gives no rows. Other columns are not read.
+
+    The vocabulary are the words that all documents together have ``least`` times or more, by default every word; ``size`` keeps the
+    ``size - 2`` most frequent of them. Words, bigrams and texts are told apart by 64-bit hashes.
     """
     kind = docs.select(key).schema[key].dataType.simpleString()
     packed = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text")
-    known = vocabulary(packed.select("text"), size)
-    counts = bigrams(packed, target, known, size, key)
-    totals = counts.sum(axis=1)
-    if totals.all():
-        counts[1] *= totals[0] / totals[1]
-    shared = docs.sparkSession.sparkContext.broadcast((known, [model(c, size) for c in counts]))
+    table = stored(bigrams(packed, target, key), "bigrams")
+    priced = losses(table, least, size)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        names, (near, far) = shared.value
-        near, far = near.reshape(-1), far.reshape(-1)
-        out: dict[str, list] = {"n_words": [], "target_loss": [], "background_loss": []}
+    def pieces(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"body": [], "prev": [], "word": [], "n": []}
         for body in utf8(batch.column("text")):
-            at = cells(numbered(body, names), size)
-            out["n_words"].append(len(at))
-            out["target_loss"].append(float(near[at].mean(dtype=np.float64)) if len(at) else 0.0)
-            out["background_loss"].append(float(far[at].mean(dtype=np.float64)) if len(at) else 0.0)
-        return {"key": batch.column("key")} | out
-
-    scored = map_slices(packed, run, f"key {kind}, n_words long, target_loss double, background_loss double")
-    return scored.select(F.col("key").alias(key), "n_words", "target_loss", "background_loss", (F.col("background_loss") - F.col("target_loss")).alias("score"))
+            before, after, (n,) = distinct([numbered(body)])
+            for name, values in zip(out, (np.full(len(n), body_of(body)), before, after, n), strict=True):
+                out[name].append(values)
+        return {name: np.concatenate(values) for name, values in out.items()}
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        texts = utf8(batch.column("text"))
+        return {"key": batch.column("key"), "body": [body_of(t) for t in texts], "n_words": [len(words(t)) for t in texts]}
+
+    asked = map_slices(packed.select("text"), pieces, "body long, prev long, word long, n int").select("body", F.xxhash64("prev", "word").alias("of"), "n")
+    met = asked.join(priced, keys_match([(asked["of"], priced["gram"])]))
+    # Copies of a text meet in one row; a mean over all of them is that of each.
+    means = met.groupBy(F.col("body").alias("same")).agg(*[(F.sum(F.col("n") * F.col(c).cast("double")) / F.sum("n")).alias(c) for c in ("near", "far")])
+    each = map_slices(packed, rows, f"key {kind}, body long, n_words long")
+    scored = each.join(means, keys_match([(each["body"], means["same"])]), "left")
+    near, far = F.coalesce("near", F.lit(0.0)), F.coalesce("far", F.lit(0.0))
+    return scored.select(F.col("key").alias(key), "n_words", near.alias("target_loss"), far.alias("background_loss"), (far - near).alias("score"))
