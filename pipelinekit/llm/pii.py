@@ -1,9 +1,10 @@
 """Personal data: patterns, and terms that give a person away by what the corpus says.
 
-Four patterns find addresses and numbers; each value found is a protected entity. A term near an entity
-reveals it if seeing the term tells most of the information of seeing the entity: with
-PMI(t; e) = log2 p(t, e) / (p(t) p(e)) and IC(e) = -log2 p(e), both from counts over all documents, term t discloses entity e if
-PMI >= DISCLOSURE * IC. What such terms say is removed wherever they stand near that entity.
+Four patterns find addresses and numbers; each value found is a protected entity. A term of a document that has an entity
+reveals it if seeing the term tells most of the information of seeing the entity: with IC(e) = -log2 p(e) and
+PMI(t; e) = log2 p(e | t) / p(e), from counts over all documents, term t discloses entity e if PMI >= DISCLOSURE * IC. The share
+p(e | t) is smoothed by one text that has the term without the entity, so that few texts say less than many, and one says
+enough only where the entity is rare. Such terms are removed wherever they stand in a document that has the entity.
 Terms that are also seen without it, as most words are, have little information about it and stay.
 """
 
@@ -24,11 +25,8 @@ from pipelinekit.llm.batches import map_slices, map_stream
 from pipelinekit.operators.conditions import keys_match
 from pipelinekit.storage import stored
 
-NEAR = 8  # words on either side of an entity
-MIN_TEXTS = 3  # distinct texts in which a term has to stand near an entity, as evidence
-MIN_LETTERS = 4  # of a term
 DISCLOSURE = 0.9
-FILTER_BITS = 20  # of a table that spares counting most words that are near no entity
+FILTER_BITS = 20  # of a table that spares counting most words that are with no entity
 FLUSH = 300_000  # distinct words a task counts before it passes them on
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,7 +40,7 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 RUN = re.compile(r"[0-9]+")
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W_]+")
 
 Span = tuple[str, int, int]
 
@@ -121,27 +119,20 @@ def entity(kind: str, text: str) -> str:
     return f"{kind}:{text.lower() if kind in ('email', 'ip') else digits_of(text)}"
 
 
-def near_terms(text: str, spans: list[Span], words: int = NEAR) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms within ``words`` words on either side of each span.
+def number(word: str) -> int:
+    """A hash that tells terms, and texts, apart, as a long."""
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
 
-    Terms are runs of letters outside all spans, lower-cased, of at least ``MIN_LETTERS``.
-    """
-    if not spans:
-        return []
+
+def terms_of(text: str, spans: list[Span]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all terms of a text with spans: runs of letters and digits outside of them, lower-cased."""
     taken = sorted((start, end) for _, start, end in spans)
-    letters = []
-    for m in WORD.finditer(text):
-        while taken and taken[0][1] <= m.start():
-            taken.pop(0)
-        if not taken or m.end() <= taken[0][0]:
-            letters.append((m.start(), m.end()))
-    starts = np.array([a for a, _ in letters], np.int64)
-    out = []
-    for kind, start, end in spans:
-        at = int(np.searchsorted(starts, start))
-        for a, b in letters[max(0, at - words) : at + words]:
-            if b - a >= MIN_LETTERS:
-                out.append((entity(kind, text[start:end]), text[a:b].lower(), a, b))
+    out, at = [], 0
+    for m in WORD.finditer(text) if spans else ():
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at == len(taken) or m.end() <= taken[at][0]:
+            out.append((m[0].lower(), m.start(), m.end()))
     return out
 
 
@@ -150,26 +141,27 @@ def written(spans: list[Span]) -> str:
 
 
 def found_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: key, a hash that tells its text, the base spans, and the terms near them. Narrow: no texts."""
+    """Per row: key, a hash that tells its text, the base spans, and if there are any their values and all terms. Narrow: no texts."""
     kind = docs.select(key).schema[key].dataType.simpleString()
-    span, term = "struct<kind:string,start:bigint,end:bigint>", "struct<entity:string,term:string,start:bigint,end:bigint>"
+    span, term = "struct<kind:string,start:bigint,end:bigint>", "struct<term:bigint,start:bigint,end:bigint>"
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = {"body": [], "spans": [], "terms": []}
+        rows = {"body": [], "spans": [], "entities": [], "terms": []}
         for body in batch.column("text").to_pylist():
             body = body or ""
             spans = base_spans(body)
-            rows["body"].append(xxhash.xxh64_intdigest(body) - (1 << 63) if spans else None)
+            rows["body"].append(number(body) if spans else None)
             rows["spans"].append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-            rows["terms"].append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in near_terms(body, spans)])
+            rows["entities"].append(sorted({entity(k, body[a:b]) for k, a, b in spans}))
+            rows["terms"].append([{"term": number(t), "start": a, "end": b} for t, a, b in terms_of(body, spans)])
         return {"key": batch.column("key")} | rows
 
     packed = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text")
-    return map_slices(packed, run, f"key {kind}, body long, spans array<{span}>, terms array<{term}>")
+    return map_slices(packed, run, f"key {kind}, body long, spans array<{span}>, entities array<string>, terms array<{term}>")
 
 
-def cell(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) >> (64 - FILTER_BITS) for w in words], np.int64)
+def cell(terms: np.ndarray) -> np.ndarray:
+    return terms >> (64 - FILTER_BITS) & ((1 << FILTER_BITS) - 1)
 
 
 def document_counts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -180,65 +172,71 @@ def document_counts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """
 
     def cells(batch: pa.RecordBatch) -> dict:
-        return {"cell": cell(batch.column("term").to_pylist())}
+        return {"cell": np.unique(cell(batch.column("term").to_numpy()))}
 
     marked = np.zeros(1 << FILTER_BITS, bool)
-    marked[[row[0] for row in map_slices(wanted.select("term"), cells, "cell long").distinct().collect()]] = True  # at most 2**20 rows
+    marked[[row[0] for row in map_slices(wanted, cells, "cell long").distinct().collect()]] = True  # at most 2**20 rows
     shared = docs.sparkSession.sparkContext.broadcast(marked)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts, passed = Counter(), {}
         for part in parts:
-            seen = [w for body in part.column("text").to_pylist() if body for w in set(WORD.findall(body.lower())) if len(w) >= MIN_LETTERS]
+            seen = [w for body in part.column("text").to_pylist() if body for w in {x.lower() for x in set(WORD.findall(body))}]
             new = list({w for w in seen if w not in passed})
-            passed.update(zip(new, shared.value[cell(new)].tolist() if new else [], strict=True))
-            counts.update(w for w in seen if passed[w])
+            numbers = np.array([number(w) for w in new], np.int64)
+            passed.update(zip(new, [n if there else None for n, there in zip(numbers.tolist(), shared.value[cell(numbers)].tolist(), strict=True)], strict=True))
+            counts.update(n for w in seen if (n := passed[w]) is not None)
             if len(passed) > FLUSH:
                 yield {"word": list(counts), "n": list(counts.values())}
                 counts, passed = Counter(), {}
         yield {"word": list(counts), "n": list(counts.values())}
 
-    counted = map_stream(docs.selectExpr(f"`{text}` AS text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("documents"))
-    return wanted.select("term").join(counted, F.col("term") == F.col("word")).select("term", "documents")
+    counted = map_stream(docs.selectExpr(f"`{text}` AS text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("documents"))
+    return wanted.join(counted, F.col("term") == F.col("word")).select(F.col("term").alias("counted"), "documents")
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text: str, threshold: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) of the terms that reveal an entity, from counts over all documents.
+    """(body, term) of the terms that reveal an entity of a text, from counts over all documents.
 
-    Copies of one text are evidence once, but count as documents, on either side of each ratio alike.
+    Copies of one text are evidence once, but count as documents, on either side of each ratio alike. Entities of the same texts
+    are one group, which has the same terms: a list of many values costs no more than one of them.
     """
-    # One row per document and pair; exact copies of a text then meet in one row, with their number.
-    pairs = found.select("body", F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p"))
-    by_text = pairs.groupBy("p.entity", "p.term", "body").agg(F.count(F.lit(1)).alias("n"))
-    joint = by_text.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= MIN_TEXTS)
-    joint = stored(joint, "pairs")
-    terms = document_counts(docs, joint.select("term").distinct(), text)
-    entities = pairs_of_entities(found).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    total = docs.count()
-    known = joint.join(terms, "term").join(entities, "entity")
-    information = F.log2(F.lit(float(max(1, total))) / F.col("with_entity"))
-    mutual = F.log2(F.col("both") * F.lit(float(max(1, total))) / (F.col("documents") * F.col("with_entity")))
-    return known.filter((information > 0) & (mutual >= threshold * information)).select("entity", "term")
-
-
-def pairs_of_entities(found: DataFrame) -> DataFrame:
-    return found.select(F.explode(F.array_distinct(F.transform("terms", lambda t: t["entity"]))).alias("entity"))
+    total = float(max(1, docs.count()))
+    having = found.filter(F.col("body").isNotNull())
+    marks = having.select("body", F.explode("entities").alias("entity")).groupBy("body", "entity").agg(F.count(F.lit(1)).alias("n"))
+    marks = stored(marks, "entities")
+    entities = marks.groupBy(F.col("entity").alias("of")).agg(F.bit_xor("body").alias("texts"), F.sum("n").alias("with_entity"))
+    groups = marks.join(entities, keys_match([(marks["entity"], entities["of"])])).select(F.col("body").alias("at"), "n", "texts", "with_entity").distinct()
+    information = F.log2(F.lit(total) / F.col("with_entity"))
+    reach = F.pow(F.lit(2.0), (1 - threshold) * information)  # how many documents with the term there may be to one that has both
+    terms = stored(having.select("body", F.explode(F.array_distinct("terms.term")).alias("term")).distinct(), "terms")
+    known = document_counts(docs, terms.select("term").distinct(), text)
+    counted = terms.join(known, keys_match([(terms["term"], known["counted"])])).select("body", "term", "documents")
+    # No more documents have both than have the entity, so terms that are too common for it can go before pairs are counted.
+    pairs = counted.join(groups, F.col("body") == F.col("at")).filter((information > 0) & (F.col("documents") <= reach * F.col("with_entity")))
+    pairs = stored(pairs.select("body", "term", "documents", "n", "texts", "with_entity"), "pairs")
+    joint = pairs.groupBy("texts", "with_entity", "term", "documents").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("evidence"))
+    lost = F.col("documents") / F.col("both") + 1 / F.col("evidence")
+    revealing = joint.filter(F.log2(lost) <= (1 - threshold) * information)
+    revealing = revealing.select(F.col("texts").alias("t"), F.col("with_entity").alias("e"), F.col("term").alias("w"))
+    same = keys_match([(pairs["texts"], revealing["t"]), (pairs["with_entity"], revealing["e"]), (pairs["term"], revealing["w"])])
+    return pairs.join(revealing, same, "left_semi").select("body", "term").distinct()
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = DISCLOSURE) -> DataFrame:
-    """Per row of ``docs``: its base spans and the spans of revealing terms near them.
+    """Per row of ``docs``: its base spans and the spans of terms that reveal what stands in them.
 
     Result: ``key``, ``body`` (a hash of the text, null without spans), ``spans`` and ``term_spans``, arrays of struct(kind, start, end)
     in code points, the base ones by kind and start. Every row gives one row, repeated ones too; a null or empty
-    text has no spans; an empty table gives no rows. Other columns are not read. Terms are flagged only
-    near the entity they reveal, so a text without personal data never changes.
+    text has no spans; an empty table gives no rows. Other columns are not read. Terms are flagged only, and
+    everywhere, in texts with an entity they reveal, so a text without personal data never changes.
     """
     found = stored(found_spans(docs, key, text), "spans")
     revealing = disclosing(found, docs, text, threshold)
-    terms = found.filter(F.col("body").isNotNull()).select("body", F.explode(F.array_distinct("terms")).alias("t")).distinct()
+    terms = found.filter(F.col("body").isNotNull()).select("body", F.explode("terms").alias("t")).distinct()
     named = terms.select("body", "t.*")
-    met = named.join(revealing.select(F.col("entity").alias("e"), F.col("term").alias("w")), (F.col("entity") == F.col("e")) & (F.col("term") == F.col("w")), "left_semi")
-    # A text has few terms near its entities, and copies of a text have met in ``distinct``.
+    met = named.join(revealing.select(F.col("body").alias("b"), F.col("term").alias("w")), (F.col("body") == F.col("b")) & (F.col("term") == F.col("w")), "left_semi")
+    # Copies of a text have met in ``distinct``.
     flagged = met.groupBy(F.col("body").alias("of")).agg(
         F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("term_spans")
     )
@@ -274,7 +272,7 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", threshol
     hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
 
     def body(batch: pa.RecordBatch) -> dict:
-        names = [xxhash.xxh64_intdigest(t) - (1 << 63) if t else None for t in batch.column("text").to_pylist()]
+        names = [number(t) if t else None for t in batch.column("text").to_pylist()]
         return {"row": batch.column("row"), "text": batch.column("text"), "body": names}
 
     def clean(batch: pa.RecordBatch) -> dict:
