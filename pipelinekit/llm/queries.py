@@ -12,16 +12,22 @@ from pipelinekit.catalog.tables import table
 from pipelinekit.llm.decontamination import contaminated
 from pipelinekit.llm.language_models import cross_entropy_difference
 from pipelinekit.llm.licenses import license_scan
+from pipelinekit.llm.manifest import ascii_lower, folded, leaf, merkle_proofs, siblings
 from pipelinekit.llm.packing import pack
+from pipelinekit.llm.pieces import encoded
 from pipelinekit.llm.pii import KINDS, personal_data
 from pipelinekit.llm.quality import quality
 from pipelinekit.llm.quality_rules import quality_rules
 from pipelinekit.llm.sharding import byte_shards
 from pipelinekit.llm.simhash import simhash_components
 from pipelinekit.llm.substrings import dedup_substrings
+from pipelinekit.llm.twins import merkle, variants
+from pipelinekit.llm.variants import spelled_words, spelling_variants
 
 SHARDS = 40
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+LEAST_LETTERS, LEAST_OCCURRENCES = 6, 5
 
 
 def tokenizer_model(name: str = TOKENIZER) -> str:
@@ -84,11 +90,38 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encoded(table(spark, sf_dir, "documents"), Path(public_tokenizers.path(PIECES)).read_bytes())
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelled_words(table(spark, sf_dir, "documents"))
+    return spelling_variants(words.filter((F.length("word") >= LEAST_LETTERS) & (F.col("n") >= LEAST_OCCURRENCES)))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    seen = F.when(tampered, leaf(*others, ascii_lower(F.col("text")))).otherwise(F.col("leaf"))
+    leaves = docs.withColumn("leaf", leaf(*others, F.col("text"))).withColumn("seen", seen).select("doc_id", "lang", "leaf", "seen")
+    proofs = merkle_proofs(leaves, "lang", ["doc_id"]).withColumn("folded_root", folded(F.col("seen"), "path"))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings("path"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_sharding, op3_decontamination, op4_packing, op5_pii,
         op6_simhash, op7_substring_dedup, op8_quality_classifier, op9_lm_scoring, op10_license_scans,
+        op11_sentencepiece, op12_spelling_variants, op13_merkle_manifest,
     )
 }
 
@@ -111,4 +144,6 @@ SELECT t.doc_id, len(t.words) AS n_words, coalesce(len(g.places), 0) AS n_remove
     ELSE list_filter(t.words, lambda w, i: NOT list_contains(g.places, i)) END, ' ')) AS kept_sha256
 FROM texts t LEFT JOIN gone g USING (doc_id)
 """,
+    "op12_spelling_variants": variants(),
+    "op13_merkle_manifest": merkle(),
 }

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="sample tables
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
