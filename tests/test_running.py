@@ -48,23 +48,55 @@ def test_running_before_a_row(data, how, merge):
         assert [r["r"] for r in found] == [None, *[after[(g, r["t"], r["i"])] for r in found[:-1]]]
 
 
-def test_large_group_is_spread(spark, data):
-    """No task orders the large group alone: its rows lie in several range partitions."""
-    rows, df = data
+@pytest.fixture
+def small_partitions(spark):
+    """Partitions stay apart, however small they are."""
     coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = numbered(df, ["g"], ["t", "i"])
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+
+
+def test_large_group_is_spread(spark, data, small_partitions):
+    """No task orders the large group alone: its rows lie in several range partitions."""
+    rows, df = data
+    got = numbered(df, ["g"], ["t", "i"])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "__part" in plan and "CartesianProduct" not in plan
-    files = spark.read.parquet(*got.inputFiles())
+    files = spark.read.parquet(*[f for f in got.inputFiles() if "/ordered-" in f])
     assert files.filter("g = 'hot'").select(F.shiftright("__at", 33)).distinct().count() > 1
     hot = got.filter("g = 'hot'").agg(F.count(F.lit(1)), F.max("position"), F.countDistinct("position")).first()
     assert hot[0] == hot[1] == hot[2] == sum(r[0] == "hot" for r in rows)
 
 
+def test_equal_rows_are_spread(spark, small_partitions):
+    """Rows that nothing tells apart have every position once, and no task orders them alone."""
+    got = numbered(spark.range(20_000).select(F.lit("a").alias("g"), F.lit(1).alias("t")).repartition(5), ["g"], ["t"])
+    files = spark.read.parquet(*[f for f in got.inputFiles() if "/ordered-" in f])
+    assert files.groupBy(F.shiftright("__at", 33)).count().agg(F.max("count")).first()[0] < 10_000
+    assert got.agg(F.count(F.lit(1)), F.max("position"), F.countDistinct("position")).first()[:] == (20_000,) * 3
+
+
+def test_rows_are_evaluated_once(spark, data):
+    """Both with a large group and without one."""
+    rows, df = data
+    for kept in (df, df.withColumn("g", F.col("i").cast("string"))):
+        seen = spark.sparkContext.accumulator(0)
+
+        def see(v, seen=seen):
+            seen.add(1)
+            return v
+
+        got = numbered(kept.withColumn("v", F.udf(see, "int")("v")), ["g"], ["t", "i"])
+        assert got.count() == len(rows) and got.filter("position > 0 AND v IS NOT NULL").count() == len(rows)
+        assert seen.value == len(rows)
+
+
+def test_zeros_of_both_signs_are_one_group(spark):
+    df = spark.createDataFrame([(0.0, i) if i % 2 else (-0.0, i) for i in range(40)], "g double, t int")
+    assert sorted(r["position"] for r in numbered(df, ["g"], ["t"]).collect()) == list(range(1, 41))
+
+
 def test_nothing_to_number(data):
     _, df = data
     assert numbered(df.filter("false"), ["g"], ["t", "i"]).collect() == []
