@@ -13,17 +13,16 @@ numbered with a key spread over many tasks. A frequent key of the looking-up tab
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from pipelinekit.operators.conditions import keys_match
 from pipelinekit.operators.running import numbered
 
-OPEN_LEVEL = 5000  # of ranges without an end; widths have levels from -1074 to 1024
-
 Keys = Sequence[str] | Mapping[str, str]
 
 
@@ -149,39 +148,78 @@ def range_lookup(df: DataFrame, ref: DataFrame, value: str, lo: str, hi: str, co
     """Add ``cols`` of the ranges with ``lo <= value < hi``; nulls without one.
 
     Ranges that do not overlap give one row per row of ``df``; of overlapping ranges
-    each gives a row. Ends may be infinite; a range with a null end matches nothing. A range
-    of width w lies on level ceil(log2(w)), whose bins are 2**level wide, so it touches two
-    bins at most (three by rounding), however wide others are. The distinct values meet the
-    ranges on (level, bin), for the levels there are: a job reads those while the plan is
-    built, about 2,100 at most. Ranges with an infinite end have a level with one bin.
+    each gives a row. Ends may be infinite; a range with a null end matches nothing. All ends cut the line into segments, numbered
+    in order; a range is a run of segments, split into the nodes of a binary tree over them, two per level at most. A
+    value finds its segment by the last cut before it, and the segments with any value meet the ranges on their nodes. So neither side
+    is compared with more than it matches, however ranges nest. It is one plan, evaluated when the result is.
     """
     ranges = ref.filter(F.col(lo) < F.col(hi)).select(
         F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)]
     )
-    start, end = F.col("__lo").cast("double"), F.col("__hi").cast("double")
-    is_open = (F.abs(start) == float("inf")) | (F.abs(end) == float("inf"))
-    width = F.when(end > start, end - start).otherwise(F.lit(1.0))
-    level = F.when(is_open, F.lit(OPEN_LEVEL)).otherwise(F.ceil(F.log2(F.least(width, F.lit(1.7e308)))).cast("int"))
-
-    def bin_of(point: Column, level: Column) -> Column:
-        return F.when(level == OPEN_LEVEL, F.lit(0)).otherwise(F.floor(point / F.pow(F.lit(2.0), level)))
-
-    leveled = ranges.withColumn("__level", level)
-    levels = [row[0] for row in leveled.select("__level").distinct().collect()]
-    binned = leveled.withColumn("__bin", F.explode(F.sequence(bin_of(start, F.col("__level")), bin_of(end, F.col("__level")))))
-    added = [F.col(f"__v{i}").alias(c) for i, c in enumerate(cols)]
-    if len(levels) <= 1:
-        # Every value has one bin: the rows themselves can meet the ranges.
-        at = bin_of(df[value].cast("double"), F.lit(levels[0] if levels else 0))
-        inside = (at == binned["__bin"]) & (df[value] >= binned["__lo"]) & (df[value] < binned["__hi"])
-        return df.join(binned, inside, "left").select(*[df[c] for c in df.columns], *added)
-    asked = df.select(F.col(value).alias("__value")).dropna().distinct()
-    asked = asked.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    asked = asked.withColumn("__bin", bin_of(F.col("__value").cast("double"), F.col("__level")))
-    inside = (
-        (asked["__level"] == binned["__level"]) & (asked["__bin"] == binned["__bin"])
-        & (F.col("__value") >= F.col("__lo")) & (F.col("__value") < F.col("__hi"))
-    )
-    found = asked.join(binned, inside).select("__value", *[f"__v{i}" for i in range(len(cols))])
-    joined = df.join(found, keys_match([(df[value], found["__value"])]), "left")
-    return joined.select(*[df[c] for c in df.columns], *added)
+    names = [f"__v{i}" for i in range(len(cols))]
+    cuts, placed = _ranked_cuts(ranges.select(F.explode(F.array("__lo", "__hi")).alias("__point")).distinct())
+    ends = cuts.select(F.col("__point").alias("__end"), F.col("__rank").alias("__j"), "__levels")
+    lows = cuts.select(F.col("__point").alias("__low"), F.col("__rank").alias("__i"))
+    runs = ranges.join(lows, ranges["__lo"] == lows["__low"]).join(ends, ranges["__hi"] == ends["__end"])
+
+    # On each level a run not yet covered gives away what isn't the first, or isn't the second, of a pair.
+    at_level = runs.withColumn("__level", F.explode(F.sequence(F.lit(0), F.col("__levels"))))
+    first, end = F.expr("shiftright(__i + shiftleft(1L, __level) - 1, __level)"), F.expr("shiftright(__j, __level)")
+    given = F.array(F.when((first < end) & (first % 2 == 1), first), F.when((first < end) & (end % 2 == 1), end - 1))
+    nodes = at_level.withColumn("__node", F.explode(F.array_compact(given))).select("__level", "__node", *names)
+
+    rows = placed(df.select(F.struct(*df.columns).alias("__row"), F.col(value).alias("__point")))
+    met = rows.select("__rank", "__levels").dropna().distinct().withColumn("__level", F.explode(F.sequence(F.lit(0), F.col("__levels"))))
+    met = met.select(F.col("__rank").alias("__of"), "__level", F.expr("shiftright(__rank, __level)").alias("__node"))
+    found = met.join(nodes, ["__level", "__node"]).select("__of", *names)
+    # A segment may hold any share of the rows: Spark can split this join.
+    joined = rows.join(found, keys_match([(rows["__rank"], found["__of"])]), "left")
+    return joined.select(*[F.col("__row").getField(c).alias(c) for c in df.columns], *[F.col(n).alias(c) for n, c in zip(names, cols, strict=True)])
+
+
+def _ranked_cuts(cuts: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Distinct cuts (``__point``) with their ``__rank`` from 1 and the ``__levels`` of a tree over the ranks, and what ranks other rows.
+
+    The line is parted at quantiles of the cuts, taken from a sketch of bounded size, so that each part is a window partition of
+    its own; what the cuts of earlier parts add is one number per part. Other rows (``__row``, ``__point``) get
+    the rank of the last cut not above their point, 0 before the first, null for a null. As they may all lie in one part, each part is
+    divided once more by a hash of the rows, with its cuts in each division.
+    """
+    spark = cuts.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    divisions = math.isqrt(tasks - 1) + 1 if tasks > 1 else 1
+    parts = -(-tasks // divisions)
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    bounds = cuts.agg(F.percentile_approx(F.col("__point").cast("double"), shares, 100 * parts)).scalar()
+
+    def parted(some: DataFrame) -> DataFrame:
+        part = F.greatest(F.size(F.filter("__bounds", lambda b: b < F.col("__point").cast("double"))), F.lit(0)).cast("long")
+        return some.withColumn("__bounds", bounds).withColumn("__part", part).drop("__bounds")
+
+    of_parts = parted(cuts).groupBy(F.col("__part").alias("__of")).agg(F.count(F.lit(1)).alias("n"))
+    # A row per part, of which there is a fixed number.
+    earlier = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    every = spark.range(0, len(shares) + 1, 1, 1).join(F.broadcast(of_parts), F.col("id") == F.col("__of"), "left")
+    carried = F.broadcast(every.select(
+        F.col("id").alias("__of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"),
+        F.ceil(F.log2(F.coalesce(F.sum("n").over(Window.partitionBy()), F.lit(0)) + 1)).cast("int").alias("__levels"),
+    ))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy("__point"))
+    local = parted(cuts).withColumn("__nth", nth)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        hashed = F.xxhash64(*[F.col("__row").getField(f.name) for f in rows.schema["__row"].dataType if _sortable(f.dataType)])
+        spread = parted(rows).withColumn("__division", F.pmod(hashed, F.lit(divisions)))
+        lines = local.select(
+            F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), "__point", "__part",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(divisions - 1).cast("long"))).alias("__division"), "__nth",
+        )
+        both = spread.withColumn("__nth", F.lit(None).cast("int")).unionByName(lines)
+        before = Window.partitionBy("__part", "__division").orderBy("__point", F.col("__nth").desc_nulls_last())
+        last = F.last("__nth", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = both.withColumn("__last", F.coalesce(last, F.lit(0))).filter(F.col("__row").isNotNull())
+        rank = F.when(F.col("__point").isNotNull(), F.col("__last") + F.col("__before"))
+        return ranked.join(carried, F.col("__part") == F.col("__of")).select("__row", rank.alias("__rank"), "__levels")
+
+    ranked = local.join(carried, F.col("__part") == F.col("__of"))
+    return ranked.select("__point", (F.col("__nth") + F.col("__before")).alias("__rank"), "__levels"), placed

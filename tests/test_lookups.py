@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -108,6 +110,48 @@ def test_ranges_of_all_widths_and_open_ends(spark):
     assert sorted(map(str, want)) == sorted(str((repr(r.x), r.name)) for r in got)
 
 
+def test_nested_ranges(spark):
+    """Twenty thousand ranges around each other, some with equal ends: a value is compared only with those it lies in."""
+    n = 20_000
+    bands = spark.range(n).select(F.col("id").alias("lo"), (2 * n - F.expr("id - id % 3")).alias("hi"), F.col("id").alias("r"))
+    values = [-1, 0, 1, 77, n // 2, n - 1, n, n + 1, 2 * n - 78, 2 * n - 1, 2 * n]
+    got = ops.range_lookup(spark.createDataFrame([(v,) for v in values] * 2, "x long"), bands, "x", "lo", "hi", ["r"])
+    found = {r["x"]: r["n"] for r in got.groupBy("x").agg(F.count("r").alias("n")).collect()}
+    assert found == {v: 2 * sum(i <= v < 2 * n - (i - i % 3) for i in range(n)) for v in values}
+    assert got.filter("r IS NOT NULL AND NOT (r <= x AND x < 40000 - (r - r % 3))").isEmpty()
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_random_ranges(spark, parts):
+    """Values of few kinds, ranges of all widths, decimals against integers."""
+    rng = random.Random(11)
+    bands = [(lo := rng.randrange(-50, 50), lo + rng.choice([0, 1, 2, 5, 30, 200]), i) for i in range(120)]
+    values = [rng.choice([None, 0.0, -0.0, rng.uniform(-60, 60)]) for _ in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        asked = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+        got = {tuple(r) for r in ops.range_lookup(asked, spark.createDataFrame(bands, "lo int, hi int, r int"), "x", "lo", "hi", ["r"]).select("i", "r").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    hits = {i: [r for lo, hi, r in bands if v is not None and lo <= v < hi] for i, v in enumerate(values)}
+    assert got == {(i, r) for i, found in hits.items() for r in found or [None]}
+
+
+def test_ranges_are_one_plan(spark):
+    """Building the lookup runs nothing: its input is not touched before the result is."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(v, seen=seen):
+        seen.add(1)
+        return v
+
+    asked = spark.range(10).select(F.udf(see, "double")(F.col("id").cast("double")).alias("x"))
+    got = ops.range_lookup(asked, spark.createDataFrame([(0.0, 5.0)], "lo double, hi double"), "x", "lo", "hi", ["lo"])
+    assert seen.value == 0 and got.filter("lo IS NOT NULL").count() == 5
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keep_drop_and_union(spark, rows):
     df = spark.createDataFrame([("j/1", 1), ("j/2", 2), ("3", 3), (None, 4)], "id string, v int")
     assert rows(joins.keep_keys(df, "id", "1,2", "j/"), "v") == [(1,), (2,)]
