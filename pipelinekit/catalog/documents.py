@@ -35,7 +35,22 @@ def _jobs(spark, sf_dir):
 
 
 def json_refs(spark, sf_dir):
-    return nested.json_refs(_jobs(spark, sf_dir), "document")
+    """A document per order in one of eight shapes, each with a project of its own to find or to pass over."""
+    key = F.col("o_orderkey")
+    project = F.col("o_custkey") * 10 + key % 8
+    name = F.concat(F.lit("gitUri=http://git/a.git&subPath=&tag=Hello/x-1.0&projectSubscriptionProjectId="), project, F.lit("&path=pipelines/p"))
+    shapes = [
+        '{"a": {"b": [{"c": [[{"pipelineId": "REF"}]]}]}}',
+        '[1, "pipelineId", {"x": null}, {"pipelineId": "REF", "y": {}}]',
+        r'{"note": "{\"pipelineId\": \"REF9\"}", "pipelineId": "REF", "pipelineIds": "REF8"}',
+        '{"pipelineId": 5, "more": [{"pipelineId": null}, {"pipelineId": "REF"}]}',
+        '{"pipelineId": {"type": "expression", "value": "REF"}}',
+        '{"pipelineId": {"a": {"x": {}}, "type": "literal", "value": "REF", "z": [{}, "}"]}}',
+        '{"pipelineId": {"inner": {"pipelineId": "REF"}, "type": "literal", "value": {"value": "REF"}}}',
+        '{"pipelineId": "REF"',
+    ]
+    shape = F.element_at(F.array(*map(F.lit, shapes)), (key % 8 + 1).cast("int"))
+    return nested.json_refs(table(spark, sf_dir, "orders").select(F.replace(shape, F.lit("REF"), name).alias("document")), "document")
 
 
 def json_entities(spark, sf_dir):
@@ -170,7 +185,8 @@ _REFERENCE = """
        || CAST(o_custkey AS VARCHAR) || '&path=pipelines/p' ELSE 'pipelines/p' || CAST(o_custkey AS VARCHAR) END"""
 
 ORACLE = {
-    "json_refs": "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS project_id FROM orders WHERE o_orderkey % 6 = 0",
+    "json_refs": """
+SELECT DISTINCT CAST(o_custkey * 10 + o_orderkey % 8 AS VARCHAR) AS project_id FROM orders WHERE o_orderkey % 8 IN (0, 1, 2, 3, 5)""",
     "json_entities": f"""
 SELECT 'pipelines/s' || substr(o_orderpriority, 1, 1) AS entity FROM orders WHERE o_orderstatus <> 'F'
 UNION SELECT {_REFERENCE} FROM orders WHERE o_orderkey % 2 = 0""",

@@ -86,7 +86,7 @@ OLD, NEW = "pipelines/orders", "pipelines/sales"
 
 
 def stale_text(spark, sf_dir):
-    """Files of several types around whole document texts, judged for an old reference."""
+    """Files of several types around whole document texts, judged for an old reference; job documents name it in eight ways."""
     key = F.col("doc_id")
     path = F.element_at(
         F.array(
@@ -105,7 +105,21 @@ def stale_text(spark, sf_dir):
         .otherwise(F.lit(""))
     )
     uri = F.when(key % 5 == 0, OLD).when(key % 5 == 1, f"{OLD}2").when(key % 5 == 2, f"{OLD}/{NEW}").otherwise("other")
-    job = F.to_json(F.struct(F.create_map(F.lit("p1"), F.struct(F.struct(uri.alias("pipelineId")).alias("properties"))).alias("processes"), F.col("text").alias("note")))
+    jobs = [
+        '{"processes": {"p": {"properties": {"pipelineId": "URI"}}, "q": "text"}, "note": NOTE}',
+        '{"processes": {"p": {"properties": {"pipelineId": {"type": "expression", "value": "URI"}}}}, "note": NOTE}',
+        '{"processes": {"p": {"properties": {"pipelineId": 5}}}, "also": "URI", "note": NOTE}',
+        '{"components": [{"x": 1}, {"PipelineComponent": {"pipelineId": "URI"}}], "note": NOTE}',
+        '{"components": [{"PipelineComponent": {"pipelineId": {"value": "URI"}}}], "note": NOTE}',
+        '{"components": [], "request": {"CreateNewJobRequest": {"tasks": [{}, {"libraries": [{"PipelineComponent": {"pipelineId": "URI"}}]}]}}, "note": NOTE}',
+        '{"components": [], "request": {"tasks": [{"libraries": [{"y": 1}, {"PipelineComponent": {"pipelineId": "URI"}}]}]}, "note": NOTE}',
+        '{"request": {"tasks": [{"libraries": [{"PipelineComponent": {"pipelineId": "URI"}}]}]}, "note": NOTE}',
+        '{"processes": {"p": {"properties": "URI"}}, "note": NOTE}',
+    ]
+    shape = F.element_at(F.array(*map(F.lit, jobs)), (F.floor(key / 8) % 9 + 1).cast("int"))
+    # The note holds the old name where the document itself holds another: it counts only where a document can't be read.
+    note = F.get_json_object(F.to_json(F.struct(F.array(F.concat("text", F.when(key % 5 == 4, OLD).otherwise(""))).alias("n"))), "$.n")
+    job = F.replace(F.replace(shape, F.lit("URI"), uri), F.lit("NOTE"), F.coalesce(note, F.lit("null")))
     workflow = F.to_json(F.struct(F.struct(uri.alias("uri")).alias("metainfo"), F.col("text").alias("note")))
     body = F.when(key % 8 == 5, job).when(key % 8 == 7, workflow).otherwise(F.concat("text", refers))
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), body.alias("body"))
@@ -217,7 +231,9 @@ SELECT doc_id,
     WHEN 6 THEN 'notes.md' ELSE 'p/code/.v/workflow.latest.json' END AS path,
   CASE doc_id % 8 WHEN 0 THEN doc_id % 5 IN (0, 1) WHEN 1 THEN doc_id % 5 = 0
     WHEN 2 THEN doc_id % 5 IN (0, 1, 2) WHEN 3 THEN doc_id % 5 IN (0, 1, 2)
-    WHEN 5 THEN doc_id % 5 IN (0, 1) WHEN 7 THEN doc_id % 5 IN (0, 1) ELSE false END AS stale FROM documents""",
+    WHEN 5 THEN CASE doc_id // 8 % 9 WHEN 2 THEN false WHEN 4 THEN false WHEN 7 THEN false WHEN 8 THEN doc_id % 5 IN (0, 1, 4)
+      ELSE doc_id % 5 IN (0, 1) END
+    WHEN 7 THEN doc_id % 5 IN (0, 1) ELSE false END AS stale FROM documents""",
     "latest_version": f"""
 WITH {_VERSIONS}, b AS (SELECT * FROM w WHERE ok QUALIFY row_number() OVER (PARTITION BY p_brand, p_type
   ORDER BY major DESC, minor DESC, patch DESC, rank DESC, rc DESC, version DESC) = 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from pipelinekit.functions.places import LITERAL, WRAPPED, Place, texts_at
 from pipelinekit.functions.text import package_parts, reference_fields
 
 
@@ -64,16 +65,14 @@ def drop_nulls_json(value: Column, kind: StructType | ArrayType | MapType) -> Co
 
 # The processes of a job document, in one parse, with the fields that queries ask for.
 JOB = "processes map<string, struct<component:string, properties:struct<pipelineId:string, clusterSize:string>>>"
-# The parts of a job document that name others, each as JSON text, so that one of another shape loses nothing else.
-PARTS = (
-    "processes map<string, string>, components array<string>, request struct<"
-    "CreateNewJobRequest:struct<tasks:array<struct<libraries:array<string>>>>, tasks:array<struct<libraries:array<string>>>>"
-)
-# A string of JSON, and the value of the key at any depth, given as a string or as an object; where an object holds
-# other objects all that follows is taken, as where it ends is left to the parser of JSON.
-# A quote behind a brace or comma opens a key: inside of a string it would be escaped.
-_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_REFERENCE = rf'[{{,]"pipelineId":(?=({_STRING}|\{{(?:[^{{}}"]|{_STRING})*+(?:\}}|\{{(?s:.*))))'
+# References at any depth of a document: the ids of pipelines, as text or as a literal.
+REFERENCES = {"references": Place("**.pipelineId", LITERAL)}
+# What a job document refers to in its processes, components and, beside components, libraries of requested tasks.
+JOB_REFERENCES = {
+    "processes": Place("processes.*.properties.pipelineId", WRAPPED),
+    "components": Place("components.[].PipelineComponent.pipelineId"),
+    "libraries": Place("request.CreateNewJobRequest?.tasks.[].libraries.[].PipelineComponent.pipelineId", beside="components"),
+}
 
 
 def value_at(json: Column, path: str) -> Column:
@@ -92,43 +91,15 @@ def text_or_literal(value: Column) -> Column:
     return F.when(value.startswith("{"), literal).otherwise(json_string(value))
 
 
-def text_or_value(value: Column) -> Column:
-    """A JSON value that is text, or the text of any object's ``value``; else null."""
-    return F.when(value.startswith("{"), json_string(value_at(value, "$.value"))).otherwise(json_string(value))
-
-
 def processes(json: Column) -> Column:
     """The processes of a job document, without their ids, each as JSON text; null if it has none."""
-    return F.map_values(F.from_json(json, PARTS).getField("processes"))
-
-
-def given_references(json: Column) -> Column:
-    """The references of a JSON document at any depth, as JSON values, in order; null where the text is no JSON.
-
-    Objects are reduced to their ``type`` and ``value``.
-    """
-    found = F.regexp_extract_all(F.to_json(F.try_parse_json(json)), F.lit(_REFERENCE), 1)
-    reduced = lambda value: F.to_json(F.from_json(value, "type variant, value variant"))
-    return F.transform(found, lambda value: F.when(value.startswith("{"), reduced(value)).otherwise(value))
+    return F.map_values(F.from_json(json, "processes map<string, string>").getField("processes"))
 
 
 def process_references(json: Column) -> Column:
-    """What a job document refers to in its processes, components and, beside components, libraries of
-    requested tasks; null where the text is no JSON. A process may wrap its text, the others may not."""
-    parts = F.from_json(json, PARTS)
-    none = F.array().cast("array<string>")
-    library = "$.PipelineComponent.pipelineId"
-    request = parts.getField("request")
-    new = request.getField("CreateNewJobRequest")
-    tasks = F.when(new.isNotNull(), new.getField("tasks")).otherwise(request.getField("tasks"))
-    libraries = F.flatten(F.transform(tasks, lambda task: F.coalesce(task.getField("libraries"), none)))
-    found = [
-        F.transform(processes(json), lambda p: text_or_value(value_at(p, "$.properties.pipelineId"))),
-        F.transform(parts.getField("components"), lambda c: json_string(value_at(c, library))),
-        F.when(parts.getField("components").isNotNull(), F.transform(libraries, lambda c: json_string(value_at(c, library)))),
-    ]
-    every = F.array_compact(F.concat(*[F.coalesce(f, none) for f in found]))
-    return F.when(F.try_parse_json(json).isNotNull(), every)
+    """The texts at the places of ``JOB_REFERENCES``; null where the text is no JSON or not a job document. A process may wrap its text, the others may not."""
+    found = texts_at(json, JOB_REFERENCES)
+    return F.concat(*[found.getField(name) for name in JOB_REFERENCES])
 
 
 def document_references(path: Column, json: Column) -> Column:
@@ -146,8 +117,8 @@ def document_references(path: Column, json: Column) -> Column:
 
 def json_refs(df: DataFrame, json: str) -> DataFrame:
     """Distinct ids of the other projects a set of job documents refers to."""
-    given = df.select(F.explode(given_references(F.col(json))).alias("given"))
-    references = given.select(text_or_literal(F.col("given")).alias("reference"))
+    found = df.select(texts_at(F.col(json), REFERENCES).getField("references").alias("found"))
+    references = found.select(F.explode("found").alias("reference"))
     return (
         references.select(reference_fields(F.col("reference")).getField("project_id").alias("project_id"))
         .filter(F.col("project_id").isNotNull())
@@ -238,19 +209,23 @@ def any_flag(df: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
 def task_versions(df: DataFrame, components: str, tasks: str, version: Callable[[Column], Column]) -> DataFrame:
     """Distinct (entity, version) pairs: a component's node and a task share a name.
 
-    ``components`` is an array of struct(node, entity), ``tasks`` an array of
-    struct(task_key, files). Both lie in the same row, so matching needs no join: the
-    files of the tasks with the component's name are filtered within the row.
+    ``components`` is an array of struct(node, entity), ``tasks`` an array of struct(task_key, files). Both lie in the same row: its
+    components and files become rows under (row, name) in one pass, so the work grows with their number and not with
+    their product, and what a name has in common is reduced to distinct entities and versions before it is shuffled.
     """
-    component = df.select(F.explode(components).alias("c"), F.col(tasks).alias("tasks"))
-    files = F.flatten(
-        F.transform(
-            F.filter("tasks", lambda task: task.getField("task_key") == F.col("c.node")),
-            lambda task: F.coalesce(task.getField("files"), F.array().cast("array<string>")),
-        )
-    )
-    pairs = component.filter((F.col("c.node") != "") & (F.col("c.entity") != "")).select(
-        F.col("c.entity").alias("entity"), F.explode(files).alias("file")
-    )
-    found = pairs.select("entity", version(F.col("file")).alias("version"))
-    return found.filter(F.col("version").isNotNull()).distinct()
+    none = F.lit(None).cast("string")
+
+    def given(column: str) -> Column:
+        return F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType))
+
+    def files(task: Column) -> Column:
+        listed = F.coalesce(task.getField("files"), F.array().cast("array<string>"))
+        return F.transform(listed, lambda f: F.struct(task.getField("task_key").alias("name"), none.alias("entity"), f.alias("file")))
+
+    nodes = F.transform(given(components), lambda c: F.struct(c.getField("node").alias("name"), c.getField("entity").alias("entity"), none.alias("file")))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.concat(nodes, F.flatten(F.transform(given(tasks), files))).alias("items"))
+    items = rows.select("row", F.explode("items").alias("item"))
+    named = items.select("row", "item.name", "item.entity", version(F.col("item.file")).alias("version"))
+    shared = named.filter((F.col("name") != "") & (F.coalesce(F.col("entity") != "", F.lit(False)) | F.col("version").isNotNull()))
+    shared = shared.groupBy("row", "name").agg(F.collect_set("entity").alias("entities"), F.collect_set("version").alias("versions"))
+    return shared.select(F.explode("entities").alias("entity"), "versions").select("entity", F.explode("versions").alias("version")).distinct()

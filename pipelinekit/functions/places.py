@@ -1,0 +1,94 @@
+"""Texts at named places of JSON documents, all found in one parse."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Mapping
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TEXT, LITERAL, WRAPPED = "text", "literal", "wrapped"
+
+
+class Place(NamedTuple):
+    """Where texts lie, and in what shape.
+
+    ``path`` has steps divided by dots: a key, ``key?`` (taken if it is there), ``*`` (each value of an object), ``[]`` (each item of an
+    array) or, at the front, ``**`` (every object at any depth, save below a key of the last step). ``shape`` allows a
+    text alone, also an object of type "literal" with a ``value``, or also any object with a ``value``. With ``beside``
+    the place counts only in documents that have this key.
+    """
+
+    path: str
+    shape: str = TEXT
+    beside: str | None = None
+
+
+def texts_at(document: Column, places: Mapping[str, Place]) -> Column:
+    """A struct with the texts at each place, in order; null for a null, for what is no JSON, and where a place leads through a value of another kind.
+
+    That is: ``*`` and ``[]`` need an object and an array, the last key an object that may have it. An object lacks a key, or a value under ``*`` is no object, without
+    harm, as do texts and arrays where an object is expected further up. Time is linear in the document, however deep.
+    """
+    wanted = [(name, place.path.split("."), place.shape, place.beside) for name, place in places.items()]
+    kind = pa.struct([(name, pa.list_(pa.string())) for name in places])
+
+    def read(documents: pa.Array) -> pa.Array:
+        # Nested, so that workers need not have the package.
+        def anywhere(value: object, key: str) -> list:
+            found, left = [], [value]
+            while left:
+                here = left.pop()
+                if isinstance(here, dict):
+                    found += [here[key]] if key in here else []
+                    left += [v for k, v in here.items() if k != key][::-1]
+                elif isinstance(here, list):
+                    left += here[::-1]
+            return found
+
+        def reached(value: object, path: list[str]) -> list:
+            if not path:
+                return [value]
+            step, rest = path[0], path[1:]
+            if step == "**":
+                return anywhere(value, rest[0])
+            if step == "*":
+                return [found for item in value.values() if isinstance(item, dict) for found in reached(item, rest)]
+            if step == "[]":
+                if not isinstance(value, list):
+                    raise TypeError(step)
+                return [found for item in value for found in reached(item, rest)]
+            if not isinstance(value, dict) and (not rest or not isinstance(value, str | list)):
+                raise TypeError(step)
+            optional = step.endswith("?")
+            key = step[:-1] if optional else step
+            if isinstance(value, dict) and key in value:
+                return reached(value[key], rest)
+            return reached(value, rest) if optional else []
+
+        def shaped(value: object, shape: str) -> object:
+            if isinstance(value, dict) and (shape == "wrapped" or (shape == "literal" and value.get("type") == "literal")):
+                value = value.get("value")
+            return value if isinstance(value, str) else None
+
+        def one(text: str | None) -> dict | None:
+            if text is None:
+                return None
+            try:
+                document = json.loads(text)
+                found = {}
+                for name, path, shape, beside in wanted:
+                    there = beside is None or (isinstance(document, dict) and beside in document)
+                    values = reached(document, path) if there else []
+                    found[name] = [t for t in (shaped(v, shape) for v in values) if t is not None]
+                return found
+            except (ValueError, TypeError, AttributeError, RecursionError):
+                return None
+
+        return pa.array([one(text) for text in documents.to_pylist()], kind)
+
+    returned = "struct<" + ",".join(f"`{name}`:array<string>" for name in places) + ">"
+    return F.arrow_udf(read, returned)(document)

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from pipelinekit.functions import nested
+from pipelinekit.functions.places import LITERAL, WRAPPED, Place, texts_at
 from pipelinekit.functions.text import jar_version
 
 
@@ -153,7 +155,68 @@ def test_references_that_hold_other_objects(spark, rows):
         json.dumps({"pipelineId": {"inner": {"type": "x"}, "type": "literal", "value": 39}}),
     ]
     df = spark.createDataFrame([(t,) for t in texts], "j string")
-    assert rows(nested.json_refs(df, "j")) == [("31",), ("32",), ("33",)]
+    # Nothing is looked for below a reference.
+    assert rows(nested.json_refs(df, "j")) == [("31",), ("33",)]
+
+
+def test_many_references_in_one_document(spark, rows):
+    """Time grows with the document, also where every reference is an object holding objects, and where it is very deep."""
+    wide = json.dumps([{"pipelineId": {"a": {"b": {}}, "type": "literal", "value": SUBSCRIBED.format(i)}} for i in range(6000)])
+    deep = "[" * 900 + json.dumps({"pipelineId": SUBSCRIBED.format("d")}) + "]" * 900
+    df = spark.createDataFrame([(wide,), (deep,), ("[" * 100_000,), (None,)], "j string")
+    start = time.monotonic()
+    assert nested.json_refs(df, "j").count() == 6001
+    assert time.monotonic() - start < 15
+
+
+def test_places(spark):
+    """Steps, shapes and values of another kind on the way."""
+    places = {
+        "keys": Place("a.b"), "values": Place("m.*.x", LITERAL), "items": Place("l.[].x", WRAPPED), "maybe": Place("o.p?.x"),
+        "beside": Place("a.b", beside="l"), "deep": Place("**.x"),
+    }
+    nothing = {name: [] for name in places}
+    literal, other = {"type": "literal", "value": "v"}, {"type": "expression", "value": "w"}
+    cases = [
+        ({}, {}),
+        ([], {}),
+        ("text", {}),
+        (5, None),
+        ({"a": {"b": "t"}}, {"keys": ["t"]}),
+        ({"a": {"b": "t"}, "l": []}, {"keys": ["t"], "beside": ["t"]}),
+        ({"a": {"b": 5}}, {}),
+        ({"a": "b"}, None),
+        ({"m": {"p": {"x": literal}, "q": {"x": other}, "r": 5, "s": {"x": "t"}}}, {"values": ["v", "t"], "deep": ["t"]}),
+        ({"m": []}, None),
+        ({"l": [{"x": literal}, {"x": other}, {"x": {}}, {"x": "t"}]}, {"items": ["v", "w", "t"], "deep": ["t"]}),
+        ({"l": {"x": "t"}}, None),
+        ({"l": [None]}, None),
+        ({"o": {"p": {"x": "1"}, "x": "2"}}, {"maybe": ["1"], "deep": ["2", "1"]}),
+        ({"o": {"x": "2"}}, {"maybe": ["2"], "deep": ["2"]}),
+        ({"z": [{"x": "1"}, [{"y": {"x": {"x": "no"}}}, {"x": "2"}]]}, {"deep": ["1", "2"]}),
+    ]
+    texts = [(i, json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(len(cases), "{broken"), (len(cases) + 1, None), (len(cases) + 2, "")]
+    df = spark.createDataFrame(texts, "i int, j string").repartition(2)
+    got = {r["i"]: r["f"].asDict() if r["f"] else None for r in df.select("i", texts_at(F.col("j"), places).alias("f")).collect()}
+    assert got == {i: None if want is None else nothing | want for i, want in enumerate([w for _, w in cases] + [None] * 3)}
+
+
+def test_one_parse(spark):
+    """All places of a job document are read together."""
+    df = spark.createDataFrame([("{}",)], "j string").select(nested.process_references(F.col("j")).alias("r"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "from_json" not in plan and "parse_json" not in plan
+
+
+def test_many_components_and_tasks(spark):
+    """Two thousand of each in one row."""
+    names = [f"n{i}" for i in range(2000)]
+    df = spark.createDataFrame(
+        [([(n, f"e{n}") for n in names], [(n, [f"{n}_2.12.jar"]) for n in names])],
+        "c array<struct<node:string,entity:string>>, t array<struct<task_key:string,files:array<string>>>",
+    )
+    assert nested.task_versions(df, "c", "t", jar_version).count() == 2000
+    assert "Join" not in nested.task_versions(df, "c", "t", jar_version)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stale_shapes(spark):
