@@ -3,8 +3,9 @@
 A text's symbols begin as its characters. An agenda holds all adjacent pairs whose join is a piece, best score first and,
 among equals, leftmost; the best pair is merged, its new neighbours enter the agenda, until it is empty. What is no piece then
 falls back to its UTF-8 bytes. Where no piece of the vocabulary continues from another character into a word boundary,
-nothing merges across one, so a text is cut there and each distinct word is merged once per task. The results of
-every Arrow batch are compared with those of the sentencepiece library itself.
+nothing merges across one, so a text is cut there and each distinct word is merged once per task, together with all
+new words of its Arrow batch: a row per word holds its agenda, and in every step each row merges its best pair. What a batch newly merged
+is compared with what the sentencepiece library makes of it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,10 @@ from pipelinekit.llm.batches import map_stream
 SPACE = "▁"  # fixed value: how a blank is written in pieces
 UNKNOWN_SURFACE = " ⁇ "  # fixed value: what an unknown piece decodes to
 CACHED_WORDS = 300_000  # of a task; no result depends on it
-CACHED_LENGTH = 40
+ROW_LENGTH = 24  # characters of a word that is merged in a row beside others; longer ones have a heap as their agenda
+ROWS = 8192
 SLICE_ROWS = 500
+NEVER = np.float32(np.inf)
 
 Merged = tuple[bytes, bytes, int]  # ids as int32, decoded UTF-8, number of ids
 
@@ -51,8 +55,28 @@ class Vocabulary:
         # A higher score goes first; the agenda is a heap with the least in front.
         self.costs = {self.pieces[i]: -library.get_score(i) for i in usual}
         self.shown = {i: self.pieces[i].replace(SPACE, " ") for i in usual} | dict.fromkeys(self.hidden, "") | {self.unknown: UNKNOWN_SURFACE}
+        # What two adjacent symbols join to, by their numbers, for rows of words; characters that are no piece have none.
+        size = self.size = len(self.pieces)
+        joins = {}
+        for piece, number in self.ids.items():
+            for at in range(1, len(piece)):
+                first, second = self.ids.get(piece[:at]), self.ids.get(piece[at:])
+                if first is not None and second is not None:
+                    joins[first * size + second] = number
+        self.join_keys = np.array(sorted(joins), np.int64)
+        self.join_ids = np.array([joins[key] for key in self.join_keys.tolist()], np.int32)
+        self.cost = np.array([self.costs.get(piece, NEVER) for piece in self.pieces], np.float32)
+        # Characters of no piece merge with nothing: a text is cut around them as well.
+        known = {character for piece in self.ids for character in piece} - {SPACE}
+        self.numbers = np.full(0x110000, -1, np.int32)
+        singles = [character for character in known | {SPACE} if character in self.ids]
+        self.numbers[[ord(character) for character in singles]] = [self.ids[character] for character in singles]
+        self.whole = known <= set(singles)
+        self.breaking = next((character for character in "\n\t\u0000" if character not in known), None)
         inside = re.compile(f"[^{SPACE}]{SPACE}")
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not any(map(inside.search, self.ids)) else "(?s:.+)")
+        letters = "".join(map(re.escape, sorted(known)))
+        parted = self.breaking is not None and not any(map(inside.search, self.ids))
+        self.words = re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|[^{letters}{SPACE}]" if parted else "(?s:.+)")
         self.merged: dict[str, Merged] = {}
         # The library on the same probes: models with other normalisation or of another type are refused, not misread.
         for probe in ("a", " a  b ", "ﬁ ½　x\n", "abracadabra the cat", "\U0001f600\u0000"):
@@ -99,30 +123,91 @@ class Vocabulary:
                 found.append(self.unknown)
         return found
 
-    def word(self, word: str) -> Merged:
-        """What a word comes to, from the cache of the task if it is there."""
-        known = self.merged.get(word)
-        if known is None:
-            ids = self.merge(word)
-            known = array("i", ids).tobytes(), self.surface(ids), len(ids)
-            if len(word) <= CACHED_LENGTH:
-                if len(self.merged) >= CACHED_WORDS:
-                    self.merged.clear()
-                self.merged[word] = known
-        return known
-
-    def parts(self, text: str) -> list[Merged]:
-        """The merged words of a whole text."""
-        return [self.word(word) for word in self.words.findall(SPACE + text.replace(" ", SPACE))] if text else []
+    def joined(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece that pairs of numbers join to and its cost, which is infinite without one."""
+        keys = first.astype(np.int64) * self.size + second
+        at = np.minimum(np.searchsorted(self.join_keys, keys), len(self.join_keys) - 1)
+        there = (self.join_keys[at] == keys) & (first >= 0) & (second >= 0)
+        number = np.where(there, self.join_ids[at], -1)
+        return number, np.where(there, self.cost[number], NEVER)
+
+    def merge_rows(self, words: list[str]) -> list[list[int]]:
+        """The ids of words of known characters, all of one length: a row for each, whose agenda are the costs of its adjacent pairs."""
+        count, width = len(words), len(words[0])
+        symbols = self.numbers[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].reshape(count, width)
+        lengths, places = np.full(count, width), np.arange(width)
+        into, costs = self.joined(symbols[:, :-1], symbols[:, 1:])
+        alive = np.arange(count)
+        while len(alive) and width > 1:
+            # The first of the least costs is the leftmost.
+            at = costs[alive].argmin(1)
+            going = costs[alive, at] < NEVER
+            alive, at = alive[going], at[going]
+            if not len(alive):
+                break
+            # The pair becomes its piece, all behind it moves up, and its neighbours form new pairs.
+            merged = into[alive, at]
+            rows = np.take_along_axis(symbols[alive], np.minimum(places + (places > at[:, None]), width - 1), 1)
+            rows[np.arange(len(alive)), at] = merged
+            lengths[alive] -= 1
+            rows[places >= lengths[alive, None]] = -1
+            symbols[alive] = rows
+            shift = np.minimum(places[:-1] + (places[:-1] > at[:, None]), width - 2)
+            some_into, some_costs = np.take_along_axis(into[alive], shift, 1), np.take_along_axis(costs[alive], shift, 1)
+            each = np.arange(len(alive))
+            for left in (at - 1, at):
+                inside = (left >= 0) & (left < width - 1)
+                who, left = each[inside], left[inside]
+                some_into[who, left], some_costs[who, left] = self.joined(rows[who, left], rows[who, left + 1])
+            some_costs[places[:-1] >= lengths[alive, None] - 1] = NEVER
+            into[alive], costs[alive] = some_into, some_costs
+        return [row[:length] for row, length in zip(symbols.tolist(), lengths.tolist(), strict=True)]
+
+    def learn(self, words: list[str], checked: bool) -> None:
+        """Merge words that are not in the cache of the task, and compare them with the library's."""
+        by_length, ids_of = defaultdict(list), {}
+        for word in words:
+            by_length[len(word)].append(word)
+        for length, same in by_length.items():
+            if length == 1 or length > ROW_LENGTH or not self.whole:
+                ids_of |= {word: self.merge(word) for word in same}
+                continue
+            for start in range(0, len(same), ROWS):
+                some = same[start : start + ROWS]
+                ids_of |= zip(some, self.merge_rows(some), strict=True)
+        if checked and self.breaking:
+            # The library puts a boundary before what it is given: a word has its own, or follows what merges with nothing.
+            before = self.library.encode(self.breaking)
+            bounded = [word for word in words if word[0] == SPACE and len(word) > 1]
+            others = [word for word in words if word[0] != SPACE]
+            asked = [word[1:].replace(SPACE, " ") for word in bounded] + [self.breaking + word for word in others]
+            wanted = self.library.encode(asked, num_threads=1)
+            mine = [ids_of[word] for word in bounded] + [before + ids_of[word] for word in others]
+            if wanted != mine:
+                raise AssertionError("ids differ from those of the sentencepiece library")
+        shown = self.shown.get
+        for word, ids in ids_of.items():
+            texts = [shown(i) for i in ids]
+            text = self.surface(ids) if None in texts else "".join(texts).encode()
+            self.merged[word] = array("i", ids).tobytes(), text, len(ids)
+
+    def parts(self, texts: list[str], checked: bool = False) -> list[list[Merged]]:
+        """The merged words of whole texts."""
+        split = [self.words.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
+        if len(self.merged) > CACHED_WORDS:
+            self.merged.clear()
+        new = {word for words in split for word in words} - self.merged.keys()
+        if new:
+            self.learn(list(new), checked)
+        merged = self.merged
+        return [[merged[word] for word in words] for words in split]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join(part[0] for part in self.parts(text)), np.int32).tolist()
+        return np.frombuffer(b"".join(part[0] for part in self.parts([text])[0]), np.int32).tolist()
 
     def surface(self, ids: list[int]) -> bytes:
         """The text of ids with all its blanks; bytes that are no UTF-8 become U+FFFD, one for each."""
         shown = [self.shown.get(i) for i in ids]
-        if None not in shown:
-            return "".join(shown).encode()
         found, run = [], bytearray()
 
         def close() -> None:
@@ -155,7 +240,8 @@ class Vocabulary:
 def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", checked: bool = True) -> DataFrame:
     """``key``, ``ids`` (of the whole text, neither begin nor end) and ``decoded`` (the text of these ids) of every row.
 
-    ``checked`` compares both with the sentencepiece library, batch by batch, and fails on the first difference.
+    ``checked`` compares with the sentencepiece library and fails on the first difference: the ids of all new words of a batch and of its first text as a
+    whole, and what all its texts decode to.
     A null text is an empty one, which has no ids and decodes to an empty text. Every row gives a row, repeated and
     null keys included; other columns are not read. An empty table gives no rows. A text is handled whole by one task, in time
     n log n of its longest word; rows reach Python in batches of bounded size.
@@ -168,19 +254,17 @@ def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "tex
         vocabulary = Vocabulary(model)
         for part in parts:
             texts = [text or "" for text in part.column(1).to_pylist()]
-            merged = [vocabulary.parts(text) for text in texts]
+            merged = vocabulary.parts(texts, checked)
             counts = [sum(word[2] for word in words) for words in merged]
             numbers = np.frombuffer(b"".join(word[0] for words in merged for word in words), np.int32)
             # Every text begins with the blank put before it.
             decoded = [b"".join(word[1] for word in words)[1:].decode() for words in merged]
-            if checked:
-                wanted = vocabulary.library.encode(texts, num_threads=1)
-                if [len(ids) for ids in wanted] != counts or any(
-                    not np.array_equal(ids, mine) for ids, mine in zip(wanted, np.split(numbers, np.cumsum(counts)[:-1]), strict=True)
-                ):
-                    raise AssertionError("ids differ from those of the sentencepiece library")
-                if vocabulary.library.decode(wanted) != decoded:
+            if checked and texts:
+                each = [part.tolist() for part in np.split(numbers, np.cumsum(counts)[:-1])]
+                if vocabulary.library.decode(each) != decoded:
                     raise AssertionError("a decoded text differs from that of the sentencepiece library")
+                if vocabulary.library.encode(texts[0]) != each[0]:
+                    raise AssertionError("ids of a whole text differ from those of the sentencepiece library")
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield {"key": part.column(0), "ids": pa.ListArray.from_arrays(offsets, pa.array(numbers, pa.int32())), "decoded": decoded}
 
