@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pipelinekit.catalog.tables import table
 from pipelinekit.functions.literals import typed_lit
+from pipelinekit.operators.checks import RunMetrics
 from pipelinekit.plans import customers as plan
 from pipelinekit.plans.config import ReformatConfig, load_config
 from pipelinekit.plans.markets import market_report
@@ -64,6 +65,19 @@ def account_age_today(spark, sf_dir):
     return aged.select("order_id", F.col("account_length_days").alias("days_at_fixed_date"))
 
 
+def run_metrics(spark, sf_dir):
+    """Rows and nulls at every node of the customer pipeline, gathered in the one run that writes its report."""
+    run = RunMetrics()
+    dates = F.when(F.col("customer_id") % 5 != 0, F.col("account_open_date"))
+    customers = run.node("customers", customer_rows(spark, sf_dir).withColumn("account_open_date", dates))
+    orders = run.node("orders", order_rows(spark, sf_dir))
+    joined = run.node("by_customer", plan.orders_with_customers(orders, customers), ["account_open_date"])
+    aged = run.node("account_age", plan.account_age(joined, F.lit(AS_OF).cast("date")), ["account_length_days", "amount"])
+    report = run.node("report", plan.order_totals(aged, F.max("account_length_days").alias("days")))
+    write(report, DatasetSpec("parquet", scratch_path(spark, "report"), {}, None, "overwrite"))
+    return run.table(spark)
+
+
 def top_customers(spark, sf_dir):
     return plan.top_customers(customer_orders_summary(spark, sf_dir))
 
@@ -134,6 +148,7 @@ QUERIES = {
     "order_account_age": order_account_age,
     "account_age_today": account_age_today,
     "customer_orders_summary": customer_orders_summary,
+    "run_metrics": run_metrics,
     "top_customers": top_customers,
     "report_top_customers": report_top_customers,
     "typed_literals": typed_literals,
@@ -168,6 +183,19 @@ FROM orders JOIN customer ON o_custkey = c_custkey""",
 SELECT o_orderkey AS order_id, CAST(date_diff('day', CAST({_OPENED} AS DATE), DATE '{AS_OF}') AS INTEGER) AS days_at_fixed_date
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "customer_orders_summary": _SUMMARY,
+    "run_metrics": f"""
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN {_OPENED} END AS opened FROM customer),
+j AS (SELECT o_custkey, opened FROM orders JOIN c ON o_custkey = c_custkey),
+r AS (SELECT o_custkey, max(opened) AS opened FROM j GROUP BY 1)
+SELECT 0 AS node_index, 'customers' AS node, (SELECT count(*) FROM c) AS rows, col AS "column",
+  CASE WHEN col = 'account_open_date' THEN (SELECT count(*) FROM c WHERE opened IS NULL) ELSE 0 END AS nulls
+  FROM (SELECT unnest(['customer_id', 'first_name', 'last_name', 'account_open_date']) AS col)
+UNION ALL SELECT 1, 'orders', (SELECT count(*) FROM orders), unnest(['order_id', 'customer_id', 'amount']), 0
+UNION ALL SELECT 2, 'by_customer', count(*), 'account_open_date', count(*) - count(opened) FROM j
+UNION ALL SELECT 3, 'account_age', count(*), 'account_length_days', count(*) - count(opened) FROM j
+UNION ALL SELECT 3, 'account_age', count(*), 'amount', 0 FROM j
+UNION ALL SELECT 4, 'report', (SELECT count(*) FROM r), col, CASE WHEN col = 'days' THEN (SELECT count(*) - count(opened) FROM r) ELSE 0 END
+  FROM (SELECT unnest(['customer_id', 'orders', 'amounts', 'days']) AS col)""",
     "top_customers": f"SELECT * FROM ({_SUMMARY}) ORDER BY amounts DESC, customer_id LIMIT 10",
     "report_top_customers": f"""
 SELECT customer_id, orders, amounts FROM ({_SUMMARY}) ORDER BY amounts DESC, customer_id LIMIT 10""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pipelinekit.catalog.tables import table
 from pipelinekit.operators import lookups as ops
+from pipelinekit.operators.prepared import prepare_lookup
 from pipelinekit.operators.running import in_lists
 
 ON = {"c_custkey": "o_custkey"}
@@ -72,7 +73,19 @@ def lookup_range_open(spark, sf_dir):
     return ops.range_lookup(events, bands, "value", "lo", "hi", ["n_name"])
 
 
+def prepared_lookups(spark, sf_dir):
+    """Orders prepared by customer once: looked up by customers, and by events through another column."""
+    orders = prepare_lookup(table(spark, sf_dir, "orders"), ["o_custkey"], COLS, ORDER)
+    customers = orders.every(_customers(spark, sf_dir), ON).withColumn("asked_by", F.lit("customer"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), F.lit("event").alias("c_name"), F.col("event_id"))
+    named = {"c_custkey": "o_custkey"}
+    counted = orders.count(orders.match(orders.last(orders.first(events, named, "first_"), named, "last_"), named), named)
+    per_user = counted.groupBy(*[c for c in counted.columns if c not in ("event_id",)]).agg(F.count(F.lit(1)).alias("rows"))
+    return customers.withColumn("rows", F.lit(1).cast("long")).unionByName(per_user.withColumn("asked_by", F.lit("event")))
+
+
 QUERIES = {
+    "prepared_lookups": prepared_lookups,
     "lookup_first": lookup_first,
     "lookup_last": lookup_last,
     "lookup_nth": lookup_nth,
@@ -103,9 +116,21 @@ l AS (SELECT o_custkey, CAST((pos - 1) // 4 AS INTEGER) AS chunk,
 SELECT c_custkey, coalesce(chunk, 0) AS chunk, rows FROM {_CUSTOMERS} c LEFT JOIN l ON o_custkey = c_custkey"""
 
 
+_ENDS = """
+ends AS (
+  SELECT o_custkey, count(*) AS n, arg_min(struct_pack(p := o_orderpriority, s := o_orderstatus), (o_orderdate, o_orderkey)) AS f,
+    arg_max(struct_pack(p := o_orderpriority, s := o_orderstatus), (o_orderdate, o_orderkey)) AS l FROM orders GROUP BY 1)"""
+_FOUND = """f.p AS first_o_orderpriority, f.s AS first_o_orderstatus, l.p AS last_o_orderpriority, l.s AS last_o_orderstatus,
+  n IS NOT NULL AS matched, coalesce(n, 0) AS matches"""
 _COUNTED = "(SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)"
 
 ORACLE = {
+    "prepared_lookups": f"""
+WITH {_ENDS}
+SELECT c_custkey, c_name, {_FOUND}, 'customer' AS asked_by, 1 AS rows FROM {_CUSTOMERS} LEFT JOIN ends ON o_custkey = c_custkey
+UNION ALL
+SELECT u.user_id, 'event', {_FOUND}, 'event', rows FROM (SELECT user_id, count(*) AS rows FROM events GROUP BY 1) u
+  LEFT JOIN ends ON o_custkey = u.user_id""",
     "lookup_first": _ranked("ASC", 1),
     "lookup_last": _ranked("DESC", 1),
     "lookup_nth": _ranked("ASC", 3),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from pipelinekit.functions.nested import quoted
 from pipelinekit.operators.running import numbered
 
 
@@ -99,3 +100,38 @@ def observed(df: DataFrame, name: str, columns: Sequence[str] = ()) -> tuple[Dat
     observation = Observation(name)
     nulls = [F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns]
     return df.observe(observation, F.count(F.lit(1)).alias("rows"), *nulls), observation
+
+
+class RunMetrics:
+    """Rows and nulls of the nodes of a pipeline, counted by Spark while its one sink is computed.
+
+    ``node`` is put around the table that a node gives, in building the pipeline; after the sink has run, ``table`` has the
+    counts. There is no second pass over any node. A node whose rows Spark never needs to compute (the rows that a
+    limit leaves out, a branch without a sink) is counted as far as it was computed; one that Spark computes
+    again, to sample ranges or after the loss of an executor, counts once.
+    """
+
+    def __init__(self) -> None:
+        self._nodes: dict[str, tuple[Observation, list[str]]] = {}
+
+    def node(self, name: str, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+        """``df``, observed as node ``name``; nulls are counted in ``columns``, by default in all."""
+        if name in self._nodes:
+            raise ValueError(f"there is a node {name} already")
+        chosen = list(df.columns if columns is None else columns)
+        observation = Observation(f"{name}-{len(self._nodes)}")
+        self._nodes[name] = (observation, chosen)
+        nulls = [F.count_if(F.col(quoted(c)).isNull()).alias(f"n{i}") for i, c in enumerate(chosen)]
+        return df.observe(observation, F.count(F.lit(1)).alias("rows"), *nulls)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """A row per node and column, in the order of the nodes: ``node_index``, ``node``, ``rows``, ``column`` and ``nulls``.
+
+        A node without columns has one row without a column. Waits for the sink if it runs in another thread.
+        """
+        rows = []
+        for index, (name, (observation, columns)) in enumerate(self._nodes.items()):
+            found = observation.get
+            counts = [(c, found[f"n{i}"]) for i, c in enumerate(columns)] or [(None, None)]
+            rows += [(index, name, found["rows"], column, nulls) for column, nulls in counts]
+        return spark.createDataFrame(rows, "node_index int, node string, rows long, column string, nulls long")

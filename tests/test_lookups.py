@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pipelinekit.operators import keys as joins
 from pipelinekit.operators import lookups as ops
+from pipelinekit.operators.prepared import prepare_lookup
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,73 @@ def test_lookup_needs_an_order(asked, ref):
         ops.lookup(asked, ref, {"k": "id"}, ["v"], "nth", ["t"])
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(name, None) for name in names]
+    for name in names:
+        spark.conf.set(name, "-1")
+    yield
+    for name, value in zip(names, before, strict=True):
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_prepared(asked, ref, rows):
+    """The same as the lookups that prepare nothing."""
+    prepared = prepare_lookup(ref, {"k": "id"}, ["v", "t"], ["t"])
+    on = {"k": "id"}
+    try:
+        for which in ("first", "last"):
+            assert rows(getattr(prepared, which)(asked, on)) == rows(ops.lookup(asked, ref, on, ["v", "t"], which, ["t"]))
+        assert rows(prepared.match(asked, on)) == rows(ops.lookup_match(asked, ref, on))
+        assert rows(prepared.count(asked, on)) == rows(ops.lookup_count(asked, ref, on))
+        one = (1, "a", 10, "c", 30, True, 3)
+        nothing = (None, None, None, None, False, 0)
+        assert rows(prepared.every(asked, on)) == [(None, *nothing), one, one, (2, None, 5, "z", 6, True, 2), (3, *nothing)]
+        with pytest.raises(ValueError, match="prepared for keys id"):
+            prepared.first(asked, {"k": "t"})
+    finally:
+        prepared.close()
+    with pytest.raises(ValueError, match="order_by"):
+        prepare_lookup(ref, ["id"], ["v"], [])
+
+
+def test_prepared_by_two_columns_of_any_kind(spark, rows):
+    ref = spark.createDataFrame([(1, "x", {"a": 1}), (1, None, {"b": 1}), (1, "x", {"c": 1}), (2, "y", None)], "a int, b string, m map<string,int>")
+    ref = ref.withColumn("t", F.monotonically_increasing_id())
+    asked = spark.createDataFrame([("x", 1), (None, 1), ("y", 2), ("z", 2)], "q string, p int")
+    prepared = prepare_lookup(ref, ["a", "b"], ["m"], ["t"], buckets=3)
+    got = {r["q"]: (r["m"], r["n"]) for r in prepared.count(prepared.last(asked, {"p": "a", "q": "b"}), {"q": "b", "p": "a"}, "n").collect()}
+    assert got == {"x": ({"c": 1}, 2), None: (None, 0), "y": (None, 1), "z": (None, 0)}
+    assert prepared.first(asked.filter("false"), {"p": "a", "q": "b"}).collect() == []
+    empty = prepare_lookup(ref.filter("false"), ["a"], ["b"], ["t"])
+    assert rows(empty.count(asked.select(F.col("p").alias("a")).distinct())) == [(1, 0), (2, 0)]
+
+
+def test_a_prepared_reference_is_read_and_shuffled_once(spark, asked, no_broadcast):
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(v, seen=seen):
+        seen.add(1)
+        return v
+
+    ref = spark.range(100).select((F.col("id") % 7).cast("int").alias("id"), F.udf(see, "long")("id").alias("t"))
+    prepared = prepare_lookup(ref, ["id"], ["t"], ["t"])
+    on = {"k": "id"}
+    for found in (prepared.first(asked, on), prepared.match(asked, on), prepared.count(asked, on)):
+        assert found.count() == 5
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # What is read lies in its buckets; the exchanges are those of the asked keys, of what they found, and of the asking rows.
+        assert "Bucketed: true" in plan and prepared.table in plan
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("Exchange hashpartitioning") <= 3
+        line = next(i for i, text in enumerate(final.splitlines()) if prepared.table in text)
+        above = final.splitlines()[max(0, line - 4) : line]
+        assert not any("Exchange" in text for text in above)
+    assert seen.value == 100
+
+
 def test_match_and_count(asked, ref, rows):
     assert rows(ops.lookup_match(asked, ref, {"k": "id"})) == [(None, False), (1, True), (1, True), (2, True), (3, False)]
     assert rows(ops.lookup_count(asked, ref, {"k": "id"})) == [(None, 0), (1, 3), (1, 3), (2, 2), (3, 0)]

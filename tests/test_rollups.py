@@ -138,6 +138,38 @@ def test_predicates_and_metrics(spark):
     assert observation.get == {"rows": 3, "i_nulls": 1, "s_nulls": 1}
 
 
+def test_run_metrics(spark):
+    """Every node is counted in the run of the sink, and computed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(v, seen=seen):
+        seen.add(1)
+        return v
+
+    run = checks.RunMetrics()
+    source = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None)], "i int, `odd name` string").repartition(2)
+    read = run.node("read", source.withColumn("i", F.udf(see, "int")("i")))
+    kept = run.node("kept", read.filter("i > 1"), ["odd name"])
+    joined = run.node("joined", kept.join(spark.range(3).withColumnRenamed("id", "k"), F.col("i") == F.col("k")), [])
+    run.node("total", joined.groupBy("odd name").agg(F.sum("i").alias("s"))).write.format("noop").mode("overwrite").save()
+    assert [tuple(r) for r in run.table(spark).orderBy("node_index", "column").collect()] == [
+        (0, "read", 4, "i", 0), (0, "read", 4, "odd name", 2), (1, "kept", 3, "odd name", 2), (2, "joined", 1, None, None),
+        (3, "total", 1, "odd name", 1), (3, "total", 1, "s", 0),
+    ]
+    assert seen.value == 4
+    with pytest.raises(ValueError, match="already"):
+        run.node("read", source)
+
+
+def test_many_equal_rows_in_a_keyed_comparison(spark):
+    """Two hundred thousand equal rows against one less and one other: no task pairs them alone."""
+    n = 200_000
+    left = spark.range(n).select(F.lit("k").alias("k"), F.lit(1.0).alias("v"))
+    right = spark.range(n - 1).select(F.lit("k").alias("k"), F.when(F.col("id") == 7, 1.5).otherwise(1.0).alias("v"))
+    got = checks.frame_diff(left, right, ["k", "v"], ["k"], tolerance=0.25).collect()
+    assert sorted((r["side"], r["left_v"], r["right_v"]) for r in got) == [("both", 1.0, 1.5), ("left", 1.0, None)]
+
+
 def test_fingerprint_of_nan_and_null_keys(spark):
     nan = float("nan")
     rows = [(nan, "a", "x"), (0.0, "a", "y"), (nan, "b", "z"), (None, "a", "x"), (-0.0, "b", "z"), (None, "b", "z")]
