@@ -2,8 +2,8 @@
 
 A text's symbols begin as its characters. An agenda holds all adjacent pairs whose join is a piece, best score first and,
 among equals, leftmost; the best pair is merged, its new neighbours enter the agenda, until it is empty. What is no piece then
-falls back to its UTF-8 bytes. Where no piece of the vocabulary continues from another character into a word boundary,
-nothing merges across one, so a text is cut there and each distinct word is merged once per task, together with all
+falls back to its UTF-8 bytes. Two characters that stand side by side in no piece are never merged across, so a text is
+cut there into words, and each distinct word is merged once per task, together with all
 new words of its Arrow batch: a row per word holds its agenda, and in every step each row merges its best pair. What a batch newly merged
 is compared with what the sentencepiece library makes of it.
 """
@@ -33,7 +33,7 @@ ROWS = 8192
 SLICE_ROWS = 500
 NEVER = np.float32(np.inf)
 
-Merged = tuple[bytes, bytes, int]  # ids as int32, decoded UTF-8, number of ids
+Merged = tuple[bytes, bytes]  # ids as int32, decoded UTF-8
 
 
 class Vocabulary:
@@ -73,16 +73,37 @@ class Vocabulary:
         self.numbers[[ord(character) for character in singles]] = [self.ids[character] for character in singles]
         self.whole = known <= set(singles)
         self.breaking = next((character for character in "\n\t\u0000" if character not in known), None)
-        inside = re.compile(f"[^{SPACE}]{SPACE}")
-        letters = "".join(map(re.escape, sorted(known)))
-        parted = self.breaking is not None and not any(map(inside.search, self.ids))
-        self.words = re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|[^{letters}{SPACE}]" if parted else "(?s:.+)")
+        self.words = re.compile(self.cuts(known) if self.breaking is not None else "(?s:.+)")
         self.merged: dict[str, Merged] = {}
         # The library on the same probes: models with other normalisation or of another type are refused, not misread.
         for probe in ("a", " a  b ", "ﬁ ½　x\n", "abracadabra the cat", "\U0001f600\u0000"):
             if self.encode(probe) != library.encode(probe):
                 raise ValueError("only merge-type models with identity normalisation and a leading blank are supported")
 
+    def cuts(self, known: set[str]) -> str:
+        """A pattern of the parts of a text that nothing merges across: characters that stand side by side in some piece belong together,
+        as do all that are linked by such pairs. A boundary goes with what follows it, unless some piece has one inside."""
+        owner = {character: character for character in known}
+
+        def root(character: str) -> str:
+            while owner[character] != character:
+                owner[character] = character = owner[owner[character]]
+            return character
+
+        for piece in self.ids:
+            bare = piece.lstrip(SPACE)
+            if SPACE in bare:
+                return "(?s:.+)"
+            for first, second in zip(bare, bare[1:], strict=False):
+                owner[root(first)] = root(second)
+        groups = defaultdict(list)
+        for character in known:
+            groups[root(character)].append(character)
+        runs = sorted((sorted(group) for group in groups.values() if len(group) > 1), key=len, reverse=True)
+        alone = sorted(group[0] for group in groups.values() if len(group) == 1)
+        kinds = [f"[{''.join(map(re.escape, run))}]+" for run in runs] + ([f"[{''.join(map(re.escape, alone))}]"] if alone else [])
+        return f"{SPACE}*(?:{'|'.join(kinds)})|{SPACE}+|(?s:.)"
+
     def merge(self, word: str) -> list[int]:
         """The ids of a normalised text, by the agenda of its adjacent pairs."""
         cost_of, push, pop = self.costs.get, heapq.heappush, heapq.heappop
@@ -189,18 +210,17 @@ class Vocabulary:
         for word, ids in ids_of.items():
             texts = [shown(i) for i in ids]
             text = self.surface(ids) if None in texts else "".join(texts).encode()
-            self.merged[word] = array("i", ids).tobytes(), text, len(ids)
+            self.merged[word] = array("i", ids).tobytes(), text
 
     def parts(self, texts: list[str], checked: bool = False) -> list[list[Merged]]:
         """The merged words of whole texts."""
         split = [self.words.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
         if len(self.merged) > CACHED_WORDS:
             self.merged.clear()
-        new = {word for words in split for word in words} - self.merged.keys()
+        new = set().union(*split) - self.merged.keys()
         if new:
             self.learn(list(new), checked)
-        merged = self.merged
-        return [[merged[word] for word in words] for words in split]
+        return [list(map(self.merged.__getitem__, words)) for words in split]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join(part[0] for part in self.parts([text])[0]), np.int32).tolist()
@@ -255,10 +275,11 @@ def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "tex
         for part in parts:
             texts = [text or "" for text in part.column(1).to_pylist()]
             merged = vocabulary.parts(texts, checked)
-            counts = [sum(word[2] for word in words) for words in merged]
-            numbers = np.frombuffer(b"".join(word[0] for words in merged for word in words), np.int32)
+            ids = [b"".join([word[0] for word in words]) for words in merged]
+            counts = [len(some) // 4 for some in ids]
+            numbers = np.frombuffer(b"".join(ids), np.int32)
             # Every text begins with the blank put before it.
-            decoded = [b"".join(word[1] for word in words)[1:].decode() for words in merged]
+            decoded = [b"".join([word[1] for word in words])[1:].decode() for words in merged]
             if checked and texts:
                 each = [part.tolist() for part in np.split(numbers, np.cumsum(counts)[:-1])]
                 if vocabulary.library.decode(each) != decoded:
