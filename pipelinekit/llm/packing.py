@@ -49,12 +49,13 @@ class WordIds:
     """Ids of texts by a tokenizer whose pieces never span white space, word by word with a cache.
 
     Words are cut off their trailing marks, which the tokenizer splits off too, as one piece. Texts with characters for which lower-casing
-    or white space may differ between here and the tokenizer go through the tokenizer as a whole.
+    or white space may differ between here and the tokenizer go through the tokenizer as a whole, as do those with the string of one of its special
+    tokens, which it takes for that token.
     """
 
     def __init__(self, model: str) -> None:
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.former: dict[str, bytes] = {}  # what the cache held before it was last emptied
         self.tails: dict[str, bytes] = {}
@@ -85,11 +86,16 @@ class WordIds:
             cache[word] = known
         cache.update(zip(rest, self.encoded(rest), strict=True))
 
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text, none if it is for the tokenizer as a whole."""
+        lowered = text.lower()
+        return None if ODD.search(text) or any(token in lowered for token in self.special) else lowered.split()
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit numbers, without an end."""
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.former = {}, self.cache
-        split = [None if t and ODD.search(t) else (t or "").lower().split() for t in texts]
+        split = [self.words(text or "") for text in texts]
         missing = {w for found in split if found for w in found} - self.cache.keys()
         known = missing & self.former.keys()
         self.cache.update((w, self.former[w]) for w in known)
@@ -237,7 +243,7 @@ def pack_blocks(rows: DataFrame, length: int = LENGTH, islands: int = ISLANDS, e
         goes = F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(islands)))).alias("to")
         now = best.select("block", F.col("island").alias("origin"), "place", "length", "bin", goes).withColumnRenamed("to", "island")
     winners = best.groupBy("block").agg(F.max_by("island", F.struct("score", -F.col("island"))).alias("winner"))
-    return best.join(F.broadcast(winners) if blocks < 1_000_000 else winners, "block").filter("island = winner").select("block", "place", "length", "bin", "room")
+    return best.join(winners, "block").filter("island = winner").select("block", "place", "length", "bin", "room")
 
 
 def pack(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

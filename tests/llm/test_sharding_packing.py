@@ -40,7 +40,6 @@ def test_shards_of_nothing_and_of_one_key(nothing, spark):
 
 def test_packing_keeps_every_token(documents, texts):
     tokenizer = Tokenizer.from_str(tokenizer_model())
-    tokenizer.encode_special_tokens = True
     want, total = Counter(), 0
     for i, t in texts:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -60,6 +59,15 @@ def test_packing_keeps_every_token(documents, texts):
     assert len(by) <= -(-total // LENGTH) * 1.05 + 1
 
 
+def test_special_tokens_are_the_tokenizers(spark):
+    """Their strings in a text, in any case and without blanks around them, are what the plain tokenizer makes of them."""
+    tokenizer = Tokenizer.from_str(tokenizer_model())
+    rows = ["hello <|endoftext|> there", "<|startoftext|>a<|ENDOFTEXT|>b", "<|endoftext|>", "x<|endoftext|", "a b. c, <|endoftext|><|endoftext|>"]
+    got = pack(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"), tokenizer_model()).collect()
+    want = {(i, zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in enumerate(rows)}
+    assert {(r.doc_id, r.ids_crc32) for r in got} == want and len(got) == len(rows)
+
+
 def test_nothing_to_pack(nothing):
     assert pack(nothing, tokenizer_model()).count() == 0
 
