@@ -1,12 +1,15 @@
 """Licence notices, also with small mistakes in them.
 
 A notice of n characters may differ by k = n/10 edits. Cut into k + 1 pieces, at least one piece of it
-must then occur exactly (pigeonhole), so an automaton finds all pieces in one pass over the text; around each found piece
-the regular expression library verifies the notice with at most k errors and gives its span.
+must then occur exactly (pigeonhole), so an automaton finds all pieces in one pass over the text. Around a found piece, a match with k edits
+keeps all but k q of the notice's q-grams; where that many are there, the regular expression library verifies the notice
+with at most k errors and gives its span.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import ahocorasick
 import pyarrow as pa
 import regex
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame
 from pipelinekit.llm.batches import map_slices, utf8
 
 EDITS_PER_CHARACTER = 0.1
+GRAM = 4  # characters of a q-gram
 # Phrases that name a licence, by label.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 # Short notices and the licence they stand for.
@@ -30,6 +34,18 @@ NOTICES = [
     ("mpl", "mozilla public license"),
     ("cc", "licensed under cc by"),
     ("cc", "creative commons attribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("epl", "eclipse public license"),
+    ("cddl", "common development and distribution license"),
+    ("bsl", "boost software license version 1 0"),
+    ("mit", "spdx license identifier mit"),
+    ("apache", "spdx license identifier apache 2 0"),
+    ("gpl", "spdx license identifier gpl"),
+    ("lgpl", "spdx license identifier lgpl"),
+    ("bsd", "spdx license identifier bsd"),
+    ("mpl", "spdx license identifier mpl"),
 ]
 # Bytes that are no part of a word: ASCII but digits and letters.
 GAPS = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -70,6 +86,18 @@ def scanner(notices: list[tuple[str, str]]):
     automaton.make_automaton()
     verify = [regex.compile(rf"(?e)\b(?:{regex.escape(notice, literal_spaces=True)}){{e<={allowed(notice)}}}\b") for _, notice in notices]
 
+    grams = [[notice[i : i + GRAM] for i in range(len(notice) - GRAM + 1)] for _, notice in notices]
+
+    def likely(number: int, part: str) -> bool:
+        """Whether enough q-grams of a notice are in a part of the text for the notice to be there with all its edits."""
+        spare = allowed(notices[number][1]) * GRAM
+        for gram in grams[number]:
+            if gram not in part:
+                spare -= 1
+                if spare < 0:
+                    return False
+        return True
+
     def regions(text: str) -> dict[int, list[list[int]]]:
         """Per notice, where it may stand; overlapping regions are one."""
         found: dict[int, list[list[int]]] = {}
@@ -79,6 +107,8 @@ def scanner(notices: list[tuple[str, str]]):
                 slack = allowed(notice)
                 start = max(0, end + 1 - length - at - slack)
                 stop = min(len(text), end + 1 - length - at + len(notice) + slack)
+                if not likely(number, text[start:stop]):
+                    continue
                 mine = found.setdefault(number, [])
                 if mine and start <= mine[-1][1]:
                     mine[-1][1] = max(mine[-1][1], stop)
@@ -103,7 +133,11 @@ def scan_text(text: bytes | None, scan, notices: list[tuple[str, str]]) -> tuple
     if not found:
         return 0, 0, None, None, "", "", 0.0, []
     line = f" {b' '.join(found).decode()} "
-    word = lambda at: line.count(" ", 0, at) - 1
+    starts_of, at = [], 1
+    for w in found:
+        starts_of.append(at)
+        at += len(w.decode()) + 1
+    word = lambda at: bisect_right(starts_of, at) - 1
     base = {label: [word(at) for at in places(line, phrase)] for label, phrase in PHRASES.items()}
     starts = [at for several in base.values() for at in several]
     base_labels = {label for label, several in base.items() if several}
@@ -122,7 +156,7 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", notic
     Result: ``key``, n_words, n_base, first_word, last_word, base_labels, labels, score (1 with an exact phrase, else 1 minus the
     share of edits in the best notice, 0 without one) and notices. Every row gives one row, repeated ones too.
     A null or empty text has no words, no labels and score 0. Texts are scanned whole, in time linear in their length
-    but for the verified regions. Other columns are not read; an empty table gives no rows.
+    but for the regions that are verified, each of them with most of a notice in it. Other columns are not read; an empty table gives no rows.
     """
     notices = NOTICES if notices is None else notices
     names = [part.split()[0] for part in SCHEMA.split(", ")]

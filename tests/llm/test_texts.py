@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 
 from pipelinekit.llm import decontamination as D
+from pipelinekit.llm import licenses
 from pipelinekit.llm.decontamination import contaminated, decontaminated
 from pipelinekit.llm.language_models import cross_entropy_difference
 from pipelinekit.llm.licenses import license_scan
@@ -114,6 +116,38 @@ def test_licences(spark, tmp_path, texts):
     assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
 
 
+def test_very_long_texts_of_licences(spark):
+    """Very many phrases, and very many beginnings of a notice that never goes on."""
+    rows = [(1, "mit license " * 60_000), (2, "permission is hereby " * 30_000), (3, "x " * 300_000 + "mit license")]
+    start = time.monotonic()
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert time.monotonic() - start < 30
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].labels) == (60_000, 0, 119_998, "mit")
+    assert (got[2].n_base, got[2].n_words, got[2].labels, got[2].score) == (0, 90_000, "", 0.0)
+    assert (got[3].first_word, got[3].last_word) == (300_000, 300_000)
+
+
+def test_notices_with_few_edits_are_found(spark):
+    """Every notice, with as many edits as it allows, against the least edits of it anywhere in the text."""
+    rng = random.Random(9)
+    rows = []
+    for n in range(300):
+        label, notice = rng.choice(licenses.NOTICES)
+        body = list(notice)
+        for _ in range(rng.randrange(0, licenses.allowed(notice) + 3)):
+            at = rng.randrange(1, len(body) - 1)
+            body[at : at + rng.randrange(2)] = rng.choice(["", "x", "e"])
+        rows.append((n, label, notice, f"some words {''.join(body)} and more"))
+    got = {r.doc_id: r.labels.split(",") for r in license_scan(spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id int, text string")).collect()}
+    for n, label, notice, text in rows:
+        line = " " + " ".join(re.findall("[a-z0-9]+", text)) + " "
+        # A match begins and ends at words: the notice with the blanks around it costs no more edits.
+        if edit_distance_inside(f" {notice} ", line) <= licenses.allowed(notice):
+            assert label in got[n], (label, text)
+        if label in got[n]:
+            assert any(edit_distance_inside(other, line) <= licenses.allowed(other) for kind, other in licenses.NOTICES if kind == label) or label in ("mit", "apache", "gpl")
+
+
 def test_no_licences(nothing):
     assert license_scan(nothing).count() == 0
 
