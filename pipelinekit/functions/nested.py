@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from pipelinekit.functions.places import LITERAL, WRAPPED, Place, texts_at
 from pipelinekit.functions.text import package_parts, reference_fields
 
 
@@ -65,14 +64,15 @@ def drop_nulls_json(value: Column, kind: StructType | ArrayType | MapType) -> Co
 
 # The processes of a job document, in one parse, with the fields that queries ask for.
 JOB = "processes map<string, struct<component:string, properties:struct<pipelineId:string, clusterSize:string>>>"
-# References at any depth of a document: the ids of pipelines, as text or as a literal.
-REFERENCES = {"references": Place("**.pipelineId", LITERAL)}
-# What a job document refers to in its processes, components and, beside components, libraries of requested tasks.
-JOB_REFERENCES = {
-    "processes": Place("processes.*.properties.pipelineId", WRAPPED),
-    "components": Place("components.[].PipelineComponent.pipelineId"),
-    "libraries": Place("request.CreateNewJobRequest?.tasks.[].libraries.[].PipelineComponent.pipelineId", beside="components"),
-}
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+# What opens and closes, and the three keys that make a reference with the text or opening they have; all else is passed over.
+_KEYS = r'"(?:pipelineId|type|value)":'
+_TOKEN = rf'(?:[^"{{}}\[\]]++|(?!{_KEYS}){_STRING})*+({_KEYS}(?:{_STRING}|[{{\[])?|[{{}}\[\]])'
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def value_at(json: Column, path: str) -> Column:
@@ -96,29 +96,103 @@ def processes(json: Column) -> Column:
     return F.map_values(F.from_json(json, "processes map<string, string>").getField("processes"))
 
 
-def process_references(json: Column) -> Column:
-    """The texts at the places of ``JOB_REFERENCES``; null where the text is no JSON or not a job document. A process may wrap its text, the others may not."""
-    found = texts_at(json, JOB_REFERENCES)
-    return F.concat(*[found.getField(name) for name in JOB_REFERENCES])
+def given_references(json: Column) -> Column:
+    """The texts that ``pipelineId`` has at any depth of a document, as text or as ``{"type": "literal", "value": text}``, in order.
+
+    Nothing is looked for below a reference. Null where the text is no JSON. One pass over the document: it is cut into its brackets and the keys that
+    matter, and a running depth tells where a reference that is an object ends, and which keys are its own.
+    """
+    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(json)), F.lit(_TOKEN), 1)
+    none, text = F.lit(None).cast("string"), F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("inside"), none.alias("kind"), none.alias("value"), text.alias("found"))
+
+    def step(state: Column, token: Column) -> Column:
+        depth, inside, kind, value, found = (state.getField(name) for name in ("depth", "inside", "kind", "value", "found"))
+        outside = inside < 0
+        opens, closes = token.endswith("{") | token.endswith("["), token.isin("}", "]")
+        # A text ends in a quote, so only brackets by themselves and openings behind a key are counted.
+        deeper = F.when(opens, depth + 1).when(closes, depth - 1).otherwise(depth)
+        reference, ends = outside & token.startswith('"pipelineId":'), closes & (deeper == inside)
+        own = ~outside & (depth == inside + 1)
+        given = F.when(reference & token.endswith('"'), F.substr(token, F.lit(14))).when(ends & (kind == '"literal"'), value)
+        return F.struct(
+            deeper.alias("depth"),
+            F.when(reference & opens, depth).when(ends, F.lit(-1)).otherwise(inside).alias("inside"),
+            F.when(outside, none).when(own & token.startswith('"type":"'), F.substr(token, F.lit(8))).otherwise(kind).alias("kind"),
+            F.when(outside, none).when(own & token.startswith('"value":"'), F.substr(token, F.lit(9))).otherwise(value).alias("value"),
+            F.when(given.isNotNull(), F.array_append(found, given)).otherwise(found).alias("found"),
+        )
+
+    return F.transform(F.aggregate(tokens, start, step, lambda state: state.getField("found")), json_string)
+
+
+def _at(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def _texts(holders: Column, wrapped: bool) -> Column:
+    """The text that ``pipelineId`` has in each of some objects, or with ``wrapped`` the text of any object's ``value``."""
+
+    def text(value: Column) -> Column:
+        return F.when(F.to_json(value).startswith('"'), _at(value, "$", "string"))
+
+    def reference(value: Column) -> Column:
+        own = text(value)
+        return F.coalesce(own, bind(_at(value, "$.value"), text)) if wrapped else own
+
+    return F.array_compact(F.transform(holders, lambda holder: bind(_at(holder, "$.pipelineId"), reference)))
+
+
+def process_references(document: Column) -> Column:
+    """What a parsed job document (a variant) refers to in its processes, components and, beside components, libraries of requested tasks.
+
+    A process may wrap its text, the others may not. Null for what isn't a job document: without a parsed value, where processes are no object,
+    components no array, or where something that should have a reference is no object.
+    """
+    items, entries = "array<variant>", "map<string, variant>"
+    none = F.array().cast(items)
+
+    def lists(value: Column) -> Column:
+        return F.coalesce(value, none)
+
+    def held(values: Column, key: str) -> Column:
+        return F.array_compact(F.transform(values, lambda value: _at(value, f"$.{key}")))
+
+    processes, components = F.map_values(_at(document, "$.processes", entries)), _at(document, "$.components", items)
+    request = F.coalesce(_at(document, "$.request.CreateNewJobRequest"), _at(document, "$.request"))
+    tasks = lists(_at(request, "$.tasks", items))
+    libraries = F.flatten(F.transform(tasks, lambda task: lists(_at(task, "$.libraries", items))))
+    owners = [held(lists(processes), "properties"), held(lists(components), "PipelineComponent")]
+    owners.append(F.when(components.isNotNull(), held(libraries, "PipelineComponent")).otherwise(none))
+    of_other_kind = [_at(document, "$.processes").isNotNull() & processes.isNull(), _at(document, "$.components").isNotNull() & components.isNull()]
+
+    def found(groups: Column) -> Column:
+        every = F.exists(F.flatten(groups), lambda owner: _at(owner, "$", entries).isNull())
+        texts = [_texts(F.element_at(groups, i + 1), wrapped=i == 0) for i in range(3)]
+        return F.when(~every, F.concat(*texts))
+
+    return F.when(document.isNotNull() & ~(of_other_kind[0] | of_other_kind[1]), bind(F.array(*owners), found))
 
 
 def document_references(path: Column, json: Column) -> Column:
     """What ``is_stale`` should judge a JSON file by: its references, null for its whole text.
 
     A workflow document names itself in ``metainfo.uri``, job documents name others in
-    their processes. Other JSON files, and text that is no JSON, are judged as a whole.
+    their processes. Other JSON files, and text that is no JSON, are judged as a whole. A file is parsed once.
     """
-    own = F.array_compact(F.array(F.get_json_object(json, "$.metainfo.uri")))
-    in_jobs = path.startswith("jobs/") | path.contains("/jobs/")
-    return F.when(
-        path.rlike(r"(^|/)workflow\.latest\.json$"), F.when(F.try_parse_json(json).isNotNull(), own)
-    ).when(in_jobs, process_references(json))
+    workflow = path.rlike(r"(^|/)workflow\.latest\.json$")
+    judged = path.endswith(".json") & (workflow | path.startswith("jobs/") | path.contains("/jobs/"))
+
+    def found(document: Column) -> Column:
+        own = F.array_compact(F.array(_at(document, "$.metainfo.uri", "string")))
+        return F.when(workflow, F.when(document.isNotNull(), own)).otherwise(process_references(document))
+
+    return F.when(judged, bind(F.try_parse_json(json), found))
 
 
 def json_refs(df: DataFrame, json: str) -> DataFrame:
     """Distinct ids of the other projects a set of job documents refers to."""
-    found = df.select(texts_at(F.col(json), REFERENCES).getField("references").alias("found"))
-    references = found.select(F.explode("found").alias("reference"))
+    references = df.select(F.explode(given_references(F.col(json))).alias("reference"))
     return (
         references.select(reference_fields(F.col("reference")).getField("project_id").alias("project_id"))
         .filter(F.col("project_id").isNotNull())

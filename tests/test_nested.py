@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pipelinekit.functions import nested
-from pipelinekit.functions.places import LITERAL, WRAPPED, Place, texts_at
 from pipelinekit.functions.text import jar_version
 
 
@@ -169,43 +168,31 @@ def test_many_references_in_one_document(spark, rows):
     assert time.monotonic() - start < 15
 
 
-def test_places(spark):
-    """Steps, shapes and values of another kind on the way."""
-    places = {
-        "keys": Place("a.b"), "values": Place("m.*.x", LITERAL), "items": Place("l.[].x", WRAPPED), "maybe": Place("o.p?.x"),
-        "beside": Place("a.b", beside="l"), "deep": Place("**.x"),
-    }
-    nothing = {name: [] for name in places}
-    literal, other = {"type": "literal", "value": "v"}, {"type": "expression", "value": "w"}
+def test_one_pass_of_references(spark):
+    """Values of every kind under the key, and brackets, quotes and keys inside of strings."""
     cases = [
-        ({}, {}),
-        ([], {}),
-        ("text", {}),
-        (5, None),
-        ({"a": {"b": "t"}}, {"keys": ["t"]}),
-        ({"a": {"b": "t"}, "l": []}, {"keys": ["t"], "beside": ["t"]}),
-        ({"a": {"b": 5}}, {}),
-        ({"a": "b"}, None),
-        ({"m": {"p": {"x": literal}, "q": {"x": other}, "r": 5, "s": {"x": "t"}}}, {"values": ["v", "t"], "deep": ["t"]}),
-        ({"m": []}, None),
-        ({"l": [{"x": literal}, {"x": other}, {"x": {}}, {"x": "t"}]}, {"items": ["v", "w", "t"], "deep": ["t"]}),
-        ({"l": {"x": "t"}}, None),
-        ({"l": [None]}, None),
-        ({"o": {"p": {"x": "1"}, "x": "2"}}, {"maybe": ["1"], "deep": ["2", "1"]}),
-        ({"o": {"x": "2"}}, {"maybe": ["2"], "deep": ["2"]}),
-        ({"z": [{"x": "1"}, [{"y": {"x": {"x": "no"}}}, {"x": "2"}]]}, {"deep": ["1", "2"]}),
+        ('{"pipelineId": ["x", {"pipelineId": "no"}], "pipelineId2": "no", "a": {"pipelineId": "yes"}}', ["yes"]),
+        ('[{"type": "literal", "value": "no"}, {"pipelineId": "a"}, {"pipelineId": {"type": "literal", "value": "b"}}, {"pipelineId": "c"}]', ["a", "b", "c"]),
+        ('{"pipelineId": {"type": "literal", "x": {"value": "no"}, "y": [{"type": "z"}]}}', []),
+        ('{"pipelineId": {"type": {"literal": 1}, "value": "no"}, "q": {"pipelineId": {"value": "no"}}}', []),
+        ('{"pipelineId": {"x": "}{", "type": "literal", "value": "q\\"u{o\\u00e9"}}', ['q"u{o\u00e9']),
+        ('{"k": "{\\"pipelineId\\": \\"no\\"", "pipelineId": "back\\\\"}', ["back\\"]),
+        ('{"pipelineId": {"type": "literal", "value": 5}, "z": {"pipelineId": true}}', []),
+        ('"pipelineId"', []),
+        ('{"pipelineId"', None),
+        ("", None),
+        (None, None),
     ]
-    texts = [(i, json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(len(cases), "{broken"), (len(cases) + 1, None), (len(cases) + 2, "")]
-    df = spark.createDataFrame(texts, "i int, j string").repartition(2)
-    got = {r["i"]: r["f"].asDict() if r["f"] else None for r in df.select("i", texts_at(F.col("j"), places).alias("f")).collect()}
-    assert got == {i: None if want is None else nothing | want for i, want in enumerate([w for _, w in cases] + [None] * 3)}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, j string")
+    got = [r[0] for r in df.orderBy("i").select(nested.given_references(F.col("j"))).collect()]
+    assert got == [want for _, want in cases]
 
 
 def test_one_parse(spark):
-    """All places of a job document are read together."""
-    df = spark.createDataFrame([("{}",)], "j string").select(nested.process_references(F.col("j")).alias("r"))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1 and "from_json" not in plan and "parse_json" not in plan
+    """All places of a job document are read from one parse, in the JVM."""
+    df = spark.createDataFrame([("jobs/a.json", "{}")], "p string, j string").select(nested.document_references(F.col("p"), F.col("j")).alias("r"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") <= 1 and "from_json" not in plan and "Python" not in plan
 
 
 def test_many_components_and_tasks(spark):
@@ -229,9 +216,15 @@ def test_stale_shapes(spark):
         ({"components": [], "request": {"tasks": [{"libraries": [library]}, {}]}}, ["l"]),
         ({"components": [], "request": {"CreateNewJobRequest": {"tasks": [{"libraries": [{"x": 1}, library]}]}}}, ["l"]),
         ({"request": {"tasks": [{"libraries": [library]}]}}, []),
+        ({"processes": []}, None),
+        ({"components": {}}, None),
+        ({"processes": {"p": {"properties": "text"}}}, None),
+        ({"components": [library, {"PipelineComponent": "text"}]}, None),
+        ({"processes": {"p": {"properties": {"pipelineId": {"value": ["v"]}}}, "q": {"properties": {"pipelineId": "t"}}}}, ["t"]),
+        ([], []),
     ]
     df = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)], "i int, j string")
-    got = [r[0] for r in df.orderBy("i").select(nested.process_references(F.col("j"))).collect()]
+    got = [r[0] for r in df.orderBy("i").select(nested.process_references(F.try_parse_json("j"))).collect()]
     assert got == [want for _, want in cases]
 
 
