@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ from pipelinekit.storage import stored
 
 CELL = 16_000  # words of a cell; one of words with the same letters may be larger
 SEARCHES = 40_000  # searches in a cell that one task makes; more are divided
-LEAF = 12  # words of a leaf within a cell
-BLOCK = 4096  # searches or pairs compared at once
+LEAF = 32  # words of a leaf within a cell
+BLOCK = 1024  # words and searches compared at once
 DISTINCT = 100_000  # words counted in a task before they are passed on; no result depends on it
 FACTOR = 5  # how much more frequent a form is
 
@@ -136,10 +137,10 @@ def near_words(words: DataFrame) -> DataFrame:
     many = searches.groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) / SEARCHES).cast("int").alias("parts"))
     filled = points.select("size", "cell").distinct()
     shares = many.join(filled, ["size", "cell"])
-    in_cells = points.join(shares, ["size", "cell"]).select("size", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "word", "n")
-    asked = searches.join(shares, ["size", "cell"]).select("size", "cell", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "word", "n")
-    group = ["size", "cell", "part"]
-    together = in_cells.unionByName(asked).repartition(*group).sortWithinPartitions(*group, "asks")
+    named = [F.concat_ws("|", F.col("size").cast("string"), "cell", F.col("part").cast("string")).alias("group"), F.col("size"), F.col("asks"), F.col("word"), F.col("n")]
+    in_cells = points.join(shares, ["size", "cell"]).withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "asks": F.lit(False)})
+    asked = searches.join(shares, ["size", "cell"]).withColumns({"part": F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"), "asks": F.lit(True)})
+    together = in_cells.select(*named).unionByName(asked.select(*named)).repartition("group").sortWithinPartitions("group", "asks")
     pairs = map_stream(together, _searched, "word string, near string, n long, near_n long", SEARCHES)
     # Words of one length each search the other; a longer one is only found by the shorter.
     other = pairs.filter(F.length("word") < F.length("near")).select(F.col("near").alias("word"), F.col("word").alias("near"), F.col("near_n").alias("n"), F.col("n").alias("near_n"))
@@ -148,59 +149,60 @@ def near_words(words: DataFrame) -> DataFrame:
 
 def _searched(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The pairs of a stream of cells, each with its words first and the searching words after them."""
-    now, words, ns, tree = None, [], [], None
+    now, words, tree = None, [], None
     for part in parts:
-        names = list(zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
-        asks, texts, counts = (part.column(i).to_pylist() for i in (3, 4, 5))
-        at = 0
-        while at < len(names):
-            end = at + 1
-            while end < len(names) and names[end] == names[at] and asks[end] == asks[at]:
-                end += 1
-            if names[at] != now:
-                now, words, ns, tree = names[at], [], [], None
-            if not asks[at]:
-                words += texts[at:end]
-                ns += counts[at:end]
-            elif words:
-                tree = tree or Tree(words)
-                found = tree.near(texts[at:end])
-                if found:
-                    yield {
-                        "word": [texts[at + a] for a, _ in found], "near": [words[b] for _, b in found],
-                        "n": [counts[at + a] for a, _ in found], "near_n": [ns[b] for _, b in found],
-                    }
-            at = end
+        asks = np.array(part.column("asks").to_pylist(), bool)
+        runs = pc.run_end_encode(part.column("group"))
+        ends = np.union1d(runs.run_ends.to_numpy(), np.flatnonzero(asks[1:] != asks[:-1]) + 1)
+        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            some = part.slice(start, end - start)
+            group, asking = some.column("group")[0].as_py(), bool(asks[start])
+            if group != now:
+                now, words, tree = group, [], None
+            if not asking:
+                words.append(some)
+                continue
+            if not words:
+                continue
+            if tree is None:
+                held = pa.Table.from_batches(words).combine_chunks()
+                tree = Tree(held["word"].to_pylist(), some.column("size")[0].as_py())
+            by, of = tree.near(some.column("word").to_pylist())
+            if len(by):
+                yield {
+                    "word": some.column("word").take(pa.array(by)), "near": held["word"].combine_chunks().take(pa.array(of)),
+                    "n": some.column("n").take(pa.array(by)), "near_n": held["n"].combine_chunks().take(pa.array(of)),
+                }
 
 
 class Tree:
     """A k-d tree over the letter counts of words of one length, searched by many words at once."""
 
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), len(words[0]))
-        self.alphabet = {code: place for place, code in enumerate(np.unique(self.codes).tolist())}
-        self.counts = self.counted(words)[0]
+    def __init__(self, words: list[str], size: int):
+        self.size = size
+        self.codes = coded(words, size)
+        self.alphabet = np.unique(self.codes)
+        counts, _ = self.counted(self.codes)
+        self.counts = counts.astype(np.float32)
+        self.norms = (self.counts**2).sum(1)
         self.root = self.grown(np.arange(len(words)))
 
-    def counted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def counted(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the letters of the tree, a row per word, and how many letters of a word are others."""
         size = len(self.alphabet)
-        rows = np.repeat(np.arange(len(words)), [len(word) for word in words])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        table = np.full(max(int(codes.max(initial=0)), max(self.alphabet, default=0)) + 1, size)
-        table[list(self.alphabet)] = list(self.alphabet.values())
-        flat = np.bincount(rows * (size + 1) + table[codes], minlength=len(words) * (size + 1)).reshape(len(words), size + 1)
-        return flat[:, :size].astype(np.int8 if flat.max(initial=0) < 120 else np.int32), flat[:, size]
+        at = np.minimum(np.searchsorted(self.alphabet, codes), max(size - 1, 0))
+        letter = np.where(self.alphabet[at] == codes, at, size) if size else at
+        flat = (np.arange(len(codes))[:, None] * (size + 1) + letter).ravel()
+        table = np.bincount(flat, minlength=len(codes) * (size + 1)).reshape(len(codes), size + 1)
+        return table[:, :size].astype(np.int32), table[:, size]
 
     def grown(self, members: np.ndarray):
-        """A leaf of word numbers with its box, or a cut with its two sides."""
+        """A leaf of word numbers, or a cut with its two sides."""
         counts = self.counts[members]
-        low, high = counts.min(0), counts.max(0)
-        if len(members) > LEAF and (low < high).any():
+        if len(members) > LEAF and (counts.min(0) < counts.max(0)).any():
             # Nearly all counts are 0 or 1: the letter and count that part the words most evenly.
             best = None
-            for least in range(1, int(high.max()) + 1):
+            for least in range(1, int(counts.max()) + 1):
                 share = (counts >= least).sum(0)
                 off = np.abs(2 * share - len(members))
                 off[(share == 0) | (share == len(members))] = 2 * len(members)
@@ -210,63 +212,65 @@ class Tree:
             _, place, least = best
             above = counts[:, place] >= least
             return place, least, self.grown(members[~above]), self.grown(members[above])
-        return members, low, high
+        return (members,)
 
-    def near(self, asked: list[str]) -> list[tuple[int, int]]:
-        """(number asked, number of the tree) of all pairs one edit apart; ``asked`` are as long as the words or one shorter."""
-        counts, strange = self.counted(asked)
+    def near(self, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words asked and of the tree of all pairs one edit apart; ``asked`` are as long as the words or one shorter."""
         lengths = np.array([len(word) for word in asked])
+        found = [self.near_alike(np.flatnonzero(lengths == n), [word for word in asked if len(word) == n], n) for n in (self.size, self.size - 1)]
+        return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+
+    def near_alike(self, who: np.ndarray, asked: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of one length, whose numbers are ``who``."""
+        codes = coded(asked, length)
+        whole, strange = self.counted(codes)
         # A letter that the tree doesn't know is one down already.
-        down = np.where(lengths < self.codes.shape[1], 0, 1) - strange
-        alive = np.flatnonzero(down >= 0)
-        found: list[np.ndarray] = []
-        stack = [(self.root, alive, np.ones(len(alive), np.int32), down[alive].astype(np.int32))]
+        spare = (1 if length == self.size else 0) - strange
+        alive = np.flatnonzero(spare >= 0)
+        counts = whole.astype(np.float32)
+        norms = (counts**2).sum(1) + strange
+        apart = 2 if length == self.size else 1
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        stack = [(self.root, alive, np.ones(len(alive), np.int32), spare[alive].astype(np.int32))] if len(alive) else []
         while stack:
-            node, who, up, down = stack.pop()
+            node, some, up, down = stack.pop()
             if len(node) == 4:
                 place, least, below, above = node
-                here = counts[who, place].astype(np.int32)
+                here = whole[some, place]
+                # What is left of the way to the box of each side.
                 less, more = down - np.maximum(here - least + 1, 0), up - np.maximum(least - here, 0)
                 for side, keep, ups, downs in ((below, less >= 0, up, less), (above, more >= 0, more, down)):
                     if keep.any():
-                        stack.append((side, who[keep], ups[keep], downs[keep]))
+                        stack.append((side, some[keep], ups[keep], downs[keep]))
                 continue
-            members, low, high = node
-            for begin in range(0, len(who), BLOCK):
-                some = who[begin : begin + BLOCK]
-                mine = counts[some].astype(np.int16)
-                # Distance to the box, then to each word: at most one letter more and one less.
-                reach = (np.maximum(low - mine, 0).sum(1) <= 1) & (np.maximum(mine - high, 0).sum(1) <= 1)
-                some, mine = some[reach], mine[reach]
-                for part in range(0, len(members) if len(some) else 0, LEAF):
-                    those = members[part : part + LEAF]
-                    gap = self.counts[those][None] - mine[:, None]
-                    close = (np.maximum(gap, 0).sum(2) == 1) & (np.minimum(gap, 0).sum(2) >= -1)
-                    a, b = np.nonzero(close)
+            (members,) = node
+            for start in range(0, len(members), BLOCK):
+                those = members[start : start + BLOCK]
+                for begin in range(0, len(some), BLOCK):
+                    mine = some[begin : begin + BLOCK]
+                    # Squares of whole numbers, exact in floats: one count up and one down, or one up, are 2 or 1 apart.
+                    squares = norms[mine, None] + self.norms[those] - 2 * (counts[mine] @ self.counts[those].T)
+                    a, b = np.nonzero(squares == apart)
                     if len(a):
-                        found.append(np.stack([some[a], those[b]], 1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return [pair for at in range(0, len(pairs), BLOCK) for pair in self.one_edit(asked, lengths, pairs[at : at + BLOCK])]
-
-    def one_edit(self, asked: list[str], lengths: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
-        """The pairs in whose words all letters but one stand in the same order."""
-        size = self.codes.shape[1]
-        kept = []
-        for length in (size, size - 1):
-            some = pairs[lengths[pairs[:, 0]] == length]
-            if not len(some):
-                continue
-            mine = np.frombuffer("".join(asked[a] for a in some[:, 0]).encode("utf-32-le"), np.uint32).reshape(len(some), length)
-            theirs = self.codes[some[:, 1]]
-            if length == size:
-                good = (mine != theirs).sum(1) == 1
-            else:
-                # The equal letters from the front and those from the back cover the shorter word.
-                front = np.cumprod(mine == theirs[:, :-1], 1).sum(1)
-                back = np.cumprod((mine == theirs[:, 1:])[:, ::-1], 1).sum(1)
-                good = front + back >= length
-            kept += map(tuple, some[good].tolist())
-        return kept
+                        kept = self.one_edit(codes[mine[a]], self.codes[those[b]])
+                        found.append((who[mine[a[kept]]], those[b[kept]]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def one_edit(self, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """Whether all letters but one stand in the same order, row by row."""
+        if mine.shape[1] == theirs.shape[1]:
+            return (mine != theirs).sum(1) == 1
+        # The equal letters from the front and those from the back cover the shorter word.
+        front = np.cumprod(mine == theirs[:, :-1], 1).sum(1)
+        back = np.cumprod((mine == theirs[:, 1:])[:, ::-1], 1).sum(1)
+        return front + back >= mine.shape[1]
+
+
+def coded(words: list[str], length: int) -> np.ndarray:
+    """Words of one length as rows of code points."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), max(length, 0))
 
 
 def spelling_variants(words: DataFrame) -> DataFrame:
