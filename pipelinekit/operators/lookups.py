@@ -196,14 +196,16 @@ def _ranked_cuts(cuts: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], Data
         part = F.greatest(F.size(F.filter("__bounds", lambda b: b < F.col("__point").cast("double"))), F.lit(0)).cast("long")
         return some.withColumn("__bounds", bounds).withColumn("__part", part).drop("__bounds")
 
-    of_parts = parted(cuts).groupBy(F.col("__part").alias("__of")).agg(F.count(F.lit(1)).alias("n"))
-    # A row per part, of which there is a fixed number.
-    earlier = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    every = spark.range(0, len(shares) + 1, 1, 1).join(F.broadcast(of_parts), F.col("id") == F.col("__of"), "left")
-    carried = F.broadcast(every.select(
-        F.col("id").alias("__of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"),
-        F.ceil(F.log2(F.coalesce(F.sum("n").over(Window.partitionBy()), F.lit(0)) + 1)).cast("int").alias("__levels"),
-    ))
+    # How many cuts lie in the parts before each part, and the levels: a fixed number of values.
+    entries = parted(cuts).groupBy("__part").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("__part", "n")).alias("parts"))
+    summed = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda total, e: total + e.getField("n"))
+    every = F.sequence(F.lit(0), F.lit(len(shares)))
+    before = F.transform(every, lambda p: summed(F.filter("parts", lambda e: e.getField("__part") < p)))
+    levels = F.ceil(F.log2(summed(F.col("parts")) + 1)).cast("int")
+    carried = entries.select(F.struct(before.alias("before"), levels.alias("levels")).alias("carried")).scalar()
+    so_far = F.element_at(carried.getField("before"), F.col("__part").cast("int") + 1)
+    levels = carried.getField("levels").alias("__levels")
+
     nth = F.row_number().over(Window.partitionBy("__part").orderBy("__point"))
     local = parted(cuts).withColumn("__nth", nth)
 
@@ -218,8 +220,6 @@ def _ranked_cuts(cuts: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], Data
         before = Window.partitionBy("__part", "__division").orderBy("__point", F.col("__nth").desc_nulls_last())
         last = F.last("__nth", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         ranked = both.withColumn("__last", F.coalesce(last, F.lit(0))).filter(F.col("__row").isNotNull())
-        rank = F.when(F.col("__point").isNotNull(), F.col("__last") + F.col("__before"))
-        return ranked.join(carried, F.col("__part") == F.col("__of")).select("__row", rank.alias("__rank"), "__levels")
+        return ranked.select("__row", F.when(F.col("__point").isNotNull(), F.col("__last") + so_far).alias("__rank"), levels)
 
-    ranked = local.join(carried, F.col("__part") == F.col("__of"))
-    return ranked.select("__point", (F.col("__nth") + F.col("__before")).alias("__rank"), "__levels"), placed
+    return local.select("__point", (F.col("__nth") + so_far).alias("__rank"), levels), placed
