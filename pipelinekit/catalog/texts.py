@@ -48,10 +48,16 @@ def sql_functions(spark, sf_dir):
     """The registered functions called from SQL text."""
     register_functions(spark)
     table(spark, sf_dir, "part").createOrReplaceTempView("part_names")
-    return spark.sql(
-        "SELECT p_partkey, short_hash(p_name) AS hash, normalise_name(concat(p_name, '--', p_type)) AS name, "
-        "strip_prefix(p_brand, 'Brand#') AS brand FROM part_names"
-    )
+    return spark.sql("""
+        SELECT p_partkey, short_hash(p_name) AS hash, normalise_name(concat(p_name, '--', p_type)) AS name,
+          strip_prefix(p_brand, 'Brand#') AS brand, strip_prefix(p_name, substr(p_name, 1, 3)) AS shorter,
+          is_blank(repeat(' ', p_size) || substr(p_type, 1, p_size % 2)) AS blank,
+          jar_version(concat(p_name, '_2.1', 2 + p_partkey % 3, '.jar')) AS jar,
+          package_parts(concat('x/pipeline/', p_type, '-1.', p_size, '-py3-none-any.whl')).version AS package,
+          reference_fields(concat('gitUri=', p_brand, '&subPath=&tag=', p_type, '/', p_size, '&projectSubscriptionProjectId=', p_partkey, '&path=p')) AS fields,
+          bucket_of(path, 's3://') AS bucket, prefix_of(path, 's3://') AS rest, part_behind(path, '://', 2) AS part
+        FROM (SELECT *, concat('s3://', p_brand, '/', p_name, '/', p_type) AS path FROM part_names)
+    """).select("*", "fields.git_uri", "fields.tag", "fields.project_id").drop("fields")
 
 
 PLACEHOLDERS = {"{{PROJECT}}": "17", "{{VERSION}}": "1.0", "{{TAG}}": "Hello/1.0", "{{URL}}": "http://x/{{PROJECT}}"}
@@ -213,7 +219,10 @@ SELECT p_partkey, CASE WHEN p_size < 40 THEN replace(p_name, ' ', '_') END AS pa
 SELECT doc_id, regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_.]+', '_', 'g'), '__+', '_', 'g') AS name FROM documents""",
     "sql_functions": """
 SELECT p_partkey, substr(sha256(p_name), 1, 8) AS hash, replace(p_name, ' ', '_') || '_' || p_type AS name,
-       replace(p_brand, 'Brand#', '') AS brand FROM part""",
+       replace(p_brand, 'Brand#', '') AS brand, substr(p_name, 4) AS shorter, p_size % 2 = 0 AS blank,
+       CASE WHEN p_partkey % 3 < 2 THEN '2.1' || CAST(2 + p_partkey % 3 AS VARCHAR) END AS jar, '1.' || CAST(p_size AS VARCHAR) AS package,
+       p_brand AS bucket, p_name || '/' || p_type AS rest, p_name AS part,
+       p_brand AS git_uri, CAST(p_size AS VARCHAR) AS tag, CAST(p_partkey AS VARCHAR) AS project_id FROM part""",
     "substitute": """
 SELECT doc_id, text || CASE WHEN doc_id % 4 = 3 THEN ' {{PROJECT}}/{{TAG}} {{URL}} {{VERSION}}$1'
                             ELSE ' 17/Hello/1.0 http://x/{{PROJECT}} 1.0$1' END AS text FROM documents""",

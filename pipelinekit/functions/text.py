@@ -63,9 +63,10 @@ def ends_with_any(name: Column, suffixes: Sequence[str]) -> Column:
     return name.rlike("(" + "|".join(re.escape(suffix) for suffix in suffixes) + ")$")
 
 
-def strip_prefix(text: Column, prefix: str) -> Column:
+def strip_prefix(text: Column, prefix: str | Column) -> Column:
     """``text`` without one leading ``prefix``."""
-    return F.when(text.startswith(prefix), F.substr(text, F.lit(len(prefix) + 1))).otherwise(text)
+    prefix = F.lit(prefix)
+    return F.when(F.startswith(text, prefix), F.substr(text, F.length(prefix) + 1)).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
@@ -73,18 +74,18 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"[^\p{Z}\s\x1c-\x1f\x85]")
 
 
-def bucket_of(path: Column, scheme: str) -> Column:
+def bucket_of(path: Column, scheme: str | Column) -> Column:
     """The first part of a path, with the scheme taken out."""
     return F.split_part(F.replace(path, F.lit(scheme), F.lit("")), F.lit("/"), F.lit(1))
 
 
-def prefix_of(path: Column, scheme: str) -> Column:
+def prefix_of(path: Column, scheme: str | Column) -> Column:
     """All parts of a path behind the bucket, empty if there are none."""
     parts = F.split(F.replace(path, F.lit(scheme), F.lit("")), "/", -1)
     return F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), "/")
 
 
-def part_behind(path: Column, marker: str, n: int) -> Column:
+def part_behind(path: Column, marker: str | Column, n: int | Column) -> Column:
     """The ``n``-th path part behind the first ``marker``, null without the marker."""
     behind = F.split_part(path, F.lit(marker), F.lit(2))
     return F.when(path.contains(marker), F.split_part(behind, F.lit("/"), F.lit(n)))

@@ -128,15 +128,22 @@ def test_version_gates(spark, rows):
 
 
 def test_registered_functions_agree(spark):
+    """Every function from SQL text, on awkward values, as applied to columns."""
     names = registry.register_functions(spark)
-    assert names == ["short_hash", "normalise_name", "strip_prefix"]
-    column(spark, ["a b--c", "Brand#1", None, "日本 語"]).createOrReplaceTempView("names")
-    got = spark.sql("SELECT short_hash(v), normalise_name(v), strip_prefix(v, 'Brand#') FROM names ORDER BY i").collect()
-    c = F.col("v")
-    want = spark.table("names").orderBy("i").select(text.short_hash(c), text.normalise_name(c), text.strip_prefix(c, "Brand#"))
-    assert [tuple(r) for r in got] == [tuple(r) for r in want.collect()]
-    plan = spark.sql("SELECT normalise_name(v) FROM names")._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan
+    assert names == [function.__name__ for function in registry.FUNCTIONS] and len(names) == 10
+    values = [
+        "a b--c", "Brand#1", None, "", "日本 語", " \u00a0\t", "x/pipeline/night_load-7.2-py3-none-any.whl", "lib_2.13.jar", "s3://b/p/q\\r/s's",
+        "gitUri=g&subPath=s&tag=a/b/c&projectSubscriptionProjectId=5&path=p", "line\nbreak/x",
+    ]
+    column(spark, values).createOrReplaceTempView("names")
+    others = {"prefix": F.lit("Brand#"), "scheme": F.lit("s3://"), "marker": F.lit("b/"), "n": F.lit(1)}
+    for function, arguments in registry.FUNCTIONS.items():
+        rest = list(arguments)[1:]
+        texts = ", ".join(["v", *[{"prefix": "'Brand#'", "scheme": "'s3://'", "marker": "'b/'", "n": "1"}[a] for a in rest]])
+        got = spark.sql(f"SELECT {function.__name__}({texts}) AS r FROM names ORDER BY i")
+        want = spark.table("names").orderBy("i").select(function(F.col("v"), *[others[a] for a in rest]).alias("r"))
+        assert [r[0] for r in got.collect()] == [r[0] for r in want.collect()], function.__name__
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("suffixes", [(".json",), (".a+b", ".py")])
