@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -109,3 +110,55 @@ def test_awkward_rows(documents, nothing, texts, spark):
         assert quality(documents, labels).count() == quality_rules(documents, labels).count() == len(texts)
         assert quality(nothing, labels).count() == quality_rules(nothing, labels).count() == good_documents(nothing, labels).count() == 0
     assert good_documents(documents, some).columns == documents.columns
+
+
+def test_toxic_documents_are_not_good(spark):
+    """Told by their words alone: held-out toxic documents go, clean ones stay."""
+    rng = random.Random(21)
+    docs, labels = [], []
+    for i in range(600):
+        body = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(40, 120))]
+        toxic = i % 7 == 0
+        for at in rng.sample(range(len(body)), 5 if toxic else 0):
+            body[at] = rng.choice(["nasty", "Vile!", "awful", "rotten"])
+        docs.append((i, " ".join(body), "en", f"s{i % 5}"))
+        if i % 2:
+            labels.append((i, 1, int(toxic)))
+    got = quality(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held_out = [r for r in got if r.doc_id % 2 == 0]
+    assert sum(r.kept for r in held_out if r.doc_id % 7 == 0) <= 2
+    assert sum(not r.kept for r in held_out if r.doc_id % 7) <= 5
+
+
+def test_scores_by_the_formula(spark):
+    """Priors of sites and scores, a document's own probability left out, against plain arithmetic."""
+    from pipelinekit.llm import quality as Q
+
+    rng = random.Random(3)
+    rows = [(i, f"h{min(i % 9, 3)}", rng.choice(["p", "q", None]), rng.uniform(-3, 4)) for i in range(400)] + [(400, "lone", "x", 1.0)]
+    got = {r.key: r for r in Q._judged(spark.createDataFrame(rows, "key int, host string, path string, log_odds double")).collect()}
+    p = {i: 1 / (1 + math.exp(-x)) for i, _, _, x in rows}
+    mean = sum(p.values()) / len(p)
+    host, site = {}, {}
+    for i, h, q, _ in rows:
+        host.setdefault(h, []).append(p[i])
+        site.setdefault((h, q), []).append(p[i])
+    total, chance = len(rows), mean * (1 - mean)
+
+    def strength(scale, groups, spread, parents):
+        if scale <= 0 or groups <= parents:
+            return Q.STRENGTH[1]
+        between = (spread - (groups - parents) * chance) / scale
+        return Q.STRENGTH[1] if between <= 0 else min(max(chance / between - 1, Q.STRENGTH[0]), Q.STRENGTH[1])
+
+    average = lambda values: sum(values) / len(values)
+    squares = sum(len(v) ** 2 for v in host.values())
+    host_weight = strength(total - squares / total, len(host), sum(len(v) * (average(v) - mean) ** 2 for v in host.values()), 1)
+    within = sum(len(v) * (average(v) - average(host[h])) ** 2 for (h, _), v in site.items())
+    path_weight = strength(total - sum(len(v) ** 2 / len(host[h]) for (h, _), v in site.items()), len(site), within, len(host))
+    for i, h, q, x in rows:
+        of_host = (sum(host[h]) - p[i] + host_weight * mean) / (len(host[h]) - 1 + host_weight)
+        prior = (sum(site[h, q]) - p[i] + path_weight * of_host) / (len(site[h, q]) - 1 + path_weight)
+        score = 1 / (1 + math.exp(-(x + math.log(prior / (1 - prior)) - math.log(mean / (1 - mean)))))
+        assert math.isclose(got[i].prior, prior, rel_tol=1e-9) and math.isclose(got[i].score, score, rel_tol=1e-9)
+    assert math.isclose(got[400].prior, mean, rel_tol=1e-6)
