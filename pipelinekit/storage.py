@@ -2,16 +2,38 @@
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; where that is unset,
 a folder under ``spark.sql.warehouse.dir``, the same rule on every master. Nothing here
-removes files: a checkpoint folder is emptied by whoever runs the cluster.
+removes files: a checkpoint folder is emptied by whoever runs the cluster, and what one piece of
+work left there can be told by ``scratch_folder``.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WITHIN: ContextVar[str] = ContextVar("within", default="")
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """All that is stored inside of the block lies below one fresh folder, which is given.
+
+    The caller may delete it as soon as the results that were built inside have been written: until then they read from it.
+    """
+    outer = _WITHIN.get()
+    folder = f"{outer}{name}-{uuid.uuid4().hex}/"
+    token = _WITHIN.set(folder)
+    try:
+        yield f"{shared_dir(spark).rstrip('/')}/{folder.rstrip('/')}"
+    finally:
+        _WITHIN.reset(token)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -20,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{_WITHIN.get()}{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:

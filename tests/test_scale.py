@@ -129,6 +129,17 @@ def test_one_wide_range_among_many_narrow_ones(spark):
     assert got.filter("name = 'wide'").count() == 20_000
 
 
+def test_a_frequent_value_is_divided(no_broadcast, hot):
+    """A third of the rows have one value, in one part of the line: they are ranked in several window partitions, and the join is one that Spark can split."""
+    bands = no_broadcast.range(40).selectExpr("CAST(id * 10 AS int) AS lo", "CAST(id * 10 + 9 AS int) AS hi", "id AS name")
+    got = lookups.range_lookup(hot, bands, "k", "lo", "hi", ["name"])
+    assert got.count() == ROWS and got.filter("k = 0 AND name = 0").count() == hot.filter("k = 0").count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__division" in plan
+    divided = hot.select(F.pmod(F.xxhash64(*hot.columns), F.lit(4)).alias("d"), "k").filter("k = 0").groupBy("d").count()
+    assert divided.count() == 4
+
+
 def scans(df):
     """How often the plan reads files, reused exchanges not counted again."""
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from pipelinekit.operators.running import numbered
 from pipelinekit.sources import DatasetSpec, fixture_frame, read, write
-from pipelinekit.storage import scratch_path, shared_dir
+from pipelinekit.storage import scratch_folder, scratch_path, shared_dir, stored
 
 ORDERS = {
     "format": "csv", "path": "/nowhere", "writeMode": "error", "separator": "|", "header": True, "useSchema": True,
@@ -98,3 +99,16 @@ def test_scratch_lies_in_the_named_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
+
+
+def test_a_folder_for_what_is_stored(spark):
+    """What is stored inside lies below the folder, also of a folder within; nothing else does."""
+    rows = spark.range(5)
+    with scratch_folder(spark, "work") as folder:
+        inside = numbered(rows, ["id"], ["id"])
+        with scratch_folder(spark, "part") as part:
+            deeper = stored(rows)
+    outside = stored(rows)
+    lies = lambda df, where: all(f"{where}/" in path for path in df.inputFiles())
+    assert part.startswith(f"{folder}/") and lies(inside, folder) and lies(deeper, part) and not lies(outside, folder)
+    assert [df.count() for df in (inside, deeper, outside)] == [5, 5, 5]
