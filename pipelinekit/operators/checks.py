@@ -107,8 +107,8 @@ class RunMetrics:
 
     ``node`` is put around the table that a node gives, in building the pipeline; after the sink has run, ``table`` has the
     counts. There is no second pass over any node. A node whose rows Spark never needs to compute (the rows that a
-    limit leaves out, a branch without a sink) is counted as far as it was computed; one that Spark computes
-    again, to sample ranges or after the loss of an executor, counts once.
+    limit leaves out, a branch without a sink) is counted as far as it was computed; of one that Spark has to compute
+    again, to sample ranges or after the loss of an executor, rows may be counted more than once.
     """
 
     def __init__(self) -> None:
