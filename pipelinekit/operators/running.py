@@ -22,9 +22,9 @@ BUCKETS = 16  # for each task
 
 
 def _bucket(df: DataFrame, by: Sequence[str], buckets: int) -> Column:
-    """The bucket of a row's group; 0.0 and -0.0 are one group."""
+    """The bucket of a row's group; 0.0 and -0.0 are one group, and all rows are without ``by``."""
     keys = [F.col(c) + 0.0 if isinstance(df.schema[c].dataType, DoubleType | FloatType) else F.col(c) for c in by]
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    return F.pmod(F.xxhash64(*keys, F.lit(0)), F.lit(buckets))
 
 
 def running(

@@ -92,6 +92,12 @@ def test_rows_are_evaluated_once(spark, data):
         assert seen.value == len(rows)
 
 
+def test_without_groups(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(50)], "t int, i int").repartition(3)
+    got = sorted((r["position"], r["t"], r["i"]) for r in numbered(df, [], ["t", "i"]).collect())
+    assert got == [(n, *row) for n, row in enumerate(sorted((i % 7, i) for i in range(50)), 1)]
+
+
 def test_zeros_of_both_signs_are_one_group(spark):
     df = spark.createDataFrame([(0.0, i) if i % 2 else (-0.0, i) for i in range(40)], "g double, t int")
     assert sorted(r["position"] for r in numbered(df, ["g"], ["t"]).collect()) == list(range(1, 41))
