@@ -2,16 +2,22 @@
 
 Texts of a similarity of 0.8 differ in up to 11 bits of their SimHash fingerprints. Bands that no such pair escapes would have 5 bits, and
 put every 32nd text into one group. So besides the links of ``simhash``, pairs come from ``BANDS`` bands of ``ROWS`` minima of permuted
-shingle hashes: a pair of similarity s shares one with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8.
-Every pair is verified by both sets of shingles.
+shingle hashes, each text of a band with two of them. These connect most groups, and what they miss is found by the first shingles of each text: in any
+order that all texts share, two similar texts have one in common among their first ones, a fifth of each at 0.8. The order is
+that of the hashes, behind which come the shingles that many texts have. Of texts with a first shingle in common, all that aren't connected
+yet are compared: by the place of the shingle, which bounds what they can share, then by a sketch of parities, which bounds how far they differ.
+Neither throws a similar pair out. Every pair is verified by both sets of shingles.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelinekit.llm.batches import map_slices, utf8, words
@@ -24,6 +30,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 CHUNK = 1 << 13  # shingles permuted at a time
+MANY = 3  # texts of a slice with a shingle that comes late in the order; no result depends on it
+MARKS = 1 << 24  # bits that tell such shingles by their hash; no result depends on it
+SKETCH = 8  # longs of parities
+CLOSE = 1e-9  # rounding of a bound
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -55,25 +65,102 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> l
     return [xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """A bit per class of hashes: whether the set has an odd number of them. Two sets have at least as many different shingles as their sketches have different bits."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(key, text) -> (key, body, fingerprint, bands); a text without words has no bands."""
+    """(key, text) -> (key, body, fingerprint, bands, sketch, often); a text without words has no bands.
+
+    ``often`` is of a slice and stands in its first row: the shingles that ``MANY`` of its different texts have.
+    """
     factors, offsets = permutations()
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"body": [], "fingerprint": [], "bands": []}
+        out: dict[str, list] = {"body": [], "fingerprint": [], "bands": [], "sketch": []}
+        sets = {}
         for text in utf8(batch.column("text")):
             hashes = shingle_hashes(text, size)
             bits = bit_counts(hashes) * 2 > len(hashes)
-            out["body"].append(body_of(text))
+            body = body_of(text)
+            own = sets[body] = np.unique(hashes)
+            out["body"].append(body)
             out["fingerprint"].append(int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True))
-            out["bands"].append(band_keys(np.unique(hashes), factors, offsets) if len(hashes) else [])
-        return {"key": batch.column("key")} | out
+            out["bands"].append(band_keys(own, factors, offsets) if len(hashes) else [])
+            out["sketch"].append(parities(own))
+        found, number = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        often = [found[number >= MANY].view(np.int64)] + [None] * (batch.num_rows - 1)
+        return {"key": batch.column("key"), "often": often} | out
 
-    return map_slices(docs, run, "key long, body long, fingerprint long, bands array<long>")
+    return map_slices(docs, run, "key long, body long, fingerprint long, bands array<long>, sketch array<long>, often array<long>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(body, fingerprint, bands) -> pairs (a, b) of bodies, a > b: each text of a band with two of them, others in each band; equal and near fingerprints."""
+def frequent(rows: DataFrame) -> np.ndarray:
+    """The marks of frequent shingles, a bit for each of ``MARKS`` classes of hashes."""
+    marks = rows.select(F.explode("often").alias("hash")).select((F.col("hash").bitwiseAND(F.lit(MARKS - 1)) + 1).alias("mark"))
+    marks = marks.groupBy(F.bitmap_bucket_number("mark").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits"))
+    found = np.zeros(MARKS // 8, np.uint8)
+    for row in marks.toLocalIterator():
+        part = np.frombuffer(bytes(row.bits), np.uint8)
+        found[(row.part - 1) * len(part) : row.part * len(part)] = part
+    return found
+
+
+def first_shingles(docs: DataFrame, marks: np.ndarray, size: int, similarity: float) -> DataFrame:
+    """(text) -> (body, n, first) of distinct texts: how many shingles, and those of them that come first in the common order."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"body": [], "n": [], "first": []}
+        for text in utf8(batch.column("text")):
+            hashes = np.unique(shingle_hashes(text, size))
+            mark = (hashes & np.uint64(MARKS - 1)).astype(np.int64)
+            late = marks[mark >> 3] >> (mark & 7).astype(np.uint8) & 1
+            n = len(hashes)
+            out["body"].append(body_of(text))
+            out["n"].append(n)
+            out["first"].append(hashes[np.argsort(late, kind="stable")][: n - math.ceil(similarity * n - CLOSE) + 1].view(np.int64))
+        return out
+
+    return map_slices(docs, run, "body long, n int, first array<long>").dropDuplicates(["body"])
+
+
+def may_be_similar(x: str, y: str, similarity: float) -> Column:
+    """Whether two texts can be similar whose first common shingle is at these places."""
+    shared = F.least(*[F.col(f"{c}.n") - F.col(f"{c}.place") for c in (x, y)])
+    return shared >= F.lit(similarity / (1 + similarity)) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - CLOSE
+
+
+def shared_firsts(firsts: DataFrame) -> DataFrame:
+    """(shingle, place, body, n, centre): first shingles that several texts have, and the text of each that has it first."""
+    each = firsts.select("body", "n", F.posexplode("first").alias("place", "shingle"))
+    group = Window.partitionBy("shingle")
+    found = each.withColumns({"many": F.count(F.lit(1)).over(group), "centre": F.min(F.struct("place", "body", "n")).over(group)})
+    return found.filter("many > 1").drop("many")
+
+
+def unconnected(shared: DataFrame, rooted: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts with a first shingle in common that may be similar and have different roots.
+
+    Of two roots at most one is the most frequent of a shingle, so one text of a pair is among the others.
+    """
+    own = rooted.select(F.col("body").alias("of"), "root")
+    groups = stored(shared.drop("centre").join(own, keys_match([(shared["body"], own["of"])])).drop("of"), "groups")
+    sizes = groups.groupBy(F.col("shingle").alias("by"), "root").count()
+    chiefs = sizes.groupBy("by").agg(F.max_by("root", "count").alias("chief"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    mixed = groups.join(chiefs, keys_match([(groups["shingle"], chiefs["by"])])).drop("by", "roots")
+    drawn = sketches.select(F.col("body").alias("of"), "sketch")
+    mixed = stored(mixed.join(drawn, keys_match([(mixed["body"], drawn["of"])])).drop("of"), "mixed")
+    x, y = mixed.filter("root != chief").alias("x"), mixed.alias("y")
+    bits = reduce(Column.__add__, [F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH)])
+    near = bits <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) + CLOSE
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & may_be_similar("x", "y", similarity) & near)
+    return both.select(F.greatest("x.body", "y.body").alias("a"), F.least("x.body", "y.body").alias("b")).distinct()
+
+
+def candidates(nodes: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """(body, fingerprint, bands) -> pairs (a, b) of bodies, a > b: each text of a band with two of them, others in each band; equal and near fingerprints; each text of a first shingle with its centre."""
     banded = nodes.select("body", F.explode("bands").alias("band"))
     least = banded.groupBy(F.col("band").alias("of")).agg(*[f("body", F.xxhash64("body", "band")).alias(c) for f, c in ((F.min_by, "other"), (F.max_by, "last"))]).filter("other != last")
     stars = banded.join(least, keys_match([(banded["band"], least["of"])])).select("body", "other", "last")
@@ -83,7 +170,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
     near = links(nodes.select("fingerprint").distinct()).toDF("x", "y")
     ends = [alike.select(F.col("print").alias(f"of_{c}"), F.col("first").alias(c)) for c in ("a", "b")]
     bits = near.join(ends[0], F.col("x") == F.col("of_a")).join(ends[1], F.col("y") == F.col("of_b")).select("a", "b")
-    every = pairs.union(same).union(bits).filter("a != b")
+    hubs = shared.select(F.struct("place", "body", "n").alias("x"), F.col("centre").alias("y"))
+    hubs = hubs.filter(may_be_similar("x", "y", similarity)).select(F.col("x.body").alias("a"), F.col("y.body").alias("b"))
+    every = pairs.union(same).union(bits).union(hubs).filter("a != b")
     return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -109,25 +198,33 @@ def one_of_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Texts are near copies if the sets of their shingles of ``size`` words are similar by ``similarity`` or more, directly or over others;
     texts without words are copies of each other. Of several rows with that key one stays. Rows with a null key can't be told apart and all stay.
-    In a group of texts that share a band, each is compared with two of them, which differ from band to band.
+    No link is lost: texts that the proposed pairs leave unconnected are compared wherever they can be similar. Texts are told apart by 64-bit hashes, as are shingles.
     """
     packed = docs.filter(F.col(key).isNotNull()).selectExpr(f"CAST(`{key}` AS bigint) AS key", f"`{text}` AS text")
     rows = stored(signatures(packed, size), "signatures")
     least = stored(rows.groupBy("body").agg(F.min("key").alias("least"), F.min("fingerprint").alias("fingerprint")), "bodies")
-    bands = rows.select("body", "bands").dropDuplicates(["body"])
-    nodes = least.join(bands.withColumnRenamed("body", "same"), F.col("body") == F.col("same")).select("body", "fingerprint", "bands")
-    pairs = stored(candidates(stored(nodes, "nodes")), "candidates")
-    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    wanted = least.join(ends, F.col("body") == F.col("end")).select(F.col("least").alias("of"), "body")
-    asked = packed.join(wanted.select("of").distinct(), keys_match([(packed["key"], F.col("of"))])).select("text")
+    bands = rows.select("body", "bands", "sketch").dropDuplicates(["body"])
+    nodes = stored(least.join(bands.withColumnRenamed("body", "same"), F.col("body") == F.col("same")).select("body", "fingerprint", "bands", "sketch"), "nodes")
+    shared = stored(shared_firsts(first_shingles(packed.select("text"), frequent(rows), size, similarity)), "first-shingles")
 
     def shingles(batch: pa.RecordBatch) -> dict:
         texts = utf8(batch.column("text"))
         return {"body": [body_of(t) for t in texts], "shingles": [np.unique(shingle_hashes(t, size)).tobytes() for t in texts]}
 
-    sets = stored(map_slices(asked, shingles, "body long, shingles binary").dropDuplicates(["body"]), "shingles")
-    roots = components(verified(pairs, sets, similarity))
-    rooted = least.join(roots, F.col("body") == F.col("node"), "left").select("least", F.coalesce("root", "body").alias("root"))
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "candidates")
+        ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+        wanted = stored(least.join(ends, F.col("body") == F.col("end")).select(F.col("least").alias("of")).distinct(), "wanted")
+        asked = packed.join(wanted, keys_match([(packed["key"], wanted["of"])])).select("text")
+        sets = stored(map_slices(asked, shingles, "body long, shingles binary").dropDuplicates(["body"]), "shingles")
+        return verified(pairs, sets, similarity)
+
+    def with_roots(edges: DataFrame) -> DataFrame:
+        return stored(least.join(components(edges), F.col("body") == F.col("node"), "left").select("body", "least", F.coalesce("root", "body").alias("root")), "roots")
+
+    rooted = with_roots(similar(candidates(nodes, shared, similarity)))
+    rest = similar(unconnected(shared, rooted, nodes, similarity))
+    rooted = with_roots(rooted.select(F.col("body").alias("a"), F.col("root").alias("b")).union(rest))
     stays = rooted.groupBy("root").agg(F.min("least").alias("__stays")).select("__stays").distinct()
     kept = docs.join(stays, keys_match([(docs[key], stays["__stays"])]), "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.filter(F.col(key).isNull()))

@@ -43,3 +43,21 @@ def test_awkward_rows(documents, nothing, texts):
     assert kept.columns == documents.columns and one_of_near_copies(nothing).count() == 0
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(None) == 3 and len(set(ids) - {None}) == len(ids) - 3
+
+
+def test_copies_within_a_template_go(spark):
+    """Texts of one long template have most bands in common; each has one copy, and is alike to no other text by 0.8."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    template = fresh(260)
+    docs = []
+    for i in range(150):
+        text = template + fresh(48)
+        docs.append((i, " ".join(text)))
+        docs.append((1000 + i, " ".join(text[:-30] + fresh(31))))
+    sets = {i: shingles(t) for i, t in docs}
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(alike(i, 1000 + i) >= 0.8 for i in range(150)) and max(alike(i, j) for i in range(40) for j in range(i)) < 0.8
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in one_of_near_copies(frame).collect()}
+    assert got == set(range(150))
