@@ -132,16 +132,21 @@ def json_flatten(spark, sf_dir):
     return _flat(read(spark, spec))
 
 
+PER_FILE = 1000  # documents of a file at most; a reader holds one file's at a time
+
+
 def json_documents(spark, sf_dir):
-    """Documents over several lines, one per file."""
+    """Documents over several lines, many to a file, which is one array: opening a file per document would take most of the time."""
     supplier = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").cast("string").alias("id"),
         F.col("s_name").alias("kind"),
         F.lit("2024-01-01").alias("day"),
     )
     path = scratch_path(spark, "documents")
-    text = _documents(supplier).select(F.to_json(F.struct("result"), {"pretty": "true"}).alias("value"))
-    text.write.option("maxRecordsPerFile", 1).text(path)
+    # Consecutive rows of a partition go together, whatever their values.
+    part = F.floor(F.monotonically_increasing_id() / PER_FILE)
+    files = _documents(supplier).withColumn("part", part).groupBy("part").agg(F.collect_list(F.struct("result")).alias("documents"))
+    files.select(F.to_json("documents", {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return _flat(read(spark, DatasetSpec("json", path, {"multiLine": True}, DOCUMENT)))
 
 

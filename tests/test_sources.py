@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from pipelinekit.catalog.sources import json_documents
 from pipelinekit.operators.running import numbered
 from pipelinekit.sources import DatasetSpec, fixture_frame, read, write
 from pipelinekit.storage import scratch_folder, scratch_path, shared_dir, stored
@@ -112,3 +114,16 @@ def test_a_folder_for_what_is_stored(spark):
     lies = lambda df, where: all(f"{where}/" in path for path in df.inputFiles())
     assert part.startswith(f"{folder}/") and lies(inside, folder) and lies(deeper, part) and not lies(outside, folder)
     assert [df.count() for df in (inside, deeper, outside)] == [5, 5, 5]
+
+
+def test_json_documents_share_files(spark, rows, tmp_path):
+    """Many documents to a file, and none lost: equal and null ids too."""
+    suppliers = spark.range(0, 2500, 1, 1).selectExpr("IF(id % 5 = 0, NULL, id div 2) AS s_suppkey", "concat('S \"', id, '\"') AS s_name")
+    suppliers.write.parquet(str(tmp_path / "supplier.parquet"))
+    with scratch_folder(spark, "json") as folder:
+        got = rows(json_documents(spark, str(tmp_path)))
+    read = spark.read.parquet(str(tmp_path / "supplier.parquet")).collect()
+    key = lambda row: None if row.s_suppkey is None else str(row.s_suppkey)
+    want = [(kind, "by", "2024-01-01", key(row)) for row in read for kind in (row.s_name, "all")]
+    assert got == sorted(want, key=lambda row: [(value is not None, str(type(value)), value) for value in row])
+    assert len(list(Path(folder).glob("documents-*/part-*"))) == 3
