@@ -30,7 +30,7 @@ UNKNOWN_SURFACE = " ⁇ "  # fixed value: what an unknown piece decodes to
 CACHED_WORDS = 300_000  # of a task; no result depends on it
 ROW_LENGTH = 24  # characters of a word that is merged in a row beside others; longer ones have a heap as their agenda
 ROWS = 8192
-SLICE_ROWS = 500
+SLICE_ROWS = 2000  # the more texts, the more new words are merged side by side
 NEVER = np.float32(np.inf)
 
 Merged = tuple[bytes, bytes]  # ids as int32, decoded UTF-8
@@ -186,7 +186,7 @@ class Vocabulary:
 
     def learn(self, words: list[str], checked: bool) -> None:
         """Merge words that are not in the cache of the task, and compare them with the library's."""
-        by_length, ids_of = defaultdict(list), {}
+        by_length, ids_of, spelled = defaultdict(list), {}, {}
         for word in words:
             by_length[len(word)].append(word)
         for length, same in by_length.items():
@@ -195,7 +195,9 @@ class Vocabulary:
                 continue
             for start in range(0, len(same), ROWS):
                 some = same[start : start + ROWS]
-                ids_of |= zip(some, self.merge_rows(some), strict=True)
+                spelled |= zip(some, self.merge_rows(some), strict=True)
+        # Known characters merge into pieces that spell the word; others may be bytes.
+        self.merged |= {word: (array("i", ids).tobytes(), word.replace(SPACE, " ").encode()) for word, ids in spelled.items()}
         if checked and self.breaking:
             # The library puts a boundary before what it is given: a word has its own, or follows what merges with nothing.
             before = self.library.encode(self.breaking)
@@ -203,7 +205,8 @@ class Vocabulary:
             others = [word for word in words if word[0] != SPACE]
             asked = [word[1:].replace(SPACE, " ") for word in bounded] + [self.breaking + word for word in others]
             wanted = self.library.encode(asked, num_threads=1)
-            mine = [ids_of[word] for word in bounded] + [before + ids_of[word] for word in others]
+            found = ids_of | spelled
+            mine = [found[word] for word in bounded] + [before + found[word] for word in others]
             if wanted != mine:
                 raise AssertionError("ids differ from those of the sentencepiece library")
         shown = self.shown.get

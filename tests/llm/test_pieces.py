@@ -66,3 +66,12 @@ def test_a_difference_is_an_error(documents, monkeypatch):
     monkeypatch.setattr(Vocabulary, "merge", lambda self, word: [5])
     with pytest.raises(ValueError, match="merge-type"):
         Vocabulary(Path(PATH).read_bytes())
+
+
+def test_known_words_need_no_surface():
+    """Words of known characters are spelled by their pieces, all at once."""
+    vocabulary = Vocabulary(Path(PATH).read_bytes())
+    vocabulary.merged.clear()
+    vocabulary.shown = {}
+    vocabulary.learn(["▁hello", "hello", "▁▁there"], True)
+    assert [vocabulary.merged[word][1] for word in ("▁hello", "hello", "▁▁there")] == [b" hello", b"hello", b"  there"]
