@@ -5,8 +5,9 @@ put every 32nd text into one group. So besides the links of ``simhash``, pairs c
 shingle hashes, each text of a band with two of them. These connect most groups, and what they miss is found by the first shingles of each text: in any
 order that all texts share, two similar texts have one in common among their first ones, a fifth of each at 0.8. The order is
 that of the hashes, behind which come the shingles that many texts have. Of texts with a first shingle in common, all that aren't connected
-yet are compared: by the place of the shingle, which bounds what they can share, then by a sketch of parities, which bounds how far they differ.
-Neither throws a similar pair out. Every pair is verified by both sets of shingles.
+yet are compared: by the places and the number of such shingles, which bound what they can share, and by a sketch of parities, which bounds how far they
+differ. None of these throws a similar pair out. Long texts share a shingle by chance, the more pairs of them the larger the corpus, but
+seldom several; sets are fetched for the pairs that are left only. Every one of these is verified by both sets of shingles.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ CHUNK = 1 << 13  # shingles permuted at a time
 MANY = 3  # texts of a slice with a shingle that comes late in the order; no result depends on it
 MARKS = 1 << 24  # bits that tell such shingles by their hash; no result depends on it
 SKETCH = 8  # longs of parities
+FEW = 64  # common first shingles that are counted at most; no result depends on it
 CLOSE = 1e-9  # rounding of a bound
 
 
@@ -72,14 +74,14 @@ def parities(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(key, text) -> (key, body, fingerprint, bands, sketch, often); a text without words has no bands.
+    """(key, text) -> (key, body, n, fingerprint, bands, sketch, often), ``n`` being how many shingles; a text without words has no bands.
 
     ``often`` is of a slice and stands in its first row: the shingles that ``MANY`` of its different texts have.
     """
     factors, offsets = permutations()
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"body": [], "fingerprint": [], "bands": [], "sketch": []}
+        out: dict[str, list] = {"body": [], "n": [], "fingerprint": [], "bands": [], "sketch": []}
         sets = {}
         for text in utf8(batch.column("text")):
             hashes = shingle_hashes(text, size)
@@ -87,6 +89,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             body = body_of(text)
             own = sets[body] = np.unique(hashes)
             out["body"].append(body)
+            out["n"].append(len(own))
             out["fingerprint"].append(int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True))
             out["bands"].append(band_keys(own, factors, offsets) if len(hashes) else [])
             out["sketch"].append(parities(own))
@@ -94,7 +97,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         often = [found[number >= MANY].view(np.int64)] + [None] * (batch.num_rows - 1)
         return {"key": batch.column("key"), "often": often} | out
 
-    return map_slices(docs, run, "key long, body long, fingerprint long, bands array<long>, sketch array<long>, often array<long>")
+    return map_slices(docs, run, "key long, body long, n int, fingerprint long, bands array<long>, sketch array<long>, often array<long>")
 
 
 def frequent(rows: DataFrame) -> np.ndarray:
@@ -126,10 +129,30 @@ def first_shingles(docs: DataFrame, marks: np.ndarray, size: int, similarity: fl
     return map_slices(docs, run, "body long, n int, first array<long>").dropDuplicates(["body"])
 
 
+def least_shared(x: str, y: str, similarity: float) -> Column:
+    """How many shingles two similar texts share at least; no whole number."""
+    return F.lit(similarity / (1 + similarity)) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - CLOSE
+
+
+def least_firsts(x: str, y: str, similarity: float) -> Column:
+    """How many of their first shingles two similar texts share at least, or ``FEW`` if these are fewer; 1 at least.
+
+    Common shingles that aren't first ones of both come after all first ones of one of them, so there are no more than that text has after its first ones.
+    """
+    after = F.ceil(F.lit(similarity) * F.greatest(f"{x}.n", f"{y}.n") - CLOSE) - 1
+    return F.greatest(F.lit(1), F.least(F.lit(FEW), F.ceil(least_shared(x, y, similarity) - after)))
+
+
 def may_be_similar(x: str, y: str, similarity: float) -> Column:
-    """Whether two texts can be similar whose first common shingle is at these places."""
-    shared = F.least(*[F.col(f"{c}.n") - F.col(f"{c}.place") for c in (x, y)])
-    return shared >= F.lit(similarity / (1 + similarity)) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - CLOSE
+    """Whether a common shingle at these places can be one of the first ``least_firsts`` common ones of two similar texts."""
+    before, rest = (F.least(*ends) for ends in ([f"{c}.place" for c in (x, y)], [F.col(f"{c}.n") - F.col(f"{c}.place") for c in (x, y)]))
+    return rest + F.least(before, least_firsts(x, y, similarity) - 1) >= least_shared(x, y, similarity)
+
+
+def too_far(x: str, y: str, similarity: float) -> Column:
+    """Whether the sketches of two texts differ in more bits than similar ones have different shingles."""
+    bits = reduce(Column.__add__, [F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))) for i in range(SKETCH)])
+    return bits > F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + CLOSE
 
 
 def shared_firsts(firsts: DataFrame) -> DataFrame:
@@ -143,7 +166,7 @@ def shared_firsts(firsts: DataFrame) -> DataFrame:
 def unconnected(shared: DataFrame, rooted: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of texts with a first shingle in common that may be similar and have different roots.
 
-    Of two roots at most one is the most frequent of a shingle, so one text of a pair is among the others.
+    Of two roots at most one is the most frequent of a shingle, so one text of a pair is among the others. Where both are, the pair counts once.
     """
     own = rooted.select(F.col("body").alias("of"), "root")
     groups = stored(shared.drop("centre").join(own, keys_match([(shared["body"], own["of"])])).drop("of"), "groups")
@@ -153,14 +176,21 @@ def unconnected(shared: DataFrame, rooted: DataFrame, sketches: DataFrame, simil
     drawn = sketches.select(F.col("body").alias("of"), "sketch")
     mixed = stored(mixed.join(drawn, keys_match([(mixed["body"], drawn["of"])])).drop("of"), "mixed")
     x, y = mixed.filter("root != chief").alias("x"), mixed.alias("y")
-    bits = reduce(Column.__add__, [F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH)])
-    near = bits <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) + CLOSE
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & may_be_similar("x", "y", similarity) & near)
-    return both.select(F.greatest("x.body", "y.body").alias("a"), F.least("x.body", "y.body").alias("b")).distinct()
+    once = (F.col("y.root") == F.col("y.chief")) | (F.col("x.body") > F.col("y.body"))
+    can = may_be_similar("x", "y", similarity) & ~too_far("x", "y", similarity)
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & once & can)
+    return sharing(both, similarity, 1)
+
+
+def sharing(both: DataFrame, similarity: float, part: int) -> DataFrame:
+    """(x, y) per common first shingle -> pairs (a, b) of bodies that have as many of them as similar texts, or that divided by ``part``."""
+    each = both.select(F.greatest("x.body", "y.body").alias("a"), F.least("x.body", "y.body").alias("b"), least_firsts("x", "y", similarity).alias("want"))
+    met = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("found"), F.max("want").alias("want"))
+    return met.filter(F.col("found") * part >= F.col("want")).select("a", "b")
 
 
 def candidates(nodes: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
-    """(body, fingerprint, bands) -> pairs (a, b) of bodies, a > b: each text of a band with two of them, others in each band; equal and near fingerprints; each text of a first shingle with its centre."""
+    """(body, fingerprint, bands) -> pairs (a, b) of bodies, a > b: each text of a band with two of them, others in each band; equal and near fingerprints; each text with the centres of a quarter of the first shingles that similar texts share."""
     banded = nodes.select("body", F.explode("bands").alias("band"))
     least = banded.groupBy(F.col("band").alias("of")).agg(*[f("body", F.xxhash64("body", "band")).alias(c) for f, c in ((F.min_by, "other"), (F.max_by, "last"))]).filter("other != last")
     stars = banded.join(least, keys_match([(banded["band"], least["of"])])).select("body", "other", "last")
@@ -171,11 +201,19 @@ def candidates(nodes: DataFrame, shared: DataFrame, similarity: float) -> DataFr
     ends = [alike.select(F.col("print").alias(f"of_{c}"), F.col("first").alias(c)) for c in ("a", "b")]
     bits = near.join(ends[0], F.col("x") == F.col("of_a")).join(ends[1], F.col("y") == F.col("of_b")).select("a", "b")
     hubs = shared.select(F.struct("place", "body", "n").alias("x"), F.col("centre").alias("y"))
-    hubs = hubs.filter(may_be_similar("x", "y", similarity)).select(F.col("x.body").alias("a"), F.col("y.body").alias("b"))
+    hubs = sharing(hubs.filter("x.body != y.body").filter(may_be_similar("x", "y", similarity)), similarity, 4)
     every = pairs.union(same).union(bits).union(hubs).filter("a != b")
     return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def near_enough(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose numbers of shingles and sketches allow them to be similar."""
+    x, y = (nodes.select(F.struct("body", "n", "sketch").alias(c)) for c in ("x", "y"))
+    both = pairs.join(x, keys_match([(F.col("a"), F.col("x.body"))])).join(y, keys_match([(F.col("b"), F.col("y.body"))]))
+    fits = F.least("x.n", "y.n") >= least_shared("x", "y", similarity)
+    return both.filter(fits & ~too_far("x", "y", similarity)).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets of shingles are similar by ``similarity`` or more."""
     left, right = (sets.select(F.col("body").alias(f"of_{c}"), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
@@ -203,8 +241,8 @@ def one_of_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
     packed = docs.filter(F.col(key).isNotNull()).selectExpr(f"CAST(`{key}` AS bigint) AS key", f"`{text}` AS text")
     rows = stored(signatures(packed, size), "signatures")
     least = stored(rows.groupBy("body").agg(F.min("key").alias("least"), F.min("fingerprint").alias("fingerprint")), "bodies")
-    bands = rows.select("body", "bands", "sketch").dropDuplicates(["body"])
-    nodes = stored(least.join(bands.withColumnRenamed("body", "same"), F.col("body") == F.col("same")).select("body", "fingerprint", "bands", "sketch"), "nodes")
+    bands = rows.select("body", "n", "bands", "sketch").dropDuplicates(["body"])
+    nodes = stored(least.join(bands.withColumnRenamed("body", "same"), F.col("body") == F.col("same")).select("body", "n", "fingerprint", "bands", "sketch"), "nodes")
     shared = stored(shared_firsts(first_shingles(packed.select("text"), frequent(rows), size, similarity)), "first-shingles")
 
     def shingles(batch: pa.RecordBatch) -> dict:
@@ -212,7 +250,7 @@ def one_of_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return {"body": [body_of(t) for t in texts], "shingles": [np.unique(shingle_hashes(t, size)).tobytes() for t in texts]}
 
     def similar(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "candidates")
+        pairs = stored(near_enough(pairs, nodes, similarity), "candidates")
         ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
         wanted = stored(least.join(ends, F.col("body") == F.col("end")).select(F.col("least").alias("of")).distinct(), "wanted")
         asked = packed.join(wanted, keys_match([(packed["key"], wanted["of"])])).select("text")
@@ -226,5 +264,7 @@ def one_of_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rest = similar(unconnected(shared, rooted, nodes, similarity))
     rooted = with_roots(rooted.select(F.col("body").alias("a"), F.col("root").alias("b")).union(rest))
     stays = rooted.groupBy("root").agg(F.min("least").alias("__stays")).select("__stays").distinct()
-    kept = docs.join(stays, keys_match([(docs[key], stays["__stays"])]), "left_semi").dropDuplicates([key])
+    # One row per key first: keys aren't frequent then, and texts move once.
+    kept = docs.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    kept = kept.join(stays, kept[key] == stays["__stays"], "left_semi")
     return kept.unionByName(docs.filter(F.col(key).isNull()))

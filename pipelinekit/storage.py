@@ -15,7 +15,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # since Spark 4.1; older ones ignore it
 _WITHIN: ContextVar[str] = ContextVar("within", default="")
 
 
@@ -46,7 +46,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, and safe when executors are lost."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back: computed once, and safe when executors are lost.
+
+    The shuffle files of the write go with its end. Else they stay until the driver happens to collect its garbage, which many stored tables after one another can't wait for.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import json
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
@@ -127,3 +129,26 @@ def test_json_documents_share_files(spark, rows, tmp_path):
     want = [(kind, "by", "2024-01-01", key(row)) for row in read for kind in (row.s_name, "all")]
     assert got == sorted(want, key=lambda row: [(value is not None, str(type(value)), value) for value in row])
     assert len(list(Path(folder).glob("documents-*/part-*"))) == 3
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_storing_leaves_no_shuffle_files(spark, rows):
+    """The files of a shuffle go with the write that needed it, not only when the driver collects its garbage; the session is as before."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(setting), shuffle_files(spark)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    both = counts.join(counts.withColumnRenamed("count", "again").hint("merge"), "k")
+    kept = [stored(both), stored(both)]
+    until = time.monotonic() + 20
+    while (left := shuffle_files(spark) - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(setting) == was
+    assert rows(kept[0]) == rows(kept[1]) == rows(both) and len(rows(both)) == 7
+    with pytest.raises(AnalysisException):
+        stored(both.select("k", F.col("k").alias("K")))
+    assert spark.conf.get(setting) == was
